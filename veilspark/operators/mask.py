@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .skew import lookup_join
+from .. import constants as C
+from .skew import lookup_join, salted_join
 
 MAPPING = "array<struct<value:string,token:string>>"
 
@@ -109,7 +110,7 @@ def mask_texts(
 
 # -- dictionary form over whole files -------------------------------------------
 
-ANCHOR_CHARS = 24
+ANCHOR_CHARS = 8
 
 
 def find_values(
@@ -118,30 +119,54 @@ def find_values(
 ) -> DataFrame:
     """(keys, value) for every value of the file that occurs anywhere in the text.
 
-    Exact and free of cross products: each value has an anchor, its first 24 characters (or
-    all of them); each text yields its distinct substrings of the anchor lengths in use; the
-    two meet in an equi-join, and values longer than their anchor are then compared in full.
-    One regular-expression pass lists the substrings of one length.
+    Exact, and free of cross products however many values share a beginning:
+
+    1. the anchor of a value is its first eight characters (or all of them); each text
+       yields its distinct substrings of anchor length, one regular-expression pass per
+       length, and an equi-join with the distinct anchors keeps the few that matter;
+    2. where an anchor occurs, the text is cut to the lengths of the values behind that
+       anchor, and an equi-join with the values decides.
+
+    `keys` identify a text. Spark's runtime Bloom filter can prune step 1 before its shuffle.
     """
-    anchored = values.select(
-        F.col(file), "value", F.substring("value", 1, ANCHOR_CHARS).alias("_anchor")
-    ).where(F.length("_anchor") > 0).distinct()
-    lengths = [r[0] for r in anchored.select(F.length("_anchor")).distinct().collect()]  # <= 24
-    if not lengths:
-        return texts.join(values.select(file, "value"), file).limit(0).select(*keys, "value")
-    windows = F.array_distinct(
-        F.flatten(F.array(*[
-            F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-            for n in sorted(lengths)
-        ]))
-    )
-    grams = texts.select(*dict.fromkeys([file, *keys]), text, F.explode(windows).alias("_anchor"))
-    # The text rides along only when some value is longer than its anchor.
+    all_keys = list(dict.fromkeys([file, *keys]))
+    anchored = values.select(F.col(file), "value").where(F.length("value") > 0).select(
+        file, F.substring("value", 1, ANCHOR_CHARS).alias("_anchor"),
+        F.length("value").alias("_len"),
+    )
+    anchors = anchored.groupBy(file, "_anchor").agg(F.collect_set("_len").alias("_lens"))
+    sizes = sorted(
+        r[0] for r in anchors.select(F.length("_anchor")).distinct().collect()  # at most 8
+    )
+    windows = [
+        F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes
+    ] or [F.array().cast("array<string>")]
+    grams = texts.select(
+        *all_keys, F.explode(F.array_distinct(F.concat(*windows))).alias("_anchor")
+    )
+    hits = salted_join(grams, anchors, [file, "_anchor"], keys).select(
+        *all_keys, "_anchor", F.explode("_lens").alias("_len")
+    )
+    whole = hits.where(F.col("_len") == F.length("_anchor"))
+    longer = hits.where(F.col("_len") > F.length("_anchor")).join(
+        texts.select(*all_keys, text), all_keys
+    )
+    quoted = F.concat(
+        F.lit(r"\Q"), F.replace("_anchor", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")
+    )
+    cut = F.concat(
+        F.lit("(?s)(?=("), quoted, F.lit(".{"),
+        (F.col("_len") - F.length("_anchor")).cast("string"), F.lit("}))"),
+    )
+    pieces = longer.select(
+        *all_keys, F.explode(F.array_distinct(F.regexp_extract_all(text, cut, F.lit(1))))
+        .alias("value"),
+    )
+    known = values.select(file, "value").distinct()
+    confirmed = salted_join(pieces, known, [file, "value"], keys)
     return (
-        grams.join(anchored, [file, "_anchor"])
-        .where(F.col(text).contains(F.col("value")))
-        .select(*keys, "value")
-        .distinct()
+        whole.select(*keys, F.col("_anchor").alias("value"))
+        .unionByName(confirmed.select(*keys, "value"))
     )
 
 
@@ -181,7 +206,7 @@ def leaks(
 
 # -- back to the original --------------------------------------------------------
 
-TOKEN_PATTERN = r"[A-Z_]+_[0-9A-F]{5,64}"
+TOKEN_PATTERN = f"(?:{'|'.join(C.TOKEN_PREFIX.values())})_[0-9A-F]{{5,64}}"
 
 
 def detokenise(

@@ -99,6 +99,17 @@ def resolve(cands: Column, strict: bool = False) -> Column:
     return F.when(F.size(cands) > 0, walked).otherwise(_none())
 
 
+def without_overlaps(spans: DataFrame, against: DataFrame, key: list[str]) -> DataFrame:
+    """Exclusion for spans kept as tables: rows of `spans` that overlap no row of `against`
+    in the same text. An equi-join on the key with the range test as residual."""
+    a, b = spans.alias("a"), against.alias("b")
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key]
+    touch = F.greatest(F.col("a.start"), F.col("b.start")) < F.least(
+        F.col("a.end"), F.col("b.end")
+    )
+    return a.join(b, [*same, touch], "left_anti")
+
+
 def add_islands(spans: DataFrame, key: list[str]) -> DataFrame:
     """Island number per span row, for spans that are kept as a table."""
     by_start = W.partitionBy(*key).orderBy("start", "end", "rank")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -15,18 +14,22 @@ def type_counts(detections: DataFrame, file: str = "file_id") -> DataFrame:
     return detections.groupBy(file, "pii_type").agg(F.count("*").alias("n"))
 
 
-def class_counts(counts: DataFrame, file: str = "file_id") -> DataFrame:
-    """Total, distinct types and detections per risk class, from `type_counts`."""
+def _class_sums() -> list[Column]:
     def of(types):
         return F.coalesce(F.sum(F.when(F.col("pii_type").isin(types), F.col("n"))), F.lit(0))
 
-    return counts.groupBy(file).agg(
+    return [
         F.sum("n").alias("total_pii_found"),
         F.count("*").alias("distinct_types"),
         of(C.HIGH_RISK).alias("high"),
         of(C.MEDIUM_RISK).alias("medium"),
         of(C.LOW_RISK).alias("low"),
-    )
+    ]
+
+
+def class_counts(counts: DataFrame, file: str = "file_id") -> DataFrame:
+    """Total, distinct types and detections per risk class, from `type_counts`."""
+    return counts.groupBy(file).agg(*_class_sums())
 
 
 def severity_base(high: Column, medium: Column) -> Column:
@@ -71,12 +74,7 @@ def reports(detections: DataFrame, files: DataFrame | None = None, file: str = "
     """One report row per file. With `files`, files without any detection get one too."""
     counts = type_counts(detections, file)
     per_file = counts.groupBy(file).agg(
-        F.sum("n").alias("total_pii_found"),
-        F.count("*").alias("distinct_types"),
-        F.coalesce(F.sum(F.when(F.col("pii_type").isin(C.HIGH_RISK), F.col("n"))), F.lit(0))
-        .alias("high"),
-        F.coalesce(F.sum(F.when(F.col("pii_type").isin(C.MEDIUM_RISK), F.col("n"))), F.lit(0))
-        .alias("medium"),
+        *_class_sums(),
         # at most eleven entries
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("pii_type", "n"))))
         .alias("pii_breakdown"),
@@ -124,15 +122,14 @@ def latest_reports(reports_: DataFrame, file: str = "file_id") -> DataFrame:
 
 def corpus_stats(files: DataFrame, reports_: DataFrame) -> DataFrame:
     """Files, completed files, personal data found and mean risk, as one row."""
-    f = files.agg(
+    found = reports_.agg(F.coalesce(F.sum("total_pii_found"), F.lit(0)))
+    mean = reports_.agg(F.coalesce(F.bround(F.avg("risk_score"), 2), F.lit(0.0)))
+    return files.agg(
         F.count("*").alias("total_files"),
         F.count_if(F.col("status") == "completed").alias("files_processed"),
+    ).select(
+        "*", found.scalar().alias("total_pii_found"), mean.scalar().alias("avg_risk_score")
     )
-    r = reports_.agg(
-        F.coalesce(F.sum("total_pii_found"), F.lit(0)).alias("total_pii_found"),
-        F.coalesce(F.bround(F.avg("risk_score"), 2), F.lit(0.0)).alias("avg_risk_score"),
-    )
-    return f.join(F.broadcast(r))  # one row each
 
 
 def vault_stats(vault: DataFrame) -> DataFrame:
@@ -141,24 +138,3 @@ def vault_stats(vault: DataFrame) -> DataFrame:
     return per_type.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types")
     )
-
-
-def with_rank(df: DataFrame, order: list[Column], name: str = "row_no") -> DataFrame:
-    """Row numbers in a given order without sending all rows to one task.
-
-    Rows are range-partitioned and numbered within each range; the sizes of the ranges
-    before it (one small row per partition) are added on top.
-    """
-    spread = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    local = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-    numbered = spread.withColumn("_local", local)
-    sizes = spread.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = F.coalesce(
-        F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-    )
-    offsets = sizes.select("_part", before.alias("_before"))
-    return (
-        numbered.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_local") + F.col("_before"))
-        .drop("_part", "_local", "_before")
-    )

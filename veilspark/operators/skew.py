@@ -1,11 +1,15 @@
-"""A join that survives a key holding a large share of all rows."""
+"""Joins and row numbers that survive a key holding a large share of all rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..config import scratch_dir
+
 MAX_HOT_KEYS = 10_000
+SALTS = 16
 
 
 def lookup_join(
@@ -18,14 +22,61 @@ def lookup_join(
     by a shuffle in which no key is large. `lookup` should be a written table: it is read
     once for the total and once per part.
     """
-    total = lookup.agg(F.sum(count).alias("t"))
-    marked = lookup.select(*keys, *cols, F.col(count).alias("_count")).join(
-        F.broadcast(total)  # one row
-    )
-    is_hot = F.col("_count") > F.greatest(F.col("t") / MAX_HOT_KEYS, F.lit(1000))
+    total = lookup.agg(F.sum(count)).scalar()
+    marked = lookup.select(*keys, *cols, F.col(count).alias("_count"))
+    is_hot = F.col("_count") > F.greatest(total / MAX_HOT_KEYS, F.lit(1000))
     hot = marked.where(is_hot).select(*keys, F.struct(*cols).alias("_hot"))
     cold = marked.where(~is_hot).select(*keys, *cols)
     tried = rows.join(F.broadcast(hot), keys, "left")
     found = tried.where(F.col("_hot").isNotNull()).select(*rows.columns, "_hot.*")
     rest = tried.where(F.col("_hot").isNull()).drop("_hot").join(cold, keys)
     return found.unionByName(rest.select(*found.columns))
+
+
+def salted_join(
+    rows: DataFrame, lookup: DataFrame, on: list[str], spread: list[str], salts: int = SALTS
+) -> DataFrame:
+    """Inner join of many rows to a much smaller table whose hot keys are not known: each
+    key's rows are spread over `salts` tasks by the `spread` columns, and the small table is
+    repeated once per salt."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
+    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    repeated = repeated.withColumn("_salt", F.col("_salt").cast("bigint"))
+    return salted.join(repeated, [*on, "_salt"]).drop("_salt")
+
+
+def with_row_number(
+    df: DataFrame, order: list[str], name: str = "row_no", within: str | None = None
+) -> DataFrame:
+    """Number all rows in a given order without sending them through one task.
+
+    Rows are range-partitioned and written with the number of their range, so that the
+    ranges stay the same however often they are read; rows are numbered within each range,
+    and the sizes of the ranges before it (one row per range) are added. With `within`,
+    numbers restart at 1 for each of its values, however many rows one value has.
+    """
+    spark: SparkSession = df.sparkSession
+    keys: list[Column | str] = [within, *order] if within else list(order)
+    path = scratch_dir(spark, "row-numbers")
+    df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    spread = spark.read.parquet(path)
+    local = F.row_number().over(W.partitionBy("_part").orderBy(*keys))
+    sizes = spread.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    numbered = (
+        spread.withColumn(name, local)
+        .join(F.broadcast(offsets), "_part")  # one row per range
+        .withColumn(name, F.col(name) + F.col("_before"))
+        .drop("_part", "_before")
+    )
+    if within is None:
+        return numbered
+    per_value = df.groupBy(within).agg(F.count("*").alias("_size"))
+    earlier = F.sum("_size").over(W.orderBy(within).rowsBetween(W.unboundedPreceding, -1))
+    firsts = per_value.select(within, F.coalesce(earlier, F.lit(0)).alias("_before"))
+    return (
+        numbered.join(firsts, within)
+        .withColumn(name, F.col(name) - F.col("_before"))
+        .drop("_before")
+    )
