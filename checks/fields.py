@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veilspark import constants as C
 from veilspark.config import DetectConfig
-from veilspark.functions.text import label_parts
+from veilspark.functions.text import label_parts, strip
 from veilspark.operators import context, fields
 from veilspark.operators.detect import add_candidates
 
@@ -21,8 +21,8 @@ _TEXTS = f"SELECT unit_id, file_id, text FROM ({NOTES}) n UNION ALL SELECT unit_
 SELECT unit_id, label, value, s AS start_pos, e AS end_pos FROM ({O.pairs('t', 'unit_id')})""")
 def o42(spark, sf_dir):
     df = derive(spark, sf_dir, _TEXTS)
-    df = df.withColumn("m", fields.find_pairs(F.col("text"), only_relevant=False))
-    rows = df.select("unit_id", F.explode_outer(fields.pair_spans(F.col("text"), F.col("m"))).alias("x"))
+    df = df.withColumn("m", F.expr(fields.find_pairs("text", only_relevant=False)))
+    rows = df.select("unit_id", F.explode_outer(F.expr(fields.pair_spans("text", "m"))).alias("x"))
     return rows.where(F.col("x.start").isNotNull()).select(
         "unit_id", "x.label", "x.value", F.col("x.start").cast("bigint").alias("start_pos"),
         F.col("x.end").cast("bigint").alias("end_pos"),
@@ -46,34 +46,34 @@ _LAB = "replace(lower(label), ' ', '_')"
 _LPS = O.parts(_LAB)
 
 
-def lab():
-    return F.replace(F.lower("label"), F.lit(" "), F.lit("_"))
+LAB = "replace(lower(label), ' ', '_')"
+PARTS = label_parts(LAB)
 
 
 _labelled("o43_value_length", lambda: ["value"], "value", "length(trim(value)) >= 2",
-          lambda: F.length(fields.strip(F.col("value"))) >= 2)
-_labelled("o44_label_words", lambda: [F.array_join(F.sort_array(label_parts(F.col("label"))), ",").alias("words")],
+          lambda: "length(" + strip("value") + ") >= 2")
+_labelled("o44_label_words", lambda: [F.expr(f"array_join(sort_array({label_parts('label')}), ',')").alias("words")],
           f"array_to_string(list_sort({_PS}), ',') AS words")
 _labelled("o45_name_fields", lambda: ["label", "value"], "label, value", O.name_field(_PS, "value"),
-          lambda: fields.is_name_field(label_parts(F.col("label")), F.col("value")))
+          lambda: fields.is_name_field(label_parts("label"), "value"))
 _labelled("o46_address_fields", lambda: ["label", "value"], "label, value", O.address_field(_PS, "value"),
-          lambda: fields.is_address_field(label_parts(F.col("label")), F.col("value")))
+          lambda: fields.is_address_field(label_parts("label"), "value"))
 _labelled("o50_non_pii_labels", lambda: ["label"], "label", O.non_pii(_LPS),
-          lambda: context.is_non_pii_label(label_parts(lab())))
+          lambda: context.is_non_pii_label(PARTS))
 _labelled("o51_name_suppression", lambda: ["label"], "label",
           f"list_has_any({_LPS}, {O.quoted(C.NAME_SUPPRESS_PARTS)})",
-          lambda: context.suppresses_name(label_parts(lab())))
+          lambda: context.suppresses_name(PARTS))
 _labelled("o52_address_words", lambda: ["label"], "label",
           f"list_has_any({_LPS}, {O.quoted(C.ADDRESS_PARTS)})",
-          lambda: context.names_an_address(label_parts(lab())))
+          lambda: context.names_an_address(PARTS))
 _labelled(
     "o53_label_keywords",
-    lambda: ["label", *[context.shares_keyword(lab(), t).alias(t.lower()) for t in C.CONTEXT_REQUIRED]],
+    lambda: ["label", *[F.expr(context.shares_keyword(LAB, t)).alias(t.lower()) for t in C.CONTEXT_REQUIRED]],
     "label, " + ", ".join(f"{O.keyword(_LAB, t)} AS {t.lower()}" for t in C.CONTEXT_REQUIRED),
 )
 _labelled(
     "o53_label_rule",
-    lambda: ["label", *[context.label_matches(lab(), label_parts(lab()), t).alias(t.lower())
+    lambda: ["label", *[F.expr(context.label_matches(LAB, PARTS, t)).alias(t.lower())
                         for t in C.CONTEXT_REQUIRED]],
     "label, " + ", ".join(f"{O.label_matches(_LAB, _LPS, t)} AS {t.lower()}" for t in C.CONTEXT_REQUIRED),
 )
@@ -107,6 +107,8 @@ def _pos(df, *cols):
 
 _POS = "unit_id, s AS start_pos, e AS end_pos"
 
+FOUND_LABEL = context.label_of(context.left_context("text", "start", C.CONTEXT_WINDOW))
+
 _cand_check("o47_candidate_union", f"{_POS}, method, rank, value", "true",
             lambda df: _pos(df, "method", "rank", "value"))
 _cand_check(
@@ -117,8 +119,7 @@ _cand_check(
 )
 _cand_check(
     "o49_label_lookup", f"{_POS}, lab AS label", "true",
-    lambda df: _pos(df, context.label_of(
-        context.left_context(F.col("text"), F.col("start"), C.CONTEXT_WINDOW)).alias("label")),
+    lambda df: _pos(df, F.expr(FOUND_LABEL).alias("label")),
 )
 _cand_check("o54_confidence_boost", f"{_POS}, rank, {_BOOST} AS confidence", "verdict <> 'drop'",
             lambda df: _pos(df.where("keep"), "rank", F.round("confidence", 2).alias("confidence")))
@@ -130,20 +131,16 @@ for _strict, _suffix in ((True, "_strict"), (False, "")):
 _cand_check(
     "o56_dropped_by_label", f"{_POS}, rank, value", "verdict = 'drop' AND lab <> ''",
     lambda df: _pos(
-        df.where(~F.col("keep") & (context.label_of(context.left_context(
-            F.col("text"), F.col("start"), C.CONTEXT_WINDOW)) != "")), "rank", "value"),
+        df.where(~F.col("keep") & (F.expr(FOUND_LABEL) != "")), "rank", "value"),
 )
 
 
-def _window(df):
-    return F.lower(context.both_sides(F.col("text"), F.col("start"), F.col("end"), C.CONTEXT_WINDOW))
+WINDOW = f"lower({context.both_sides('text', 'start', '`end`', C.CONTEXT_WINDOW)})"
 
 
-def _per_type(test, win):
-    out = F.lit(False)
-    for t in C.CONTEXT_REQUIRED:
-        out = F.when(F.col("pii_type") == t, test(win, t)).otherwise(out)
-    return out
+def _per_type(test):
+    cases = " ".join(f"WHEN '{t}' THEN {test(WINDOW, t)}" for t in C.CONTEXT_REQUIRED)
+    return F.expr(f"CASE pii_type {cases} ELSE false END")
 
 
 _REQ = f"list_contains({O.quoted(C.CONTEXT_REQUIRED)}, pii_type) AND method = 'regex'"
@@ -151,11 +148,11 @@ _cand_check(
     "o57_window_keyword", f"{_POS}, rank, {O.per_type(lambda t: O.any_keyword('win', C.CONTEXT_KEYWORDS[t]), 'false')} AS hit",
     _REQ,
     lambda df: _pos(df.where(F.col("pii_type").isin(C.CONTEXT_REQUIRED) & (F.col("method") == "regex")), "rank",
-                    _per_type(context.has_type_keyword, _window(df)).alias("hit")),
+                    _per_type(context.has_type_keyword).alias("hit")),
 )
 _cand_check(
     "o58_window_person_fallback", f"{_POS}, rank, {O.per_type(lambda t: O.free_context('win', t), 'false')} AS hit",
     _REQ,
     lambda df: _pos(df.where(F.col("pii_type").isin(C.CONTEXT_REQUIRED) & (F.col("method") == "regex")), "rank",
-                    _per_type(context.has_free_context, _window(df)).alias("hit")),
+                    _per_type(context.has_free_context).alias("hit")),
 )

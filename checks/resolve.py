@@ -12,10 +12,8 @@ from veilspark.sources.tables import as_cells
 from . import oracle as O
 from .data import COLUMNS, NOTES, PEOPLE, ROWS, ctes, derive
 from .registry import check
-from .spans import pattern_rows
 
 DOCS = "SELECT doc_id AS unit_id, source AS file_id, text FROM documents"
-CFG = {True: DetectConfig(strict=True), False: DetectConfig()}
 
 
 def plain(df, keys):
@@ -42,14 +40,11 @@ _RAW = " UNION ALL ".join(
 _PATTERNS_ONLY = DetectConfig(strict=True, structured=False, recogniser="none")
 
 
-def _all(cands):
-    """Candidates with the context verdict lifted."""
-    return F.transform(cands, lambda c: c.withField("keep", F.lit(True)))
-
-
 def _raw_cands(spark, sf_dir):
+    """Candidates with the context verdict lifted."""
     df = add_candidates(derive(spark, sf_dir, NOTES), _PATTERNS_ONLY)
-    return df.select("unit_id", F.coalesce(_all(F.col("candidates"))).alias("c"))
+    lifted = F.transform("candidates", lambda c: c.withField("keep", F.lit(True)))
+    return df.select("unit_id", lifted.alias("c"))
 
 
 @check("o59_priority_order", ctes(t=NOTES, raw=_RAW) + """
@@ -57,7 +52,7 @@ SELECT unit_id, s AS start_pos, rank, value,
   row_number() OVER (PARTITION BY unit_id ORDER BY s - e, -confidence, rank, s) - 1 AS priority FROM raw""")
 def o59(spark, sf_dir):
     df = _raw_cands(spark, sf_dir)
-    rows = df.select("unit_id", F.posexplode_outer(by_priority(F.col("c"))).alias("priority", "x"))
+    rows = df.select("unit_id", F.posexplode_outer(F.expr(by_priority("c"))).alias("priority", "x"))
     return rows.where(F.col("x.start").isNotNull()).select(
         "unit_id", F.col("x.start").cast("bigint").alias("start_pos"), "x.rank", "x.value",
         F.col("priority").cast("bigint").alias("priority"),
@@ -72,7 +67,7 @@ def o59(spark, sf_dir):
 ) + "SELECT unit_id, d.s AS start_pos, d.e AS end_pos, d.rank AS rank, d.value AS value FROM (SELECT unit_id, unnest(l) AS d FROM r)")
 def o60(spark, sf_dir):
     df = _raw_cands(spark, sf_dir)
-    rows = df.select("unit_id", F.explode_outer(greedy(kept(F.col("c")))).alias("x"))
+    rows = df.select("unit_id", F.explode_outer(F.expr(greedy(kept("c")))).alias("x"))
     return rows.where(F.col("x.start").isNotNull()).select(
         "unit_id", F.col("x.start").cast("bigint").alias("start_pos"),
         F.col("x.end").cast("bigint").alias("end_pos"), "x.rank", "x.value",
@@ -149,5 +144,3 @@ def o63(spark, sf_dir):
     found = detect_rows(derive(spark, sf_dir, NOTES), ["unit_id"])
     return duplicate_spans(found, ["unit_id"]).agg(F.count("*").alias("duplicates"))
 
-
-__all__ = ["pattern_rows", "plain"]

@@ -12,7 +12,7 @@ from veilspark.operators.detect import add_candidates
 from veilspark.operators.resolve import exclude, without_overlaps
 
 from . import oracle as O
-from .data import CORPUS, LABELLED, NOTES, PEOPLE, ctes, derive
+from .data import CORPUS, NOTES, PEOPLE, ctes, derive
 from .registry import check
 
 KEYS = "src, unit_id"
@@ -21,7 +21,7 @@ CORPUS_KEYS = ["src", "unit_id"]
 
 def span_rows(df, keys, spans):
     """Explode an array of spans to plain columns."""
-    rows = df.select(*keys, F.explode_outer(spans).alias("x")).where(F.col("x.start").isNotNull())
+    rows = df.select(*keys, F.explode_outer(F.expr(spans)).alias("x")).where(F.col("x.start").isNotNull())
     return rows.select(
         *keys, "x.value", F.col("x.start").cast("bigint").alias("start_pos"),
         F.col("x.end").cast("bigint").alias("end_pos"),
@@ -29,8 +29,8 @@ def span_rows(df, keys, spans):
 
 
 def pattern_rows(df, pii_type, keys, strict=True):
-    found = df.withColumn("m", patterns.find_matches(F.col("text"), pii_type, strict))
-    return span_rows(found, keys, patterns.find_spans(F.col("text"), F.col("m"), pii_type, strict))
+    found = df.withColumn("m", F.expr(patterns.find_matches("text", pii_type, strict)))
+    return span_rows(found, keys, patterns.find_spans("text", "m", pii_type, strict))
 
 
 def _span_check(number: int, pii_type: str, strict: bool = True, suffix: str = ""):
@@ -72,7 +72,7 @@ UNION ALL SELECT unit_id, s, e, rank, value FROM raw WHERE rank = 9""")
 def o34(spark, sf_dir):
     cfg = DetectConfig(strict=True, structured=False, recogniser="none")
     cands = add_candidates(derive(spark, sf_dir, NOTES), cfg)
-    rows = cands.select("unit_id", F.explode_outer(exclude(F.col("candidates"))).alias("x"))
+    rows = cands.select("unit_id", F.explode_outer(F.expr(exclude("candidates"))).alias("x"))
     return rows.where(F.col("x.start").isNotNull()).select(
         "unit_id", F.col("x.start").cast("bigint").alias("start_pos"),
         F.col("x.end").cast("bigint").alias("end_pos"), "x.rank", "x.value",
@@ -90,7 +90,7 @@ def o34_join(spark, sf_dir):
     bank = pattern_rows(notes, "BANK_ACCOUNT", ["unit_id"])
     phone = pattern_rows(notes, "PHONE_NUMBER", ["unit_id"])
     left = without_overlaps(
-        bank.withColumnsRenamed({v: k for k, v in {}.items()} | names),
+        bank.withColumnsRenamed(names),
         phone.withColumnsRenamed(names), ["unit_id"],
     )
     return left.withColumnsRenamed({"start": "start_pos", "end": "end_pos"})
@@ -104,7 +104,7 @@ FROM ({NOTES}) n"""
 @check("o35_blank_guard", ctes(t=_BLANKS) + r"""
 SELECT unit_id, text FROM t WHERE text IS NOT NULL AND regexp_matches(text, '\S')""")
 def o35(spark, sf_dir):
-    return derive(spark, sf_dir, _BLANKS).where(has_text(F.col("text")))
+    return derive(spark, sf_dir, _BLANKS).where(has_text("text"))
 
 
 def _cue_sql(source: str, pattern: str, person: bool) -> str:
@@ -114,21 +114,14 @@ def _cue_sql(source: str, pattern: str, person: bool) -> str:
 
 @check("o36_person_recogniser", ctes(notes=NOTES) + _cue_sql("notes", O.PERSON, True))
 def o36_person(spark, sf_dir):
-    df = derive(spark, sf_dir, NOTES).withColumn("m", recogniser.find_people(F.col("text")))
-    return span_rows(df, ["unit_id"], recogniser.cue_spans(F.col("text"), F.col("m"), "PERSON_NAME"))
+    df = derive(spark, sf_dir, NOTES).withColumn("m", F.expr(recogniser.find_people("text")))
+    return span_rows(df, ["unit_id"], recogniser.cue_spans("text", "m", "PERSON_NAME"))
 
 
 @check("o36_place_recogniser", ctes(notes=NOTES) + _cue_sql("notes", O.PLACE, False))
 def o36_place(spark, sf_dir):
-    df = derive(spark, sf_dir, NOTES).withColumn("m", recogniser.find_places(F.col("text")))
-    return span_rows(df, ["unit_id"], recogniser.cue_spans(F.col("text"), F.col("m"), "ADDRESS"))
-
-
-def _upper_runs(text):
-    """A stand-in for a trained model: every `Xxx Yyy` is a person. Used by the hook check."""
-    import re
-
-    return [(m.start(), m.end(), "PERSON") for m in re.finditer(r"[A-Z][a-z]+ [A-Z][a-z]+", text)]
+    df = derive(spark, sf_dir, NOTES).withColumn("m", F.expr(recogniser.find_places("text")))
+    return span_rows(df, ["unit_id"], recogniser.cue_spans("text", "m", "ADDRESS"))
 
 
 @check("o36_model_hook", ctes(notes=NOTES) + f"""
@@ -144,7 +137,7 @@ def o36_hook(spark, sf_dir):
     df = derive(spark, sf_dir, NOTES).withColumn(
         "e", recogniser.entity_column(F.col("text"), upper_runs)
     )
-    return span_rows(df, ["unit_id"], recogniser.model_spans(F.col("text"), F.col("e"), "PERSON_NAME"))
+    return span_rows(df, ["unit_id"], recogniser.model_spans("text", "e", "PERSON_NAME"))
 
 
 # Values of many shapes: geo terms, dotted paths, short and odd names.
@@ -158,18 +151,18 @@ FROM ({PEOPLE}) p"""
 def _shape_check(name, sql_rule, rule):
     @check(name, ctes(t=_SHAPES) + f"SELECT unit_id, value FROM t WHERE {sql_rule}")
     def query(spark, sf_dir):
-        return derive(spark, sf_dir, _SHAPES).where(rule(F.col("value")))
+        return derive(spark, sf_dir, _SHAPES).where(rule("value"))
 
 
 _shape_check(
     "o37_geo_exclusion",
     f"lower(trim(value)) NOT IN ({', '.join(repr(g) for g in C.GEO_EXCLUSIONS)})",
-    lambda v: ~recogniser.is_excluded(v),
+    lambda v: "NOT " + recogniser.is_excluded(v),
 )
 _shape_check(
     "o38_dotted_path_filter",
     r"NOT (contains(value, '.') AND regexp_full_match(value, '[\pL\pN]+(\.[\pL\pN]+)*'))",
-    lambda v: ~recogniser.is_dotted_path(v),
+    lambda v: "NOT " + recogniser.is_dotted_path(v),
 )
 _shape_check(
     "o39_person_shape",
@@ -189,5 +182,3 @@ def o41(spark, sf_dir):
         "chunk_offset", F.col("chunk_offset").cast("bigint")
     )
 
-
-__all__ = ["LABELLED"]

@@ -1,57 +1,37 @@
-"""Positions of pattern matches, without a UDF."""
+"""Positions of pattern matches, without a UDF. SQL expression text in and out."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .text import literal
 
-SPAN = "struct<start:int,end:int,value:string>"
-SPANS = f"array<{SPAN}>"
+SPANS = "array<struct<start:int,end:int,value:string>>"
+NO_MATCHES = "cast(array() AS array<string>)"
 
 
-def no_spans(ddl: str = SPANS) -> Column:
-    return F.array().cast(ddl)
-
-
-def matches(text: Column, pattern: str, gate: Column | None = None) -> Column:
+def matches(text: str, pattern: str, gate: str | None = None) -> str:
     """All matches of `pattern`; rows failing the cheap `gate` skip the search."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<string>")
+    found = f"regexp_extract_all({text}, {literal(pattern)}, 0)"
     if gate is None:
-        return F.coalesce(found, empty)
-    return F.when(gate, found).otherwise(empty)
+        return f"coalesce({found}, {NO_MATCHES})"
+    return f"CASE WHEN {gate} THEN {found} ELSE {NO_MATCHES} END"
 
 
-def locate(text: Column, found: Column, pattern: str) -> Column:
+def locate(text: str, found: str, pattern: str) -> str:
     """Turn `matches()` output into spans with half-open character offsets.
 
     The text between matches comes from splitting on the same pattern, so a match starts
     where the pieces and matches before it end. One running sum over the matches; texts
     without a match are not split at all.
     """
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(
-        found,
-        F.slice(gaps, 1, F.size(found)),
-        lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"), m.alias("value")),
-    )
-    start = F.struct(F.lit(0).alias("pos"), no_spans().alias("out"))
-    walked = F.aggregate(
-        pairs,
-        start,
-        lambda acc, p: F.struct(
-            (acc["pos"] + p["gap"] + p["len"]).alias("pos"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["pos"] + p["gap"]).alias("start"),
-                        (acc["pos"] + p["gap"] + p["len"]).alias("end"),
-                        p["value"].alias("value"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(found) > 0, walked).otherwise(no_spans())
+    none = f"cast(array() AS {SPANS})"
+    return f"""
+    CASE WHEN size({found}) > 0 THEN aggregate(
+      zip_with({found}, slice(split({text}, {literal(pattern)}, -1), 1, size({found})),
+        (m, g) -> struct(length(g) AS gap, length(m) AS len, m AS value)),
+      struct(0 AS pos, {none} AS done),
+      (acc, p) -> struct(
+        acc.pos + p.gap + p.len AS pos,
+        concat(acc.done, array(struct(
+          acc.pos + p.gap AS start, acc.pos + p.gap + p.len AS `end`, p.value AS value))) AS done),
+      acc -> acc.done)
+    ELSE {none} END"""

@@ -1,12 +1,13 @@
-"""Text helpers: Unicode-aware patterns, trimming, label words."""
+"""Text helpers: Unicode-aware patterns, trimming, label words.
+
+These functions take and return SQL expression text, to be used with `F.expr` or
+`selectExpr`. Detection is one expression of several thousand nodes; as text it reaches the
+JVM in a few calls, where a Column per node would cost seconds of planning per query.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 # Character classes as a Unicode-aware pattern means them, written for java.util.regex.
 # (Java's own \w counts combining vowel signs as word characters, so "की98…" would have
@@ -49,32 +50,39 @@ def unicode_pattern(pattern: str) -> str:
     return out
 
 
-def strip(c: Column) -> Column:
-    """Remove white space of any kind from both ends."""
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+def literal(value: str) -> str:
+    """SQL literal of any text, without escapes."""
+    if "'" not in value:
+        return f"r'{value}'"
+    return 'r"' + value + '"' if '"' not in value else "'" + value.replace("'", "\\'") + "'"
 
 
-def has_text(c: Column) -> Column:
-    """True unless the value is null or only white space."""
-    return F.coalesce(c.rlike(f"[^{SPACE}]"), F.lit(False))
+def literals(values: Iterable[str]) -> str:
+    return "array(" + ", ".join(map(literal, values)) + ")"
 
 
-def words(c: Column) -> Column:
-    return F.array_remove(F.split(c, f"[{SPACE}]+"), "")
+def rlike(e: str, pattern: str) -> str:
+    return f"({e} RLIKE {literal(pattern)})"
 
 
-def label_parts(label: Column) -> Column:
-    """Words of a label: `Location.Street_Name` -> [location, street, name]."""
-    return words(F.translate(F.lower(label), "._", "  "))
+def strip(e: str) -> str:
+    """Remove white space of any kind from both ends."""
+    return f"regexp_replace({e}, {literal(f'^[{SPACE}]+|[{SPACE}]+$')}, '')"
+
 
+def has_text(e: str) -> str:
+    """True unless the value is null or only white space."""
+    return f"coalesce({rlike(e, f'[^{SPACE}]')}, false)"
 
-def literals(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
 
+def words(e: str) -> str:
+    return f"array_remove(split({e}, {literal(f'[{SPACE}]+')}), '')"
 
-def any_of(tests: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)
+
+def label_parts(e: str) -> str:
+    """Words of a label: `Location.Street_Name` -> [location, street, name]."""
+    return words(f"translate(lower({e}), '._', '  ')")
 
 
-def contains_any(c: Column, needles: Iterable[str]) -> Column:
-    return any_of(c.contains(n) for n in needles)
+def contains_any(e: str, needles: Iterable[str]) -> str:
+    return "(" + " OR ".join(f"contains({e}, {literal(n)})" for n in needles) + ")"

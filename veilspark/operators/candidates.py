@@ -2,32 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Field order matters: arrays of candidates sort by start, end, rank.
-CANDIDATE = (
-    "struct<start:int,end:int,rank:int,pii_type:string,confidence:double,"
-    "method:string,value:string,keep:boolean>"
+CANDIDATES = (
+    "array<struct<start:int,end:int,rank:int,pii_type:string,confidence:double,"
+    "method:string,value:string,keep:boolean>>"
 )
-CANDIDATES = f"array<{CANDIDATE}>"
 
 
-def candidate(span, rank: int, pii_type, confidence, method: str, keep) -> Column:
+def candidate(span: str, rank: int, pii_type: str, confidence: str, method: str, keep: str) -> str:
     """Build one record from a span (anything with start, end and value fields)."""
-    as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.struct(
-        span["start"].alias("start"),
-        span["end"].alias("end"),
-        F.lit(rank).alias("rank"),
-        as_col(pii_type).alias("pii_type"),
-        as_col(confidence).cast("double").alias("confidence"),
-        F.lit(method).alias("method"),
-        span["value"].alias("value"),
-        as_col(keep).alias("keep"),
+    return (
+        f"struct({span}.start AS start, {span}.`end` AS `end`, {rank} AS rank, "
+        f"{pii_type} AS pii_type, cast({confidence} AS double) AS confidence, "
+        f"'{method}' AS method, {span}.value AS value, {keep} AS keep)"
     )
 
 
-def overlaps(a, b) -> Column:
+def overlaps(a: str, b: str) -> str:
     """Two half-open ranges share a character; touching ranges do not."""
-    return F.greatest(a["start"], b["start"]) < F.least(a["end"], b["end"])
+    return f"(greatest({a}.start, {b}.start) < least({a}.`end`, {b}.`end`))"

@@ -1,81 +1,82 @@
-"""Layer 3: does the label or the surrounding text support a candidate?"""
+"""Layer 3: does the label or the surrounding text support a candidate?
+
+SQL expression text in and out, as in `functions.text`.
+"""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from .. import constants as C
 from ..config import DetectConfig
-from ..functions.text import label_parts, literals, strip
+from ..functions.text import label_parts, literal, literals, rlike, strip
 from .candidates import candidate
 
 
-def left_context(text: Column, start: Column, window: int) -> Column:
-    return F.substring(
-        text, F.greatest(start - window, F.lit(0)) + 1, F.least(start, F.lit(window))
-    )
+def left_context(text: str, start: str, window: int) -> str:
+    return f"substring({text}, greatest({start} - {window}, 0) + 1, least({start}, {window}))"
 
 
-def both_sides(text: Column, start: Column, end: Column, window: int) -> Column:
-    return F.substring(
-        text,
-        F.greatest(start - window, F.lit(0)) + 1,
-        F.least(start, F.lit(window)) + (end - start) + window,
+def both_sides(text: str, start: str, end: str, window: int) -> str:
+    return (
+        f"substring({text}, greatest({start} - {window}, 0) + 1, "
+        f"least({start}, {window}) + ({end} - {start}) + {window})"
     )
 
 
-def label_of(left: Column) -> Column:
+def label_of(left: str) -> str:
     """The label in front of a candidate: what stands before the last colon, back to the
     nearest pipe, comma or line start; "" if there is none."""
-    after = F.substring_index(left, ":", -1)
-    before = F.substring(left, F.lit(1), F.length(left) - F.length(after) - 1)
-    for mark in ("|", "\n", ","):
-        before = F.substring_index(before, mark, -1)
-    label = F.replace(F.lower(strip(before)), F.lit(" "), F.lit("_"))
-    return F.when(left.contains(":"), label).otherwise("")
+    after = f"substring_index({left}, ':', -1)"
+    before = f"substring({left}, 1, length({left}) - length({after}) - 1)"
+    for mark in ("'|'", "char(10)", "','"):
+        before = f"substring_index({before}, {mark}, -1)"
+    label = f"replace(lower({strip(before)}), ' ', '_')"
+    return f"CASE WHEN contains({left}, ':') THEN {label} ELSE '' END"
 
 
-def is_non_pii_label(parts: Column) -> Column:
+def is_non_pii_label(parts: str) -> str:
     """Every word of the label marks a field that never holds personal data."""
-    return (F.size(parts) > 0) & (F.size(F.array_except(parts, literals(C.NON_PII_PARTS))) == 0)
+    others = f"array_except({parts}, {literals(C.NON_PII_PARTS)})"
+    return f"(size({parts}) > 0 AND size({others}) = 0)"
+
 
+def suppresses_name(parts: str) -> str:
+    return f"arrays_overlap({parts}, {literals(C.NAME_SUPPRESS_PARTS)})"
 
-def suppresses_name(parts: Column) -> Column:
-    return F.arrays_overlap(parts, literals(C.NAME_SUPPRESS_PARTS))
 
+def names_an_address(parts: str) -> str:
+    return f"arrays_overlap({parts}, {literals(C.ADDRESS_PARTS)})"
 
-def names_an_address(parts: Column) -> Column:
-    return F.arrays_overlap(parts, literals(C.ADDRESS_PARTS))
 
+def _one_of(words) -> str:
+    return "|".join(map(re.escape, words))
 
-def shares_keyword(label: Column, pii_type: str) -> Column:
+
+def shares_keyword(label: str, pii_type: str) -> str:
     """A keyword of the type occurs in the label, or the label inside a keyword."""
     keywords = C.CONTEXT_KEYWORDS[pii_type]
-    return label.rlike("|".join(map(re.escape, keywords))) | F.lit("\n".join(keywords)).contains(
-        label
-    )
+    inside = f"contains({literal(chr(10).join(keywords))}, {label})"
+    return f"({rlike(label, _one_of(keywords))} OR {inside})"
 
 
-def label_matches(label: Column, parts: Column, pii_type: str) -> Column:
-    ok = ~is_non_pii_label(parts)
+def label_matches(label: str, parts: str, pii_type: str) -> str:
+    rules = [f"NOT {is_non_pii_label(parts)}"]
     if pii_type == "PERSON_NAME":
-        ok = ok & ~suppresses_name(parts)
+        rules.append(f"NOT {suppresses_name(parts)}")
     if pii_type == "ADDRESS":
-        ok = ok & names_an_address(parts)
-    return ok & shares_keyword(label, pii_type)
+        rules.append(names_an_address(parts))
+    return "(" + " AND ".join([*rules, shares_keyword(label, pii_type)]) + ")"
 
 
-def has_type_keyword(around: Column, pii_type: str) -> Column:
-    return around.rlike("|".join(map(re.escape, C.CONTEXT_KEYWORDS[pii_type])))
+def has_type_keyword(around: str, pii_type: str) -> str:
+    return rlike(around, _one_of(C.CONTEXT_KEYWORDS[pii_type]))
 
 
-def has_free_context(around: Column, pii_type: str) -> Column:
+def has_free_context(around: str, pii_type: str) -> str:
     """A keyword of the type, or any person keyword, in the lower-cased window."""
     keywords = dict.fromkeys(C.CONTEXT_KEYWORDS[pii_type] + C.CONTEXT_KEYWORDS["PERSON_NAME"])
-    return around.rlike("|".join(map(re.escape, keywords)))
+    return rlike(around, _one_of(keywords))
 
 
 def relabel_order(pii_type: str, strict: bool) -> list[str]:
@@ -84,12 +85,13 @@ def relabel_order(pii_type: str, strict: bool) -> list[str]:
     return [t for t in allowed if t != pii_type]
 
 
-def relabel(label: Column, parts: Column, pii_type: str, strict: bool) -> Column:
+def relabel(label: str, parts: str, pii_type: str, strict: bool) -> str:
     """The first other type whose label rule accepts the label, else null."""
     tests = [
-        F.when(label_matches(label, parts, t), F.lit(t)) for t in relabel_order(pii_type, strict)
+        f"WHEN {label_matches(label, parts, t)} THEN '{t}'"
+        for t in relabel_order(pii_type, strict)
     ]
-    return F.coalesce(*tests)
+    return f"CASE {' '.join(tests)} END"
 
 
 def boosted(confidence: float) -> float:
@@ -97,13 +99,8 @@ def boosted(confidence: float) -> float:
 
 
 def judge(
-    text: Column,
-    spans: Column,
-    pii_type: str,
-    method: str,
-    cfg: DetectConfig,
-    label: Column | None = None,
-) -> Column:
+    text: str, spans: str, pii_type: str, method: str, cfg: DetectConfig, label: str | None = None
+) -> str:
     """Candidates from spans of one type, with type, confidence and `keep` decided.
 
     `label` replaces the look-up in the text where the field name is known. The nested
@@ -114,38 +111,39 @@ def judge(
     else:
         rank, confidence = C.NER_RANK, C.NER_CONFIDENCE[pii_type]
     if pii_type not in C.CONTEXT_REQUIRED:
-        return F.transform(
-            spans, lambda s: candidate(s, rank, pii_type, confidence, method, F.lit(True))
-        )
-
-    def with_label(s):
-        found = label_of(left_context(text, s["start"], cfg.window)) if label is None else label
-        return F.struct(s.alias("s"), F.coalesce(found, F.lit("")).alias("label"))
+        plain = candidate("s", rank, f"'{pii_type}'", confidence, method, "true")
+        return f"transform({spans}, s -> {plain})"
 
-    def with_parts(x):
-        return F.struct(x["s"].alias("s"), x["label"].alias("label"),
-                        label_parts(x["label"]).alias("parts"))
-
-    def with_verdict(x):
-        return F.struct(
-            x["s"].alias("s"), x["label"].alias("label"), x["parts"].alias("parts"),
-            label_matches(x["label"], x["parts"], pii_type).alias("match"),
+    if label is None:
+        left = left_context(text, "s.start", cfg.window)
+        named = f"transform({spans}, s -> struct(s AS s, {left} AS left))"
+        named = f"transform({named}, x -> struct(x.s AS s, {label_of('x.left')} AS label))"
+    else:
+        named = f"transform({spans}, s -> struct(s AS s, coalesce({label}, '') AS label))"
+    split = (
+        f"transform({named}, x -> struct(x.s AS s, x.label AS label, "
+        f"{label_parts('x.label')} AS parts))"
+    )
+    tested = (
+        f"transform({split}, x -> struct(x.s AS s, x.label AS label, x.label <> '' AS labelled, "
+        f"x.label <> '' AND {label_matches('x.label', 'x.parts', pii_type)} AS fits, "
+        "x.parts AS parts))"
+    )
+    if method == "ner":
+        other = (
+            "CASE WHEN x.labelled AND NOT x.fits THEN "
+            f"{relabel('x.label', 'x.parts', pii_type, cfg.strict)} END"
         )
-
-    def decide(x):
-        s, has_label, match = x["s"], x["label"] != "", x["match"]
-        around = F.lower(both_sides(text, s["start"], s["end"], cfg.window))
-        other = F.lit(None).cast("string")
-        if method == "ner":
-            other = F.when(
-                has_label & ~match, relabel(x["label"], x["parts"], pii_type, cfg.strict)
-            )
-        final_type = F.coalesce(other, F.lit(pii_type))
-        final_conf = F.when(has_label & match, F.lit(boosted(confidence))).otherwise(confidence)
-        keep = F.when(has_label, match | other.isNotNull()).otherwise(
-            has_free_context(around, pii_type)
+        tested = (
+            f"transform({tested}, x -> struct(x.s AS s, x.labelled AS labelled, x.fits AS fits, "
+            f"{other} AS other))"
         )
-        return candidate(s, rank, final_type, final_conf, method, keep)
-
-    labelled = F.transform(F.transform(spans, with_label), with_parts)
-    return F.transform(F.transform(labelled, with_verdict), decide)
+        final_type, accepted = f"coalesce(x.other, '{pii_type}')", "x.fits OR x.other IS NOT NULL"
+    else:
+        final_type, accepted = f"'{pii_type}'", "x.fits"
+    around = f"lower({both_sides(text, 'x.s.start', 'x.s.`end`', cfg.window)})"
+    keep = (
+        f"CASE WHEN x.labelled THEN {accepted} ELSE {has_free_context(around, pii_type)} END"
+    )
+    final_conf = f"CASE WHEN x.fits THEN {boosted(confidence)!r}D ELSE {confidence!r}D END"
+    return f"transform({tested}, x -> {candidate('x.s', rank, final_type, final_conf, method, keep)})"

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..config import DetectConfig
-from ..functions.text import has_text
+from ..functions.text import SPACE, has_text, literal, strip
 from . import fields, patterns, recogniser
 from .candidates import candidate
 from .context import judge
@@ -16,10 +16,6 @@ from .resolve import resolve
 NER_TYPES = list(C.NER_CONFIDENCE)
 
 
-def _with(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
-    return df.withColumns(cols) if cols else df
-
-
 def add_candidates(
     df: DataFrame,
     cfg: DetectConfig = DetectConfig(),
@@ -32,63 +28,54 @@ def add_candidates(
     Works in two projections so that each pattern is searched once per text: Catalyst keeps
     them apart because the first one's results are used several times.
     """
-    t = F.col(text)
-    searchable = F.when(has_text(t), t)
-    known = F.lower(F.replace(F.trim(F.col(label)), F.lit(" "), F.lit("_"))) if label else None
+    searchable = f"CASE WHEN {has_text(text)} THEN {text} END"
+    known = f"replace(lower(trim({label})), ' ', '_')" if label else None
 
-    found = {f"_m_{p}": patterns.find_matches(searchable, p, cfg.strict) for p in C.PATTERNS}
+    found = {
+        f"_m_{p}": F.expr(patterns.find_matches(searchable, p, cfg.strict)) for p in C.PATTERNS
+    }
     if cfg.structured and label is None:
-        found["_m_pairs"] = fields.find_pairs(searchable)
+        found["_m_pairs"] = F.expr(fields.find_pairs(searchable))
     if cfg.ner_fn is not None:
-        found["_m_entities"] = recogniser.entity_column(t, cfg.ner_fn)
+        found["_m_entities"] = recogniser.entity_column(F.col(text), cfg.ner_fn)
     elif cfg.recogniser == "cue":
-        found["_m_PERSON_NAME"] = recogniser.find_people(searchable)
-        found["_m_ADDRESS"] = recogniser.find_places(searchable)
-    df = _with(df, found)
+        found["_m_PERSON_NAME"] = F.expr(recogniser.find_people(searchable))
+        found["_m_ADDRESS"] = F.expr(recogniser.find_places(searchable))
 
     parts = [
-        judge(t, patterns.find_spans(t, F.col(f"_m_{p}"), p, cfg.strict), p, "regex", cfg, known)
+        judge(text, patterns.find_spans(text, f"_m_{p}", p, cfg.strict), p, "regex", cfg, known)
         for p in C.PATTERNS
     ]
     for kind in NER_TYPES:
         if cfg.ner_fn is not None:
-            spans = recogniser.model_spans(t, F.col("_m_entities"), kind)
+            spans = recogniser.model_spans(text, "_m_entities", kind)
         elif cfg.recogniser == "cue":
-            spans = recogniser.cue_spans(t, F.col(f"_m_{kind}"), kind)
+            spans = recogniser.cue_spans(text, f"_m_{kind}", kind)
         else:
             continue
-        parts.append(judge(t, spans, kind, "ner", cfg, known))
+        parts.append(judge(text, spans, kind, "ner", cfg, known))
     if cfg.structured:
-        parts.append(_structured(t, label, known))
-    return df.withColumn(out, F.concat(*parts)).drop(*found)
+        parts.append(_structured(text, known))
+    return df.withColumns(found).withColumn(out, F.expr(f"concat({', '.join(parts)})")).drop(*found)
 
 
-def _structured(t: Column, label: str | None, known: Column | None) -> Column:
-    def as_candidate(p):
-        kind = p["kind"]
-        return candidate(
-            p, C.STRUCTURED_RANK, kind, C.STRUCTURED_CONFIDENCE, "structured", F.lit(True)
-        )
-
-    def typed(p):
-        return F.struct(
-            p["start"].alias("start"), p["end"].alias("end"), p["value"].alias("value"),
-            fields.field_type(p["label"], p["value"]).alias("kind"),
-        )
-
-    if label is None:
-        pairs = fields.pair_spans(t, F.col("_m_pairs"))
+def _structured(text: str, known: str | None) -> str:
+    """Candidates from labels: pairs in the text, or the whole text under a known label."""
+    if known is None:
+        pairs = fields.pair_spans(text, "_m_pairs")
     else:
-        value = fields.strip(t)
-        lead = F.length(F.regexp_extract(t, f"^[{fields.SPACE}]*", 0))
-        one = F.array(F.struct(
-            known.alias("label"), value.alias("value"),
-            lead.alias("start"), (lead + F.length(value)).alias("end"),
-        ))
-        pairs = F.filter(one, lambda p: F.length(p["value"]) >= 2)
-    return F.transform(
-        F.filter(F.transform(pairs, typed), lambda p: p["kind"].isNotNull()), as_candidate
+        lead = f"length(regexp_extract({text}, {literal(f'^[{SPACE}]*')}, 0))"
+        value = strip(text)
+        pairs = (
+            f"filter(array(struct({known} AS label, {value} AS value, {lead} AS start, "
+            f"{lead} + length({value}) AS `end`)), p -> length(p.value) >= 2)"
+        )
+    typed = (
+        f"transform({pairs}, p -> struct(p.start AS start, p.`end` AS `end`, p.value AS value, "
+        f"{fields.field_type('p.label', 'p.value')} AS kind))"
     )
+    record = candidate("p", C.STRUCTURED_RANK, "p.kind", C.STRUCTURED_CONFIDENCE, "structured", "true")
+    return f"transform(filter({typed}, p -> p.kind IS NOT NULL), p -> {record})"
 
 
 def add_detections(
@@ -104,19 +91,15 @@ def add_detections(
     without it labels are read from the text itself.
     """
     df = add_candidates(df, cfg, text, "_candidates", label)
-    final = resolve(F.col("_candidates"), cfg.strict)
+    final = resolve("_candidates", cfg.strict)
     if cfg.min_confidence > 0:
-        final = F.filter(final, lambda c: c["confidence"] >= cfg.min_confidence)
-    shaped = F.transform(
-        final,
-        lambda c: F.struct(
-            c["value"].alias("value"), c["pii_type"].alias("pii_type"),
-            c["start"].alias("start"), c["end"].alias("end"),
-            c["confidence"].alias("confidence"), c["method"].alias("method"),
-            c["rank"].alias("rank"),
-        ),
+        final = f"filter({final}, c -> c.confidence >= {cfg.min_confidence}D)"
+    shaped = (
+        f"transform({final}, c -> struct(c.value AS value, c.pii_type AS pii_type, "
+        "c.start AS start, c.`end` AS `end`, c.confidence AS confidence, c.method AS method, "
+        "c.rank AS rank))"
     )
-    return df.withColumn(out, shaped).drop("_candidates")
+    return df.withColumn(out, F.expr(shaped)).drop("_candidates")
 
 
 def explode_detections(df: DataFrame, keys: list[str], column: str = "detections") -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from .. import constants as C
 from ..functions.spans import locate, matches
-from ..functions.text import SPACE, contains_any, label_parts, literals, strip, unicode_pattern
+from ..functions.text import (
+    SPACE, contains_any, label_parts, literal, literals, rlike, strip, unicode_pattern,
+)
 
 # (?d): only "\n" ends a line; (?m): "$" also matches before it.
 PAIR = "(?dm)" + unicode_pattern(C.PAIR_PATTERN)
@@ -15,57 +14,54 @@ _HEAD = unicode_pattern(r"^[\w.]+\s*:\s*")
 _LABEL = unicode_pattern(r"^([\w.]+)")
 
 
-def find_pairs(text: Column, only_relevant: bool = True) -> Column:
+def find_pairs(text: str, only_relevant: bool = True) -> str:
     """`label: value` matches. With `only_relevant`, texts without any name or address
     word are skipped, as none of their pairs can lead to a detection."""
-    test = text.contains(":")
+    test = f"contains({text}, ':')"
     if only_relevant:
-        test = test & contains_any(F.lower(text), C.NAME_PARTS + C.ADDRESS_PARTS)
+        test += " AND " + contains_any(f"lower({text})", C.NAME_PARTS + C.ADDRESS_PARTS)
     return matches(text, PAIR, test)
 
 
-def pair_spans(text: Column, found: Column) -> Column:
+def pair_spans(text: str, found: str) -> str:
     """Array of (label, value, start, end); the offsets are those of the trimmed value."""
-    def split_pair(s):
-        raw = F.regexp_replace(s["value"], _HEAD, "")
-        begin = s["end"] - F.length(raw)
-        return F.struct(
-            F.lower(F.regexp_extract(s["value"], _LABEL, 1)).alias("label"),
-            strip(raw).alias("value"),
-            begin.alias("start"),
-            (begin + F.length(strip(raw))).alias("end"),
-        )
-
-    pairs = F.transform(locate(text, found, PAIR), split_pair)
-    return F.filter(pairs, lambda p: F.length(p["value"]) >= 2)
+    raw = f"regexp_replace(s.value, {literal(_HEAD)}, '')"
+    label = f"lower(regexp_extract(s.value, {literal(_LABEL)}, 1))"
+    cut = (
+        f"transform({locate(text, found, PAIR)}, s -> "
+        f"struct({label} AS label, {raw} AS raw, s.`end` AS `end`))"
+    )
+    value = strip("p.raw")
+    begin = "p.`end` - length(p.raw)"
+    trimmed = (
+        f"transform({cut}, p -> struct(p.label AS label, {value} AS value, "
+        f"{begin} AS start, {begin} + length({value}) AS `end`))"
+    )
+    return f"filter({trimmed}, p -> length(p.value) >= 2)"
 
 
-def names_a_person(parts: Column) -> Column:
-    return F.arrays_overlap(parts, literals(C.NAME_PARTS))
+def names_a_person(parts: str) -> str:
+    return f"arrays_overlap({parts}, {literals(C.NAME_PARTS)})"
 
 
-def is_name_field(parts: Column, value: Column) -> Column:
+def is_name_field(parts: str, value: str) -> str:
     """The label names a person, has no word speaking against it, and some word of the
     value is all letters."""
-    return (
-        names_a_person(parts)
-        & ~F.arrays_overlap(parts, literals(C.NAME_SUPPRESS_PARTS))
-        & value.rlike(rf"(?:^|[{SPACE}])\p{{L}}+(?:[{SPACE}]|\z)")
-    )
+    letters = rlike(value, rf"(?:^|[{SPACE}])\p{{L}}+(?:[{SPACE}]|\z)")
+    against = f"arrays_overlap({parts}, {literals(C.NAME_SUPPRESS_PARTS)})"
+    return f"({names_a_person(parts)} AND NOT {against} AND {letters})"
 
 
-def is_address_field(parts: Column, value: Column) -> Column:
+def is_address_field(parts: str, value: str) -> str:
     """The label names an address and no person; the value has five characters or more."""
-    return (
-        ~names_a_person(parts)
-        & F.arrays_overlap(parts, literals(C.ADDRESS_PARTS))
-        & (F.length(value) >= 5)
-    )
+    address = f"arrays_overlap({parts}, {literals(C.ADDRESS_PARTS)})"
+    return f"(NOT {names_a_person(parts)} AND {address} AND length({value}) >= 5)"
 
 
-def field_type(label: Column, value: Column) -> Column:
+def field_type(label: str, value: str) -> str:
     """PERSON_NAME, ADDRESS or null for a labelled value."""
     parts = label_parts(label)
-    return F.when(is_name_field(parts, value), "PERSON_NAME").when(
-        is_address_field(parts, value), "ADDRESS"
+    return (
+        f"CASE WHEN {is_name_field(parts, value)} THEN 'PERSON_NAME' "
+        f"WHEN {is_address_field(parts, value)} THEN 'ADDRESS' END"
     )

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from .. import constants as C
 from ..functions.spans import locate, matches
-from ..functions.text import unicode_pattern
+from ..functions.text import literal, rlike, unicode_pattern
 
 # A local part never contains "@", so it may be matched without giving characters back;
 # long tokens without "@" then cost one scan instead of two.
@@ -43,33 +40,30 @@ _SHAPE = {
 }
 
 
-def gate(text: Column, pii_type: str) -> Column:
+def gate(text: str, pii_type: str) -> str:
     """Cheap test every text with a hit passes; the others skip the full pattern."""
     if pii_type in _DIGITS:
-        test = text.rlike(_DIGITS[pii_type])
+        test = rlike(text, _DIGITS[pii_type])
     else:
-        test = text.contains(_MARK[pii_type])
-    return test & text.rlike(_SHAPE[pii_type]) if pii_type in _SHAPE else test
+        test = f"contains({text}, {literal(_MARK[pii_type])})"
+    return f"{test} AND {rlike(text, _SHAPE[pii_type])}" if pii_type in _SHAPE else test
 
 
-def find_matches(text: Column, pii_type: str, strict: bool = True) -> Column:
+def find_matches(text: str, pii_type: str, strict: bool = True) -> str:
     return matches(text, pattern_for(pii_type, strict), gate(text, pii_type))
 
 
-def find_spans(text: Column, found: Column, pii_type: str, strict: bool = True) -> Column:
+def find_spans(text: str, found: str, pii_type: str, strict: bool = True) -> str:
     """Spans of one type with that type's own acceptance rule."""
     spans = locate(text, found, pattern_for(pii_type, strict))
     if pii_type == "AADHAAR":
-        spans = F.filter(spans, lambda s: F.length(F.regexp_replace(s["value"], "[ -]", "")) == 12)
+        spans = f"filter({spans}, s -> length(regexp_replace(s.value, '[ -]', '')) = 12)"
         if not strict:
-            spans = F.filter(
-                spans,
-                lambda s: ~(
-                    s["value"].rlike(r"^91[6-9]\p{Nd}{9}\z")
-                    & (F.substring(text, s["start"], F.lit(1)) == "+")
-                    & (s["start"] > 0)
-                ),
+            phone = rlike("s.value", r"^91[6-9]\p{Nd}{9}\z")
+            spans = (
+                f"filter({spans}, s -> NOT "
+                f"(s.start > 0 AND {phone} AND substring({text}, s.start, 1) = '+'))"
             )
     if pii_type == "UPI_ID":
-        spans = F.filter(spans, lambda s: F.substring(text, s["end"] + 1, F.lit(1)) != ".")
+        spans = f"filter({spans}, s -> substring({text}, s.`end` + 1, 1) <> '.')"
     return spans

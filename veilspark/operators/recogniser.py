@@ -3,7 +3,7 @@
 The built-in recogniser is a rule of thumb: two or three capitalised words are a person
 candidate, known place names a place candidate. A trained model can take its place through
 `DetectConfig.ner_fn`; it then runs as an Arrow-batched UDF next to the native steps, on
-pieces of at most 100,000 characters.
+pieces of at most 100,000 characters. Functions on text take and return SQL text.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.spans import locate, matches
-from ..functions.text import WORD, strip, unicode_pattern
+from ..functions.text import WORD, literal, rlike, strip, unicode_pattern
 
 PERSON = unicode_pattern(C.PERSON_SHAPE)
 # The look-ahead rejects most positions on one character.
@@ -24,43 +24,44 @@ PLACE = f"(?=[A-Z])(?<![{WORD}])(?:{'|'.join(C.PLACES)})(?![{WORD}])"
 ENTITIES = "array<struct<start:int,end:int,label:string>>"
 
 
-def is_excluded(value: Column) -> Column:
-    return F.lower(strip(value)).isin(C.GEO_EXCLUSIONS)
+def is_excluded(value: str) -> str:
+    terms = ", ".join(map(literal, C.GEO_EXCLUSIONS))
+    return f"(lower({strip(value)}) IN ({terms}))"
 
 
-def is_dotted_path(value: Column) -> Column:
-    return value.contains(".") & value.rlike(r"^[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*\z")
+def is_dotted_path(value: str) -> str:
+    path = rlike(value, r"^[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*\z")
+    return f"(contains({value}, '.') AND {path})"
 
 
-def is_person_shape(value: Column) -> Column:
-    letters = F.regexp_replace(value, "[ .-]", "")
+def is_person_shape(value: str) -> str:
+    letters = rlike(f"regexp_replace({value}, '[ .-]', '')", r"^\p{L}+\z")
     return (
-        (F.length(value) >= 2)
-        & letters.rlike(r"^\p{L}+\z")
-        & (value.contains(" ") | (F.length(value) >= 4))
+        f"(length({value}) >= 2 AND {letters} "
+        f"AND (contains({value}, ' ') OR length({value}) >= 4))"
     )
 
 
-def is_place_shape(value: Column) -> Column:
-    return F.length(value) >= 5
+def is_place_shape(value: str) -> str:
+    return f"(length({value}) >= 5)"
 
 
-def acceptable(value: Column, pii_type: str) -> Column:
+def acceptable(value: str, pii_type: str) -> str:
     shape = is_person_shape(value) if pii_type == "PERSON_NAME" else is_place_shape(value)
-    return ~is_excluded(value) & ~is_dotted_path(value) & shape
+    return f"(NOT {is_excluded(value)} AND NOT {is_dotted_path(value)} AND {shape})"
 
 
-def find_people(text: Column) -> Column:
-    return matches(text, PERSON, text.rlike("[a-z] [A-Z]"))
+def find_people(text: str) -> str:
+    return matches(text, PERSON, rlike(text, "[a-z] [A-Z]"))
 
 
-def find_places(text: Column) -> Column:
+def find_places(text: str) -> str:
     return matches(text, PLACE)
 
 
-def cue_spans(text: Column, found: Column, pii_type: str) -> Column:
+def cue_spans(text: str, found: str, pii_type: str) -> str:
     pattern = PERSON if pii_type == "PERSON_NAME" else PLACE
-    return F.filter(locate(text, found, pattern), lambda s: acceptable(s["value"], pii_type))
+    return f"filter({locate(text, found, pattern)}, s -> {acceptable('s.value', pii_type)})"
 
 
 def entity_column(text: Column, ner_fn: Callable, chunk: int = C.NER_CHUNK_CHARS) -> Column:
@@ -81,18 +82,15 @@ def entity_column(text: Column, ner_fn: Callable, chunk: int = C.NER_CHUNK_CHARS
     return entities(text)
 
 
-def model_spans(text: Column, entities: Column, pii_type: str) -> Column:
+def model_spans(text: str, entities: str, pii_type: str) -> str:
     """Spans of one kind from the model's output, after the same acceptance rules."""
-    labels = ["PERSON"] if pii_type == "PERSON_NAME" else ["GPE", "LOC", "FAC"]
-    spans = F.transform(
-        F.filter(entities, lambda e: e["label"].isin(labels)),
-        lambda e: F.struct(
-            e["start"].alias("start"),
-            e["end"].alias("end"),
-            strip(F.substring(text, e["start"] + 1, e["end"] - e["start"])).alias("value"),
-        ),
+    labels = "'PERSON'" if pii_type == "PERSON_NAME" else "'GPE', 'LOC', 'FAC'"
+    value = strip(f"substring({text}, e.start + 1, e.`end` - e.start)")
+    spans = (
+        f"transform(filter({entities}, e -> e.label IN ({labels})), e -> "
+        f"struct(e.start AS start, e.`end` AS `end`, {value} AS value))"
     )
-    return F.filter(spans, lambda s: acceptable(s["value"], pii_type))
+    return f"filter({spans}, s -> {acceptable('s.value', pii_type)})"
 
 
 def split_chunks(df: DataFrame, text: str = "text", chunk: int = C.NER_CHUNK_CHARS) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Which of several overlapping candidates stay."""
+"""Which of several overlapping candidates stay. Array steps are SQL expression text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,65 +10,51 @@ from .. import constants as C
 from .candidates import CANDIDATES, overlaps
 
 # Types that give way to every earlier-ranked pattern hit they overlap.
-YIELDING = [C.RANK["BANK_ACCOUNT"], C.RANK["IFSC"], C.RANK["UPI_ID"]]
+YIELDING = ", ".join(str(C.RANK[t]) for t in ("BANK_ACCOUNT", "IFSC", "UPI_ID"))
+NONE = f"cast(array() AS {CANDIDATES})"
 
 
-def _none() -> Column:
-    return F.array().cast(CANDIDATES)
-
-
-def exclude(cands: Column) -> Column:
+def exclude(cands: str) -> str:
     """Drop bank, IFSC and UPI candidates that overlap a candidate accepted before them."""
-    ordered = F.transform(
-        F.sort_array(
-            F.transform(cands, lambda c: F.struct(c["rank"].alias("r"), c["start"].alias("b"),
-                                                  c.alias("c")))
-        ),
-        lambda x: x["c"],
+    ordered = (
+        f"transform(sort_array(transform({cands}, c -> struct(c.rank AS r, c.start AS b, c AS c))),"
+        " x -> x.c)"
     )
-    return F.aggregate(
-        ordered,
-        _none(),
-        lambda acc, c: F.when(
-            c["rank"].isin(YIELDING) & F.exists(acc, lambda a: overlaps(a, c)), acc
-        ).otherwise(F.concat(acc, F.array(c))),
+    return (
+        f"aggregate({ordered}, {NONE}, (acc, c) -> "
+        f"CASE WHEN c.rank IN ({YIELDING}) AND exists(acc, a -> {overlaps('a', 'c')}) THEN acc "
+        "ELSE concat(acc, array(c)) END)"
     )
 
 
-def by_priority(cands: Column) -> Column:
+def by_priority(cands: str) -> str:
     """Widest first, then highest confidence, then rank and position."""
-    keyed = F.transform(
-        cands,
-        lambda c: F.struct(
-            (c["start"] - c["end"]).alias("w"), (-c["confidence"]).alias("n"),
-            c["rank"].alias("r"), c["start"].alias("b"), c.alias("c"),
-        ),
+    return (
+        f"transform(sort_array(transform({cands}, c -> struct(c.start - c.`end` AS w, "
+        "-c.confidence AS n, c.rank AS r, c.start AS b, c AS c))), x -> x.c)"
     )
-    return F.transform(F.sort_array(keyed), lambda x: x["c"])
 
 
-def greedy(cands: Column) -> Column:
+def greedy(cands: str) -> str:
     """Take candidates in priority order, skipping any that overlaps one already taken."""
-    return F.aggregate(
-        by_priority(cands),
-        _none(),
-        lambda acc, c: F.when(F.exists(acc, lambda a: overlaps(a, c)), acc).otherwise(
-            F.concat(acc, F.array(c))
-        ),
+    return (
+        f"aggregate({by_priority(cands)}, {NONE}, (acc, c) -> "
+        f"CASE WHEN exists(acc, a -> {overlaps('a', 'c')}) THEN acc "
+        "ELSE concat(acc, array(c)) END)"
     )
 
 
-def kept(cands: Column) -> Column:
-    return F.filter(cands, lambda c: c["keep"])
+def kept(cands: str) -> str:
+    return f"filter({cands}, c -> c.keep)"
 
 
-def settle(cands: Column, strict: bool) -> Column:
+def settle(cands: str, strict: bool) -> str:
     """Exclusion, context verdict and greedy choice for candidates that may conflict."""
     survivors = kept(exclude(cands)) if strict else exclude(kept(cands))
-    return F.when(F.size(cands) > 1, greedy(survivors)).otherwise(kept(cands))
+    return f"CASE WHEN size({cands}) > 1 THEN {greedy(survivors)} ELSE {kept(cands)} END"
 
 
-def resolve(cands: Column, strict: bool = False) -> Column:
+def resolve(cands: str, strict: bool = False) -> str:
     """Non-overlapping detections of one text, in text order.
 
     Candidates are walked by position and cut into islands: a candidate that starts at or
@@ -76,27 +62,17 @@ def resolve(cands: Column, strict: bool = False) -> Column:
     conflict, so the quadratic choice is made per island and a long text with thousands of
     hits stays cheap.
     """
-    start = F.struct(
-        _none().alias("done"), _none().alias("island"), F.lit(-1).alias("reach")
-    )
-
-    def step(acc, c):
-        opens = c["start"] >= acc["reach"]
-        return F.struct(
-            F.when(opens, F.concat(acc["done"], settle(acc["island"], strict)))
-            .otherwise(acc["done"]).alias("done"),
-            F.when(opens, F.array(c)).otherwise(F.concat(acc["island"], F.array(c)))
-            .alias("island"),
-            F.greatest(acc["reach"], c["end"]).alias("reach"),
-        )
-
-    walked = F.aggregate(
-        F.sort_array(cands),
-        start,
-        step,
-        lambda acc: F.concat(acc["done"], settle(acc["island"], strict)),
-    )
-    return F.when(F.size(cands) > 0, walked).otherwise(_none())
+    done = f"concat(w.done, {settle('w.island', strict)})"
+    return f"""
+    CASE WHEN size({cands}) > 0 THEN aggregate(
+      sort_array({cands}),
+      struct({NONE} AS done, {NONE} AS island, -1 AS reach),
+      (w, next) -> CASE WHEN next.start >= w.reach
+        THEN struct({done} AS done, array(next) AS island, next.`end` AS reach)
+        ELSE struct(w.done AS done, concat(w.island, array(next)) AS island,
+                    greatest(w.reach, next.`end`) AS reach) END,
+      w -> {done})
+    ELSE {NONE} END"""
 
 
 def without_overlaps(spans: DataFrame, against: DataFrame, key: list[str]) -> DataFrame:
