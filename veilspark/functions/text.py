@@ -14,6 +14,7 @@ from collections.abc import Iterable
 # no boundary before the digits.)
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\s\x1c-\x1f\x85\p{Z}"
+EDGES = f"^[{SPACE}]+|[{SPACE}]+$"
 BOUNDARY = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 
 
@@ -67,7 +68,7 @@ def rlike(e: str, pattern: str) -> str:
 
 def strip(e: str) -> str:
     """Remove white space of any kind from both ends."""
-    return f"regexp_replace({e}, {literal(f'^[{SPACE}]+|[{SPACE}]+$')}, '')"
+    return f"regexp_replace({e}, {literal(EDGES)}, '')"
 
 
 def has_text(e: str) -> str:

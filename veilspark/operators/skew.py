@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,32 +51,25 @@ def with_row_number(
     """Number all rows in a given order without sending them through one task.
 
     Rows are range-partitioned and written with the number of their range, so that the
-    ranges stay the same however often they are read; rows are numbered within each range,
-    and the sizes of the ranges before it (one row per range) are added. With `within`,
-    numbers restart at 1 for each of its values, however many rows one value has.
+    ranges stay the same however often they are read. Rows are numbered within each range,
+    and the sizes of the ranges before it are added. With `within`, numbers restart at 1 for
+    each of its values; a value with very many rows simply spans many ranges.
     """
     spark: SparkSession = df.sparkSession
-    keys: list[Column | str] = [within, *order] if within else list(order)
+    group = [within] if within else []
     path = scratch_dir(spark, "row-numbers")
-    df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    ranged = df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id())
+    ranged.write.parquet(path)
     spread = spark.read.parquet(path)
-    local = F.row_number().over(W.partitionBy("_part").orderBy(*keys))
-    sizes = spread.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    numbered = (
+    part = ["_part", *group]
+    local = F.row_number().over(W.partitionBy(*part).orderBy(*order))
+    # one row per range and value
+    sizes = spread.groupBy(*part).agg(F.count("*").alias("_size"))
+    earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*part, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    return (
         spread.withColumn(name, local)
-        .join(F.broadcast(offsets), "_part")  # one row per range
+        .join(offsets, part)
         .withColumn(name, F.col(name) + F.col("_before"))
         .drop("_part", "_before")
     )
-    if within is None:
-        return numbered
-    per_value = df.groupBy(within).agg(F.count("*").alias("_size"))
-    earlier = F.sum("_size").over(W.orderBy(within).rowsBetween(W.unboundedPreceding, -1))
-    firsts = per_value.select(within, F.coalesce(earlier, F.lit(0)).alias("_before"))
-    return (
-        numbered.join(firsts, within)
-        .withColumn(name, F.col(name) - F.col("_before"))
-        .drop("_before")
-    )

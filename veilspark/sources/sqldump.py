@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import EDGES
 
 # A statement: stretches without ";" and quotes, quoted literals, or a quote left alone.
 # Possessive, so that long statements need no deep recursion.
@@ -25,6 +25,10 @@ def read_dump(spark: SparkSession, path: str, whole_files: bool = False) -> Data
     return split_statements(raw, "value")
 
 
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, EDGES, "")
+
+
 def split_statements(df: DataFrame, column: str) -> DataFrame:
     """Separate statements at semicolons outside quotes; blanks are dropped."""
     pieces = F.regexp_extract_all(column, F.lit(STATEMENT), F.lit(0))
