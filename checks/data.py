@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilspark.plans.batch import spread
+
 PEOPLE = """
 SELECT c_custkey, c_nationkey,
   split_part('Asha Rao,Vikram Nair,Meena Iyer,Rohit Das,Fatima Khan,Kiran Bose,Neha Gupta', ',', CAST(c_custkey % 7 + 1 AS INT)) AS full_name,
@@ -111,6 +113,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def units(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Texts to detect in, dealt out over all cores if they come from few files."""
+    return spread(derive(spark, sf_dir, sql))
+
+
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run one of the statements above on the tables of a folder."""
     for name in TABLES:

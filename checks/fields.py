@@ -11,7 +11,7 @@ from veilspark.operators import context, fields
 from veilspark.operators.detect import add_candidates
 
 from . import oracle as O
-from .data import LABELLED, NOTES, ROWS, ctes, derive
+from .data import LABELLED, NOTES, ROWS, ctes, derive, units
 from .registry import check
 
 _TEXTS = f"SELECT unit_id, file_id, text FROM ({NOTES}) n UNION ALL SELECT unit_id + 1000000000, file_id, text FROM ({ROWS}) r"
@@ -22,7 +22,7 @@ SELECT unit_id, label, value, s AS start_pos, e AS end_pos FROM ({O.pairs('t', '
 def o42(spark, sf_dir):
     df = derive(spark, sf_dir, _TEXTS)
     df = df.withColumn("m", F.expr(fields.find_pairs("text", only_relevant=False)))
-    rows = df.select("unit_id", F.explode_outer(F.expr(fields.pair_spans("text", "m"))).alias("x"))
+    rows = df.select("unit_id", F.explode_outer(F.expr(fields.pair_spans("text", "m", only_relevant=False))).alias("x"))
     return rows.where(F.col("x.start").isNotNull()).select(
         "unit_id", "x.label", "x.value", F.col("x.start").cast("bigint").alias("start_pos"),
         F.col("x.end").cast("bigint").alias("end_pos"),
@@ -81,7 +81,7 @@ _labelled(
 
 def _cands(spark, sf_dir, strict=True):
     """All candidates with their context verdict, one row each."""
-    df = add_candidates(derive(spark, sf_dir, NOTES), DetectConfig(strict=strict))
+    df = add_candidates(units(spark, sf_dir, NOTES), DetectConfig(strict=strict))
     rows = df.select("unit_id", "text", F.explode_outer("candidates").alias("c"))
     return rows.where(F.col("c.start").isNotNull()).select("unit_id", "text", "c.*")
 

@@ -10,7 +10,7 @@ from veilspark.operators.detect import add_detections, explode_detections
 from veilspark.plans import batch
 
 from . import oracle as O
-from .data import COLUMNS, CORPUS, FILE_ID, PEOPLE, ROWS, ctes, derive
+from .data import COLUMNS, CORPUS, FILE_ID, PEOPLE, ROWS, ctes, derive, units
 from .registry import KEY, check
 from .tokens import DET, UNITS, VAULT, tokens
 
@@ -18,7 +18,7 @@ KEYS = ["file_id", "unit_id"]
 
 
 def _staged(spark, sf_dir, source=UNITS):
-    return batch.stage(add_detections(derive(spark, sf_dir, source)), "check-detected")
+    return batch.stage(add_detections(units(spark, sf_dir, source)), "check-detected")
 
 
 def _vault(staged):

@@ -10,7 +10,7 @@ from veilspark.operators.resolve import add_islands, by_priority, duplicate_span
 from veilspark.sources.tables import as_cells
 
 from . import oracle as O
-from .data import COLUMNS, NOTES, PEOPLE, ROWS, ctes, derive
+from .data import COLUMNS, NOTES, PEOPLE, ROWS, ctes, derive, units
 from .registry import check
 
 DOCS = "SELECT doc_id AS unit_id, source AS file_id, text FROM documents"
@@ -42,7 +42,7 @@ _PATTERNS_ONLY = DetectConfig(strict=True, structured=False, recogniser="none")
 
 def _raw_cands(spark, sf_dir):
     """Candidates with the context verdict lifted."""
-    df = add_candidates(derive(spark, sf_dir, NOTES), _PATTERNS_ONLY)
+    df = add_candidates(units(spark, sf_dir, NOTES), _PATTERNS_ONLY)
     lifted = F.transform("candidates", lambda c: c.withField("keep", F.lit(True)))
     return df.select("unit_id", lifted.alias("c"))
 
@@ -93,7 +93,7 @@ def _detect_check(name, source, strict, ner=True):
 
     @check(name, ctes(**_with_ctes(source, strict, ner)) + f"SELECT unit_id, file_id, {PLAIN} FROM det")
     def query(spark, sf_dir):
-        found = detect_rows(derive(spark, sf_dir, source), ["unit_id", "file_id"], cfg)
+        found = detect_rows(units(spark, sf_dir, source), ["unit_id", "file_id"], cfg)
         return plain(found, ["unit_id", "file_id"])
 
 
@@ -124,7 +124,7 @@ def o62_cells(spark, sf_dir):
 @check("o62_min_confidence", ctes(**_with_ctes(NOTES)) + """
 SELECT unit_id, s AS start_pos, pii_type FROM det WHERE confidence >= 0.9""")
 def o62_min(spark, sf_dir):
-    found = detect_rows(derive(spark, sf_dir, NOTES), ["unit_id"], DetectConfig(min_confidence=0.9))
+    found = detect_rows(units(spark, sf_dir, NOTES), ["unit_id"], DetectConfig(min_confidence=0.9))
     return found.select("unit_id", F.col("start").cast("bigint").alias("start_pos"), "pii_type")
 
 
@@ -141,6 +141,6 @@ def o63_raw(spark, sf_dir):
 @check("o63_duplicate_spans", ctes(**_with_ctes(NOTES)) + """
 SELECT count(*) AS duplicates FROM (SELECT unit_id, s, e FROM det GROUP BY ALL HAVING count(*) > 1)""")
 def o63(spark, sf_dir):
-    found = detect_rows(derive(spark, sf_dir, NOTES), ["unit_id"])
+    found = detect_rows(units(spark, sf_dir, NOTES), ["unit_id"])
     return duplicate_spans(found, ["unit_id"]).agg(F.count("*").alias("duplicates"))
 

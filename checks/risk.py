@@ -8,7 +8,7 @@ from veilspark.operators import govern, risk
 from veilspark.operators.detect import detect_rows
 
 from . import oracle as O
-from .data import AUDIT, FILES, NOTES, PEOPLE, ctes, derive
+from .data import AUDIT, FILES, NOTES, PEOPLE, ctes, derive, units
 from .registry import check
 
 # 300 files of different make-up; file 0 also holds the last third of all rows.
@@ -38,7 +38,7 @@ FROM det GROUP BY file_id""",
 
 
 def _detected(spark, sf_dir):
-    return detect_rows(derive(spark, sf_dir, UNITS), ["file_id", "unit_id"])
+    return detect_rows(units(spark, sf_dir, UNITS), ["file_id", "unit_id"])
 
 
 def _counts(spark, sf_dir):

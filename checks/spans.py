@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from veilspark import constants as C
 from veilspark.config import DetectConfig
+from veilspark.functions.spans import searchable
 from veilspark.functions.text import has_text
 from veilspark.operators import patterns, recogniser
 from veilspark.operators.detect import add_candidates
 from veilspark.operators.resolve import exclude, without_overlaps
 
 from . import oracle as O
-from .data import CORPUS, NOTES, PEOPLE, ctes, derive
+from .data import CORPUS, NOTES, PEOPLE, ctes, derive, units
 from .registry import check
 
 KEYS = "src, unit_id"
@@ -29,7 +30,8 @@ def span_rows(df, keys, spans):
 
 
 def pattern_rows(df, pii_type, keys, strict=True):
-    found = df.withColumn("m", F.expr(patterns.find_matches("text", pii_type, strict)))
+    clean = df.withColumn("t", F.expr(searchable("text")))
+    found = clean.withColumn("m", F.expr(patterns.find_pieces("t", pii_type, strict)))
     return span_rows(found, keys, patterns.find_spans("text", "m", pii_type, strict))
 
 
@@ -41,7 +43,7 @@ def _span_check(number: int, pii_type: str, strict: bool = True, suffix: str = "
 
     @check(f"o{number}_{pii_type.lower()}_spans{suffix}", sql)
     def query(spark, sf_dir):
-        return pattern_rows(derive(spark, sf_dir, CORPUS), pii_type, CORPUS_KEYS, strict)
+        return pattern_rows(units(spark, sf_dir, CORPUS), pii_type, CORPUS_KEYS, strict)
 
 
 for _n, _t in enumerate(C.PATTERNS, 25):
@@ -71,7 +73,7 @@ SELECT unit_id, s AS start_pos, e AS end_pos, rank, value FROM x3
 UNION ALL SELECT unit_id, s, e, rank, value FROM raw WHERE rank = 9""")
 def o34(spark, sf_dir):
     cfg = DetectConfig(strict=True, structured=False, recogniser="none")
-    cands = add_candidates(derive(spark, sf_dir, NOTES), cfg)
+    cands = add_candidates(units(spark, sf_dir, NOTES), cfg)
     rows = cands.select("unit_id", F.explode_outer(F.expr(exclude("candidates"))).alias("x"))
     return rows.where(F.col("x.start").isNotNull()).select(
         "unit_id", F.col("x.start").cast("bigint").alias("start_pos"),

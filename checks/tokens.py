@@ -10,7 +10,7 @@ from veilspark.operators.detect import detect_rows
 from veilspark.plans.batch import stage
 
 from . import oracle as O
-from .data import NOTES, PEOPLE, ROWS, ctes, derive
+from .data import NOTES, PEOPLE, ROWS, ctes, derive, units
 from .registry import KEY, check
 
 # Notes and rendered rows; ids of the two do not meet.
@@ -22,7 +22,7 @@ VAULT = {**DET, **O.vault_ctes()}
 
 
 def detections(spark, sf_dir):
-    return detect_rows(derive(spark, sf_dir, UNITS), ["file_id", "unit_id"])
+    return detect_rows(units(spark, sf_dir, UNITS), ["file_id", "unit_id"])
 
 
 def tokens(spark, sf_dir):

@@ -1,37 +1,63 @@
-"""Positions of pattern matches, without a UDF. SQL expression text in and out."""
+"""Positions of pattern matches, without a UDF. SQL expression text in and out.
+
+A text is cut into pieces in one pass: the pattern's matches are wrapped in a marker
+character and the result is split at the marker, so gaps and matches alternate. The start of
+a match is the length of all pieces before it.
+"""
 
 from __future__ import annotations
 
-from .text import literal
+from .text import ascii_pattern, literal, unicode_pattern
 
 SPANS = "array<struct<start:int,end:int,value:string>>"
-NO_MATCHES = "cast(array() AS array<string>)"
+NO_SPANS = f"cast(array() AS {SPANS})"
+NO_PIECES = "cast(array() AS array<string>)"
+
+# A control character no pattern names and no class holds; another of its kind takes its
+# place in a text that already has it, which changes neither matches nor offsets.
+MARK, OTHER = "char(1)", "char(2)"
+
+
+def searchable(text: str) -> str:
+    """The text without the marker character."""
+    return f"CASE WHEN contains({text}, {MARK}) THEN translate({text}, {MARK}, {OTHER}) ELSE {text} END"
 
 
-def matches(text: str, pattern: str, gate: str | None = None) -> str:
-    """All matches of `pattern`; rows failing the cheap `gate` skip the search."""
-    found = f"regexp_extract_all({text}, {literal(pattern)}, 0)"
-    if gate is None:
-        return f"coalesce({found}, {NO_MATCHES})"
-    return f"CASE WHEN {gate} THEN {found} ELSE {NO_MATCHES} END"
+def is_ascii(text: str) -> str:
+    return f"(octet_length({text}) = length({text}))"
 
 
-def locate(text: str, found: str, pattern: str) -> str:
-    """Turn `matches()` output into spans with half-open character offsets.
+def cut(text: str, pattern: str, gate: str | None = None) -> str:
+    """Pieces gap, match, gap, … of a `searchable` text; none if the cheap `gate` fails.
 
-    The text between matches comes from splitting on the same pattern, so a match starts
-    where the pieces and matches before it end. One running sum over the matches; texts
-    without a match are not split at all.
+    `pattern` is written with the classes of `functions.text`. In pure ASCII texts the plain
+    classes of Java mean the same and are tested faster, so those texts use them.
     """
-    none = f"cast(array() AS {SPANS})"
-    return f"""
-    CASE WHEN size({found}) > 0 THEN aggregate(
-      zip_with({found}, slice(split({text}, {literal(pattern)}, -1), 1, size({found})),
-        (m, g) -> struct(length(g) AS gap, length(m) AS len, m AS value)),
-      struct(0 AS pos, {none} AS done),
-      (acc, p) -> struct(
-        acc.pos + p.gap + p.len AS pos,
-        concat(acc.done, array(struct(
-          acc.pos + p.gap AS start, acc.pos + p.gap + p.len AS `end`, p.value AS value))) AS done),
-      acc -> acc.done)
-    ELSE {none} END"""
+    def pieces(java_pattern):
+        marked = f"regexp_replace({text}, {literal(java_pattern)}, concat({MARK}, '$0', {MARK}))"
+        return f"split({marked}, {MARK}, -1)"
+
+    test = f"{text} IS NOT NULL" + (f" AND {gate}" if gate else "")
+    return (
+        f"CASE WHEN NOT ({test}) THEN {NO_PIECES} WHEN {is_ascii(text)} "
+        f"THEN {pieces(ascii_pattern(pattern))} ELSE {pieces(unicode_pattern(pattern))} END"
+    )
+
+
+def locate(text: str, pieces: str) -> str:
+    """Spans (start, end, value) with half-open character offsets, from `cut()` output."""
+    walked = f"""aggregate({pieces},
+      struct(0 AS pos, false AS hit, {NO_SPANS} AS done),
+      (w, p) -> struct(
+        w.pos + length(p) AS pos, NOT w.hit AS hit,
+        CASE WHEN w.hit THEN concat(w.done, array(struct(
+          w.pos AS start, w.pos + length(p) AS `end`, p AS value))) ELSE w.done END AS done),
+      w -> w.done)"""
+    original = (
+        f"transform({walked}, s -> struct(s.start AS start, s.`end` AS `end`, "
+        f"substring({text}, s.start + 1, s.`end` - s.start) AS value))"
+    )
+    return (
+        f"CASE WHEN size({pieces}) <= 1 THEN {NO_SPANS} "
+        f"WHEN contains({text}, {MARK}) THEN {original} ELSE {walked} END"
+    )

@@ -18,29 +18,18 @@ EDGES = f"^[{SPACE}]+|[{SPACE}]+$"
 BOUNDARY = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 
 
-def unicode_pattern(pattern: str) -> str:
-    r"""Rewrite `\b \d \s \w` of a pattern to the Unicode classes above.
-
-    A `\b` directly before a digit or capital, and one that ends the pattern after a word
-    character, need only half of the general test; the cheap half is tried first so that
-    most positions of a text fail on one character.
-    """
-    for lead, first in ((r"\b(\d", r"\p{Nd}"), (r"\b([A-Z]", "[A-Z]"), (r"\b[A-Z][a", "[A-Z]")):
-        if pattern.startswith(lead):
-            pattern = f"(?={first})(?<![{WORD}])" + pattern[len(r"\b"):]
-            break
+def _translate(pattern: str, boundary: str, digit: str, space: str, word: str) -> str:
     out, i, in_class = "", 0, False
     while i < len(pattern):
-        two = pattern[i:i + 2]
-        step = 2
+        two, step = pattern[i:i + 2], 2
         if two == r"\b":
-            out += f"(?![{WORD}])" if i + 2 == len(pattern) and i else BOUNDARY
+            out += boundary
         elif two == r"\d":
-            out += r"\p{Nd}"
+            out += digit
         elif two == r"\s":
-            out += SPACE if in_class else f"[{SPACE}]"
+            out += space if in_class else f"[{space}]"
         elif two == r"\w":
-            out += WORD if in_class else f"[{WORD}]"
+            out += word if in_class else f"[{word}]"
         elif two.startswith("\\"):
             out += two
         else:
@@ -51,6 +40,16 @@ def unicode_pattern(pattern: str) -> str:
     return out
 
 
+def unicode_pattern(pattern: str) -> str:
+    r"""Give `\b \d \s \w` of a pattern the Unicode meaning above."""
+    return _translate(pattern, BOUNDARY, r"\p{Nd}", SPACE, WORD)
+
+
+def ascii_pattern(pattern: str) -> str:
+    r"""The same pattern for texts of ASCII characters only."""
+    return _translate(pattern, r"\b", "[0-9]", r"\s\x1c-\x1f", "A-Za-z0-9_")
+
+
 def literal(value: str) -> str:
     """SQL literal of any text, without escapes."""
     if "'" not in value:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..config import DetectConfig
+from ..functions.spans import searchable
 from ..functions.text import SPACE, has_text, literal, strip
 from . import fields, patterns, recogniser
 from .candidates import candidate
@@ -28,19 +29,18 @@ def add_candidates(
     Works in two projections so that each pattern is searched once per text: Catalyst keeps
     them apart because the first one's results are used several times.
     """
-    searchable = f"CASE WHEN {has_text(text)} THEN {text} END"
     known = f"replace(lower(trim({label})), ' ', '_')" if label else None
+    t = "_text"
+    clean = F.expr(f"CASE WHEN {has_text(text)} THEN {searchable(text)} END")
 
-    found = {
-        f"_m_{p}": F.expr(patterns.find_matches(searchable, p, cfg.strict)) for p in C.PATTERNS
-    }
+    found = {f"_m_{p}": F.expr(patterns.find_pieces(t, p, cfg.strict)) for p in C.PATTERNS}
     if cfg.structured and label is None:
-        found["_m_pairs"] = F.expr(fields.find_pairs(searchable))
+        found["_m_pairs"] = F.expr(fields.find_pairs(t))
     if cfg.ner_fn is not None:
         found["_m_entities"] = recogniser.entity_column(F.col(text), cfg.ner_fn)
     elif cfg.recogniser == "cue":
-        found["_m_PERSON_NAME"] = F.expr(recogniser.find_people(searchable))
-        found["_m_ADDRESS"] = F.expr(recogniser.find_places(searchable))
+        found["_m_PERSON_NAME"] = F.expr(recogniser.find_people(t))
+        found["_m_ADDRESS"] = F.expr(recogniser.find_places(t))
 
     parts = [
         judge(text, patterns.find_spans(text, f"_m_{p}", p, cfg.strict), p, "regex", cfg, known)
@@ -56,7 +56,8 @@ def add_candidates(
         parts.append(judge(text, spans, kind, "ner", cfg, known))
     if cfg.structured:
         parts.append(_structured(text, known))
-    return df.withColumns(found).withColumn(out, F.expr(f"concat({', '.join(parts)})")).drop(*found)
+    cands = F.expr(f"concat({', '.join(parts)})")
+    return df.withColumn(t, clean).withColumns(found).withColumn(out, cands).drop(t, *found)
 
 
 def _structured(text: str, known: str | None) -> str:

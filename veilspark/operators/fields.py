@@ -3,38 +3,45 @@
 from __future__ import annotations
 
 from .. import constants as C
-from ..functions.spans import locate, matches
+from ..functions.spans import cut, locate
 from ..functions.text import (
     SPACE, contains_any, label_parts, literal, literals, rlike, strip, unicode_pattern,
 )
 
-# (?d): only "\n" ends a line; (?m): "$" also matches before it.
-PAIR = "(?dm)" + unicode_pattern(C.PAIR_PATTERN)
+# (?d): only "\n" ends a line; (?m): "$" also matches before it. The label gives no character
+# back, as a shorter one could not be followed by the colon either.
+PAIR = "(?dm)" + C.PAIR_PATTERN.replace(r"([\w.]+)", r"([\w.]++)")
 _HEAD = unicode_pattern(r"^[\w.]+\s*:\s*")
 _LABEL = unicode_pattern(r"^([\w.]+)")
 
 
+_RELEVANT = r"(?i)^[\p{L}\p{N}_.]*(?:" + "|".join(C.NAME_PARTS + C.ADDRESS_PARTS) + ")"
+
+
 def find_pairs(text: str, only_relevant: bool = True) -> str:
-    """`label: value` matches. With `only_relevant`, texts without any name or address
-    word are skipped, as none of their pairs can lead to a detection."""
+    """Pieces of a `searchable` text, cut at its `label: value` pairs. With `only_relevant`,
+    texts without any name or address word are skipped: none of their pairs can lead to a
+    detection."""
     test = f"contains({text}, ':')"
     if only_relevant:
         test += " AND " + contains_any(f"lower({text})", C.NAME_PARTS + C.ADDRESS_PARTS)
-    return matches(text, PAIR, test)
+    return cut(text, PAIR, test)
 
 
-def pair_spans(text: str, found: str) -> str:
+def pair_spans(text: str, pieces: str, only_relevant: bool = True) -> str:
     """Array of (label, value, start, end); the offsets are those of the trimmed value."""
+    pairs = locate(text, pieces)
+    if only_relevant:
+        pairs = f"filter({pairs}, s -> {rlike('s.value', _RELEVANT)})"
     raw = f"regexp_replace(s.value, {literal(_HEAD)}, '')"
     label = f"lower(regexp_extract(s.value, {literal(_LABEL)}, 1))"
-    cut = (
-        f"transform({locate(text, found, PAIR)}, s -> "
-        f"struct({label} AS label, {raw} AS raw, s.`end` AS `end`))"
+    halves = (
+        f"transform({pairs}, s -> struct({label} AS label, {raw} AS raw, s.`end` AS `end`))"
     )
     value = strip("p.raw")
     begin = "p.`end` - length(p.raw)"
     trimmed = (
-        f"transform({cut}, p -> struct(p.label AS label, {value} AS value, "
+        f"transform({halves}, p -> struct(p.label AS label, {value} AS value, "
         f"{begin} AS start, {begin} + length({value}) AS `end`))"
     )
     return f"filter({trimmed}, p -> length(p.value) >= 2)"

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from .. import constants as C
-from ..functions.spans import locate, matches
-from ..functions.text import literal, rlike, unicode_pattern
+from ..functions.spans import cut, locate
+from ..functions.text import literal, rlike
 
 # A local part never contains "@", so it may be matched without giving characters back;
 # long tokens without "@" then cost one scan instead of two.
@@ -13,9 +13,9 @@ _LOCAL_PART_NO_BACKTRACK = "[A-Za-z0-9._%+-]++@"
 
 
 def pattern_for(pii_type: str, strict: bool = True) -> str:
-    """The pattern of a type, as java.util.regex reads it."""
+    """The pattern of a type."""
     pattern = C.RELAXED_PHONE if pii_type == "PHONE_NUMBER" and not strict else C.PATTERNS[pii_type]
-    return unicode_pattern(pattern.replace(_LOCAL_PART, _LOCAL_PART_NO_BACKTRACK))
+    return pattern.replace(_LOCAL_PART, _LOCAL_PART_NO_BACKTRACK)
 
 
 # A run of digits that every hit of the type holds. Several types share the four-digit
@@ -49,13 +49,14 @@ def gate(text: str, pii_type: str) -> str:
     return f"{test} AND {rlike(text, _SHAPE[pii_type])}" if pii_type in _SHAPE else test
 
 
-def find_matches(text: str, pii_type: str, strict: bool = True) -> str:
-    return matches(text, pattern_for(pii_type, strict), gate(text, pii_type))
+def find_pieces(text: str, pii_type: str, strict: bool = True) -> str:
+    """Pieces of a `searchable` text, cut at the hits of one type."""
+    return cut(text, pattern_for(pii_type, strict), gate(text, pii_type))
 
 
-def find_spans(text: str, found: str, pii_type: str, strict: bool = True) -> str:
+def find_spans(text: str, pieces: str, pii_type: str, strict: bool = True) -> str:
     """Spans of one type with that type's own acceptance rule."""
-    spans = locate(text, found, pattern_for(pii_type, strict))
+    spans = locate(text, pieces)
     if pii_type == "AADHAAR":
         spans = f"filter({spans}, s -> length(regexp_replace(s.value, '[ -]', '')) = 12)"
         if not strict:

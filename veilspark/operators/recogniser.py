@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.spans import locate, matches
-from ..functions.text import WORD, literal, rlike, strip, unicode_pattern
+from ..functions.spans import cut, locate
+from ..functions.text import literal, rlike, strip
 
-PERSON = unicode_pattern(C.PERSON_SHAPE)
 # The look-ahead rejects most positions on one character.
-PLACE = f"(?=[A-Z])(?<![{WORD}])(?:{'|'.join(C.PLACES)})(?![{WORD}])"
+PERSON = "(?=[A-Z])" + C.PERSON_SHAPE
+PLACE = r"(?=[A-Z])\b(?:" + "|".join(C.PLACES) + r")\b"
 ENTITIES = "array<struct<start:int,end:int,label:string>>"
 
 
@@ -52,16 +52,15 @@ def acceptable(value: str, pii_type: str) -> str:
 
 
 def find_people(text: str) -> str:
-    return matches(text, PERSON, rlike(text, "[a-z] [A-Z]"))
+    return cut(text, PERSON, rlike(text, "[a-z] [A-Z]"))
 
 
 def find_places(text: str) -> str:
-    return matches(text, PLACE)
+    return cut(text, PLACE)
 
 
-def cue_spans(text: str, found: str, pii_type: str) -> str:
-    pattern = PERSON if pii_type == "PERSON_NAME" else PLACE
-    return f"filter({locate(text, found, pattern)}, s -> {acceptable('s.value', pii_type)})"
+def cue_spans(text: str, pieces: str, pii_type: str) -> str:
+    return f"filter({locate(text, pieces)}, s -> {acceptable('s.value', pii_type)})"
 
 
 def entity_column(text: Column, ner_fn: Callable, chunk: int = C.NER_CHUNK_CHARS) -> Column:

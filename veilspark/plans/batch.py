@@ -25,6 +25,16 @@ class BatchResult:
     masked: DataFrame
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when the input has fewer files than cores.
+
+    Detection needs far more time per byte than a shuffle, so a handful of files is dealt out
+    evenly first. Inputs of many files, which have splits enough, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared scratch folder and go on from there. Cuts the lineage,
     survives lost executors, and lets later steps read only the columns they need."""
@@ -54,7 +64,7 @@ def run(
     key = secret_key(spark)
     keys = ["file_id", "unit_id"]
     cols = [*keys, "text", *([label] if label else [])]
-    staged = stage(add_detections(units.select(*cols), cfg, label=label), "detected")
+    staged = stage(add_detections(spread(units.select(*cols)), cfg, label=label), "detected")
     detections = explode_detections(staged, keys)
 
     files = staged.select("file_id").distinct()
