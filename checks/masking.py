@@ -75,7 +75,7 @@ def o91_order(spark, sf_dir):
 @check("o92_span_splice", ctes(**VAULT) + f"SELECT unit_id, file_id, masked FROM ({_SPLICED})")
 def o92(spark, sf_dir):
     staged = _staged(spark, sf_dir)
-    spans = mask.unit_tokens(explode_detections(staged, KEYS), _vault(staged), KEYS)
+    spans = batch.stage(mask.unit_tokens(explode_detections(staged, KEYS), _vault(staged), KEYS), "check-spans")
     return mask.mask_texts(staged, spans, KEYS).select("unit_id", "file_id", "masked")
 
 
@@ -84,7 +84,7 @@ SELECT unit_id, file_id, masked FROM ({_SPLICED}) WHERE NOT EXISTS (SELECT 1 FRO
 """.replace("SELECT unit_id, file_id, masked FROM (", "SELECT unit_id, file_id, masked FROM (SELECT *, unit_id AS unit_id_, file_id AS file_id_ FROM (").replace(") WHERE NOT", ")) WHERE NOT"))
 def o22(spark, sf_dir):
     staged = _staged(spark, sf_dir)
-    spans = mask.unit_tokens(explode_detections(staged, KEYS), _vault(staged), KEYS)
+    spans = batch.stage(mask.unit_tokens(explode_detections(staged, KEYS), _vault(staged), KEYS), "check-spans")
     out = mask.mask_texts(staged, spans, KEYS).where(F.size("detections") == 0)
     return out.select("unit_id", "file_id", "masked")
 
@@ -99,7 +99,7 @@ FROM (SELECT DISTINCT unit_id, file_id, value, token FROM det JOIN vault USING (
 
 def _row_mappings(spark, sf_dir):
     staged = _staged(spark, sf_dir, ROWS)
-    spans = mask.unit_tokens(explode_detections(staged, KEYS), _vault(staged), KEYS)
+    spans = batch.stage(mask.unit_tokens(explode_detections(staged, KEYS), _vault(staged), KEYS), "check-spans")
     return batch.row_mapping(spans, KEYS)
 
 
@@ -164,7 +164,7 @@ def o99_plain(spark, sf_dir):
 def o100(spark, sf_dir):
     staged = _staged(spark, sf_dir)
     table = _vault(staged)
-    spans = mask.unit_tokens(explode_detections(staged, KEYS), table, KEYS)
+    spans = batch.stage(mask.unit_tokens(explode_detections(staged, KEYS), table, KEYS), "check-spans")
     masked = mask.mask_texts(staged, spans, KEYS).select(*KEYS, "masked")
     sealed = batch.stage(vault.encrypt_values(table, KEY), "check-vault")
     revealed = vault.reverse_tokens(sealed, KEY)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veilspark.config import DetectConfig
 from veilspark.operators.detect import add_candidates, detect_rows
 from veilspark.operators.resolve import add_islands, by_priority, duplicate_spans, greedy, kept
+from veilspark.plans.batch import spread
 from veilspark.sources.tables import as_cells
 
 from . import oracle as O
@@ -116,7 +117,7 @@ _CELLS = " UNION ALL ".join(
                               "BANK_ACCOUNT", "IFSC", "UPI_ID", "VOTER_ID", "PASSPORT"])))
 def o62_cells(spark, sf_dir):
     people = derive(spark, sf_dir, PEOPLE).withColumnRenamed("c_custkey", "unit_id")
-    cells = as_cells(people, COLUMNS, ["unit_id"])
+    cells = spread(as_cells(people, COLUMNS, ["unit_id"]))
     found = plain(detect_rows(cells, ["unit_id", "label"], label="label"), ["unit_id", "label"])
     return found.drop("confidence", "method")
 

@@ -80,17 +80,18 @@ def splice(text: Column, spans: Column) -> Column:
 def unit_tokens(
     detected: DataFrame, vault: DataFrame, keys: list[str], file: str = "file_id"
 ) -> DataFrame:
-    """Spans with tokens, collected per unit of text: (keys, spans).
+    """Spans with tokens, collected per unit of text: (keys, spans, n_rows).
 
     Only spans are shuffled, not texts. `vault` needs value, token and n_found per file;
     values that occur very often are joined by broadcast (see `lookup_join`). A unit's list
-    is bounded by its own text.
+    is bounded by its own text; copies of a unit that share its id add nothing to it.
     """
     all_keys = list(dict.fromkeys([file, *keys]))
     spans = detected.select(*all_keys, "start", "end", "value")
     joined = lookup_join(spans, vault, [file, "value"], "n_found", ["token"])
     return joined.groupBy(*all_keys).agg(
-        F.collect_list(F.struct("start", "end", "token", "value")).alias("spans")
+        F.collect_set(F.struct("start", "end", "token", "value")).alias("spans"),
+        F.count("*").alias("n_rows"),
     )
 
 
@@ -101,9 +102,11 @@ def mask_texts(
     """Masked text of every unit. Units without detections keep their text.
 
     `units` carries the `detections` column; only units that have any take part in the join.
+    `tokens` comes from `unit_tokens`, best written to a table first. Units that exist in very
+    many copies under one id are no hot key (see `lookup_join`).
     """
     clean = units.where(F.size("detections") == 0).withColumn(out, F.col(text))
-    dirty = units.where(F.size("detections") > 0).join(tokens, keys)
+    dirty = lookup_join(units.where(F.size("detections") > 0), tokens, keys, "n_rows", ["spans"])
     spliced = dirty.withColumn(out, splice(F.col(text), F.col("spans"))).drop("spans")
     return clean.unionByName(spliced)
 
@@ -117,7 +120,7 @@ def find_values(
     texts: DataFrame, values: DataFrame, keys: list[str], file: str = "file_id",
     text: str = "text",
 ) -> DataFrame:
-    """(keys, value) for every value of the file that occurs anywhere in the text.
+    """(file, keys, value) for every value of the file that occurs anywhere in the text.
 
     Exact, and free of cross products however many values share a beginning:
 
@@ -165,8 +168,8 @@ def find_values(
     known = values.select(file, "value").distinct()
     confirmed = salted_join(pieces, known, [file, "value"], keys)
     return (
-        whole.select(*keys, F.col("_anchor").alias("value"))
-        .unionByName(confirmed.select(*keys, "value"))
+        whole.select(*all_keys, F.col("_anchor").alias("value"))
+        .unionByName(confirmed.select(*all_keys, "value"))
     )
 
 
@@ -181,10 +184,7 @@ def mask_by_file(
     whole dictionary, a value that occurs only inside an inserted token is left alone.
     """
     present = find_values(texts, vault, keys, file, text)
-    all_keys = list(dict.fromkeys([file, *keys]))
-    hits = texts.select(*all_keys).join(present, keys).join(
-        vault.select(file, "value", "token"), [file, "value"]
-    )
+    hits = salted_join(present, vault.select(file, "value", "token"), [file, "value"], keys)
     per_text = hits.groupBy(*keys).agg(
         F.collect_list(F.struct("value", "token")).alias("_mapping")
     )
@@ -213,18 +213,25 @@ def detokenise(
     masked: DataFrame, revealed: DataFrame, keys: list[str], file: str = "file_id",
     text: str = "masked", out: str = "restored",
 ) -> DataFrame:
-    """Put the values back. `revealed` maps tokens of a file to values."""
+    """Put the values back. `revealed` maps tokens of a file to values.
+
+    Texts without anything that looks like a token take no part in the joins.
+    """
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0)))
     all_keys = list(dict.fromkeys([file, *keys]))
-    rows = masked.select(*all_keys, F.explode(found).alias("token"))
-    known = rows.join(revealed.select(file, "token", "value"), [file, "token"])
+    marked = masked.withColumn("_tokens", found)
+    plain = marked.where(F.size("_tokens") == 0).withColumn(out, F.col(text)).drop("_tokens")
+    coded = marked.where(F.size("_tokens") > 0)
+    rows = coded.select(*all_keys, F.explode("_tokens").alias("token"))
+    known = salted_join(rows, revealed.select(file, "token", "value"), [file, "token"], keys)
     per_text = known.groupBy(*keys).agg(
-        F.collect_list(F.struct(F.col("token").alias("value"), F.col("value").alias("token")))
+        F.collect_set(F.struct(F.col("token").alias("value"), F.col("value").alias("token")))
         .alias("_back")
     )
-    return (
-        masked.join(per_text, keys, "left")
+    restored = (
+        coded.join(per_text, keys, "left")
         .withColumn(out, F.when(F.col("_back").isNull(), F.col(text)).otherwise(
             replace_all(F.col(text), F.col("_back"))))
-        .drop("_back")
+        .drop("_back", "_tokens")
     )
+    return plain.unionByName(restored)

@@ -10,6 +10,7 @@ from ..config import scratch_dir
 
 MAX_HOT_KEYS = 10_000
 SALTS = 16
+DEAL = 1024
 
 
 def lookup_join(
@@ -18,19 +19,29 @@ def lookup_join(
     """Inner join of `rows` to a `lookup` with one row per key and a known row count.
 
     A key is hot when it covers more than 1/10,000 of all rows; hence there are at most
-    10,000 hot keys, and their part of the lookup is broadcast. All other keys are joined
-    by a shuffle in which no key is large. `lookup` should be a written table: it is read
-    once for the total and once per part.
+    10,000 hot keys, and their part of the lookup is broadcast. All other keys are joined by
+    a shuffle in which no key is large: rows that already found their hot key are dealt out
+    evenly. `rows` is read once; `lookup` should be a written table, as it is read for the
+    total and for each part.
     """
     total = lookup.agg(F.sum(count)).scalar()
     marked = lookup.select(*keys, *cols, F.col(count).alias("_count"))
     is_hot = F.col("_count") > F.greatest(total / MAX_HOT_KEYS, F.lit(1000))
     hot = marked.where(is_hot).select(*keys, F.struct(*cols).alias("_hot"))
-    cold = marked.where(~is_hot).select(*keys, *cols)
-    tried = rows.join(F.broadcast(hot), keys, "left")
-    found = tried.where(F.col("_hot").isNotNull()).select(*rows.columns, "_hot.*")
-    rest = tried.where(F.col("_hot").isNull()).drop("_hot").join(cold, keys)
-    return found.unionByName(rest.select(*found.columns))
+    cold = marked.where(~is_hot).select(*keys, F.struct(*cols).alias("_cold"))
+    # row number within the task: the same again if the task is repeated
+    deal = 1 + F.pmod(F.monotonically_increasing_id(), F.lit(DEAL))
+    tried = rows.join(F.broadcast(hot), keys, "left").withColumn(
+        "_deal", F.when(F.col("_hot").isNull(), F.lit(0).cast("bigint")).otherwise(deal)
+    )
+    cold = cold.withColumn("_deal", F.lit(0).cast("bigint"))
+    found = F.coalesce("_hot", "_cold")
+    return (
+        tried.join(cold, [*keys, "_deal"], "left")
+        .withColumn("_found", found)
+        .where(F.col("_found").isNotNull())
+        .select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in cols])
+    )
 
 
 def salted_join(

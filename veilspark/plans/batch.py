@@ -78,7 +78,7 @@ def run(
     if scope == "file":
         masked = mask_by_file(staged, tokens, keys)
     else:
-        masked = mask_texts(staged, unit_tokens(detections, tokens, keys), keys)
+        masked = mask_texts(staged, stage(unit_tokens(detections, tokens, keys), "spans"), keys)
     append_run(masked.drop("detections", "text"), f"{out}/masked", run_id)
 
     def back(table):
