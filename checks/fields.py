@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veilspark import constants as C
 from veilspark.config import DetectConfig
+from veilspark.functions.spans import blocks
 from veilspark.functions.text import label_parts, strip
 from veilspark.operators import context, fields
 from veilspark.operators.detect import add_candidates
@@ -22,7 +23,7 @@ SELECT unit_id, label, value, s AS start_pos, e AS end_pos FROM ({O.pairs('t', '
 def o42(spark, sf_dir):
     df = derive(spark, sf_dir, _TEXTS)
     df = df.withColumn("m", F.expr(fields.find_pairs("text", only_relevant=False)))
-    rows = df.select("unit_id", F.explode_outer(F.expr(fields.pair_spans("text", "m", only_relevant=False))).alias("x"))
+    rows = df.select("unit_id", F.explode_outer(F.expr(fields.pair_spans("text", blocks("text"), "m", only_relevant=False))).alias("x"))
     return rows.where(F.col("x.start").isNotNull()).select(
         "unit_id", "x.label", "x.value", F.col("x.start").cast("bigint").alias("start_pos"),
         F.col("x.end").cast("bigint").alias("end_pos"),
@@ -107,7 +108,8 @@ def _pos(df, *cols):
 
 _POS = "unit_id, s AS start_pos, e AS end_pos"
 
-FOUND_LABEL = context.label_of(context.left_context("text", "start", C.CONTEXT_WINDOW))
+AROUND = context.window(blocks("text"), "start", "`end`", C.CONTEXT_WINDOW)
+FOUND_LABEL = context.label_of(context.left_side(AROUND, "start", C.CONTEXT_WINDOW))
 
 _cand_check("o47_candidate_union", f"{_POS}, method, rank, value", "true",
             lambda df: _pos(df, "method", "rank", "value"))
@@ -135,7 +137,7 @@ _cand_check(
 )
 
 
-WINDOW = f"lower({context.both_sides('text', 'start', '`end`', C.CONTEXT_WINDOW)})"
+WINDOW = f"lower({AROUND})"
 
 
 def _per_type(test):

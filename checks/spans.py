@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veilspark import constants as C
 from veilspark.config import DetectConfig
-from veilspark.functions.spans import searchable
+from veilspark.functions.spans import blocks, searchable
 from veilspark.functions.text import has_text
 from veilspark.operators import patterns, recogniser
 from veilspark.operators.detect import add_candidates
@@ -17,6 +17,7 @@ from .data import CORPUS, NOTES, PEOPLE, ctes, derive, units
 from .registry import check
 
 KEYS = "src, unit_id"
+BLOCKS = blocks("text")
 CORPUS_KEYS = ["src", "unit_id"]
 
 
@@ -32,7 +33,7 @@ def span_rows(df, keys, spans):
 def pattern_rows(df, pii_type, keys, strict=True):
     clean = df.withColumn("t", F.expr(searchable("text")))
     found = clean.withColumn("m", F.expr(patterns.find_pieces("t", pii_type, strict)))
-    return span_rows(found, keys, patterns.find_spans("text", "m", pii_type, strict))
+    return span_rows(found, keys, patterns.find_spans("text", BLOCKS, "m", pii_type, strict))
 
 
 def _span_check(number: int, pii_type: str, strict: bool = True, suffix: str = ""):
@@ -117,13 +118,13 @@ def _cue_sql(source: str, pattern: str, person: bool) -> str:
 @check("o36_person_recogniser", ctes(notes=NOTES) + _cue_sql("notes", O.PERSON, True))
 def o36_person(spark, sf_dir):
     df = derive(spark, sf_dir, NOTES).withColumn("m", F.expr(recogniser.find_people("text")))
-    return span_rows(df, ["unit_id"], recogniser.cue_spans("text", "m", "PERSON_NAME"))
+    return span_rows(df, ["unit_id"], recogniser.cue_spans("text", BLOCKS, "m", "PERSON_NAME"))
 
 
 @check("o36_place_recogniser", ctes(notes=NOTES) + _cue_sql("notes", O.PLACE, False))
 def o36_place(spark, sf_dir):
     df = derive(spark, sf_dir, NOTES).withColumn("m", F.expr(recogniser.find_places("text")))
-    return span_rows(df, ["unit_id"], recogniser.cue_spans("text", "m", "ADDRESS"))
+    return span_rows(df, ["unit_id"], recogniser.cue_spans("text", BLOCKS, "m", "ADDRESS"))
 
 
 @check("o36_model_hook", ctes(notes=NOTES) + f"""
@@ -139,7 +140,7 @@ def o36_hook(spark, sf_dir):
     df = derive(spark, sf_dir, NOTES).withColumn(
         "e", recogniser.entity_column(F.col("text"), upper_runs)
     )
-    return span_rows(df, ["unit_id"], recogniser.model_spans("text", "e", "PERSON_NAME"))
+    return span_rows(df, ["unit_id"], recogniser.model_spans(BLOCKS, "e", "PERSON_NAME"))
 
 
 # Values of many shapes: geo terms, dotted paths, short and odd names.

@@ -44,18 +44,60 @@ def cut(text: str, pattern: str, gate: str | None = None) -> str:
     )
 
 
-def locate(text: str, pieces: str) -> str:
+# Long texts are addressed through blocks of this many characters, since finding the n-th
+# character of a text takes n steps.
+BLOCK = 1024
+# `aggregate` copies its state at every step, so a state that gathers results must stay small:
+# long arrays are folded in chunks of this many.
+CHUNK = 128
+
+
+def blocks(text: str) -> str:
+    """A text as an array of blocks of equal length (the last one may be shorter)."""
+    return (
+        f"CASE WHEN length({text}) <= {BLOCK} THEN array({text}) "
+        f"ELSE regexp_extract_all({text}, r'(?s).{{1,{BLOCK}}}', 0) END"
+    )
+
+
+def slice_text(text_blocks: str, at: str, length: str) -> str:
+    """`length` characters from offset `at`, fewer at the end of the text."""
+    first = f"cast(({at}) div {BLOCK} AS int)"
+    last = f"cast(({at} + {length} - 1) div {BLOCK} AS int)"
+    some = f"array_join(slice({text_blocks}, {first} + 1, {last} - {first} + 1), '')"
+    return (
+        f"CASE WHEN size({text_blocks}) = 1 THEN substring({text_blocks}[0], {at} + 1, {length}) "
+        f"ELSE substring({some}, ({at}) % {BLOCK} + 1, {length}) END"
+    )
+
+
+def char_at(text_blocks: str, at: str) -> str:
+    """The character at offset `at`, "" past the end."""
+    block = f"coalesce(get({text_blocks}, cast(({at}) div {BLOCK} AS int)), '')"
+    return f"substring({block}, ({at}) % {BLOCK} + 1, 1)"
+
+
+def chunks(array: str) -> str:
+    """An array as an array of chunks."""
+    count = f"sequence(0, (size({array}) - 1) div {CHUNK})"
+    many = f"transform({count}, i -> slice({array}, cast(i * {CHUNK} + 1 AS int), {CHUNK}))"
+    return f"CASE WHEN size({array}) <= {CHUNK} THEN array({array}) ELSE {many} END"
+
+
+def locate(text: str, text_blocks: str, pieces: str) -> str:
     """Spans (start, end, value) with half-open character offsets, from `cut()` output."""
-    walked = f"""aggregate({pieces},
+    item = "array(struct(w.pos AS start, w.pos + length(p) AS `end`, p AS value))"
+    walked = f"""aggregate({chunks(pieces)},
       struct(0 AS pos, false AS hit, {NO_SPANS} AS done),
-      (w, p) -> struct(
-        w.pos + length(p) AS pos, NOT w.hit AS hit,
-        CASE WHEN w.hit THEN concat(w.done, array(struct(
-          w.pos AS start, w.pos + length(p) AS `end`, p AS value))) ELSE w.done END AS done),
-      w -> w.done)"""
+      (o, chunk) -> aggregate(chunk,
+        struct(o.pos AS pos, o.hit AS hit, {NO_SPANS} AS done),
+        (w, p) -> struct(w.pos + length(p) AS pos, NOT w.hit AS hit,
+          CASE WHEN w.hit THEN concat(w.done, {item}) ELSE w.done END AS done),
+        r -> struct(r.pos AS pos, r.hit AS hit, concat(o.done, r.done) AS done)),
+      o -> o.done)"""
     original = (
         f"transform({walked}, s -> struct(s.start AS start, s.`end` AS `end`, "
-        f"substring({text}, s.start + 1, s.`end` - s.start) AS value))"
+        f"{slice_text(text_blocks, 's.start', '(s.`end` - s.start)')} AS value))"
     )
     return (
         f"CASE WHEN size({pieces}) <= 1 THEN {NO_SPANS} "

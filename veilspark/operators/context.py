@@ -9,19 +9,20 @@ import re
 
 from .. import constants as C
 from ..config import DetectConfig
+from ..functions.spans import slice_text
 from ..functions.text import label_parts, literal, literals, rlike, strip
 from .candidates import candidate
 
 
-def left_context(text: str, start: str, window: int) -> str:
-    return f"substring({text}, greatest({start} - {window}, 0) + 1, least({start}, {window}))"
+def window(text_blocks: str, start: str, end: str, width: int) -> str:
+    """The candidate with up to `width` characters on each side."""
+    begin = f"greatest({start} - {width}, 0)"
+    return slice_text(text_blocks, begin, f"({end} + {width} - {begin})")
 
 
-def both_sides(text: str, start: str, end: str, window: int) -> str:
-    return (
-        f"substring({text}, greatest({start} - {window}, 0) + 1, "
-        f"least({start}, {window}) + ({end} - {start}) + {window})"
-    )
+def left_side(around: str, start: str, width: int) -> str:
+    """The part of a `window` left of the candidate."""
+    return f"left({around}, least({start}, {width}))"
 
 
 def label_of(left: str) -> str:
@@ -99,7 +100,8 @@ def boosted(confidence: float) -> float:
 
 
 def judge(
-    text: str, spans: str, pii_type: str, method: str, cfg: DetectConfig, label: str | None = None
+    text_blocks: str, spans: str, pii_type: str, method: str, cfg: DetectConfig,
+    label: str | None = None,
 ) -> str:
     """Candidates from spans of one type, with type, confidence and `keep` decided.
 
@@ -114,20 +116,23 @@ def judge(
         plain = candidate("s", rank, f"'{pii_type}'", confidence, method, "true")
         return f"transform({spans}, s -> {plain})"
 
+    around = window(text_blocks, "s.start", "s.`end`", cfg.window)
+    named = f"transform({spans}, s -> struct(s AS s, {around} AS around))"
     if label is None:
-        left = left_context(text, "s.start", cfg.window)
-        named = f"transform({spans}, s -> struct(s AS s, {left} AS left))"
-        named = f"transform({named}, x -> struct(x.s AS s, {label_of('x.left')} AS label))"
+        left = left_side("x.around", "x.s.start", cfg.window)
+        named = f"transform({named}, x -> struct(x.s AS s, x.around AS around, {left} AS left))"
+        found = label_of("x.left")
     else:
-        named = f"transform({spans}, s -> struct(s AS s, coalesce({label}, '') AS label))"
+        found = f"coalesce({label}, '')"
+    named = f"transform({named}, x -> struct(x.s AS s, x.around AS around, {found} AS label))"
     split = (
-        f"transform({named}, x -> struct(x.s AS s, x.label AS label, "
+        f"transform({named}, x -> struct(x.s AS s, x.around AS around, x.label AS label, "
         f"{label_parts('x.label')} AS parts))"
     )
+    fits = f"x.label <> '' AND {label_matches('x.label', 'x.parts', pii_type)}"
     tested = (
-        f"transform({split}, x -> struct(x.s AS s, x.label AS label, x.label <> '' AS labelled, "
-        f"x.label <> '' AND {label_matches('x.label', 'x.parts', pii_type)} AS fits, "
-        "x.parts AS parts))"
+        f"transform({split}, x -> struct(x.s AS s, x.around AS around, x.label AS label, "
+        f"x.label <> '' AS labelled, x.parts AS parts, {fits} AS fits))"
     )
     if method == "ner":
         other = (
@@ -135,15 +140,13 @@ def judge(
             f"{relabel('x.label', 'x.parts', pii_type, cfg.strict)} END"
         )
         tested = (
-            f"transform({tested}, x -> struct(x.s AS s, x.labelled AS labelled, x.fits AS fits, "
-            f"{other} AS other))"
+            f"transform({tested}, x -> struct(x.s AS s, x.around AS around, "
+            f"x.labelled AS labelled, x.fits AS fits, {other} AS other))"
         )
         final_type, accepted = f"coalesce(x.other, '{pii_type}')", "x.fits OR x.other IS NOT NULL"
     else:
         final_type, accepted = f"'{pii_type}'", "x.fits"
-    around = f"lower({both_sides(text, 'x.s.start', 'x.s.`end`', cfg.window)})"
-    keep = (
-        f"CASE WHEN x.labelled THEN {accepted} ELSE {has_free_context(around, pii_type)} END"
-    )
+    free = has_free_context("lower(x.around)", pii_type)
+    keep = f"CASE WHEN x.labelled THEN {accepted} ELSE {free} END"
     final_conf = f"CASE WHEN x.fits THEN {boosted(confidence)!r}D ELSE {confidence!r}D END"
     return f"transform({tested}, x -> {candidate('x.s', rank, final_type, final_conf, method, keep)})"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..config import DetectConfig
-from ..functions.spans import searchable
+from ..functions.spans import blocks, searchable
 from ..functions.text import SPACE, has_text, literal, strip
 from . import fields, patterns, recogniser
 from .candidates import candidate
@@ -30,7 +30,7 @@ def add_candidates(
     them apart because the first one's results are used several times.
     """
     known = f"replace(lower(trim({label})), ' ', '_')" if label else None
-    t = "_text"
+    t, b = "_text", "_blocks"
     clean = F.expr(f"CASE WHEN {has_text(text)} THEN {searchable(text)} END")
 
     found = {f"_m_{p}": F.expr(patterns.find_pieces(t, p, cfg.strict)) for p in C.PATTERNS}
@@ -43,27 +43,28 @@ def add_candidates(
         found["_m_ADDRESS"] = F.expr(recogniser.find_places(t))
 
     parts = [
-        judge(text, patterns.find_spans(text, f"_m_{p}", p, cfg.strict), p, "regex", cfg, known)
+        judge(b, patterns.find_spans(text, b, f"_m_{p}", p, cfg.strict), p, "regex", cfg, known)
         for p in C.PATTERNS
     ]
     for kind in NER_TYPES:
         if cfg.ner_fn is not None:
-            spans = recogniser.model_spans(text, "_m_entities", kind)
+            spans = recogniser.model_spans(b, "_m_entities", kind)
         elif cfg.recogniser == "cue":
-            spans = recogniser.cue_spans(text, f"_m_{kind}", kind)
+            spans = recogniser.cue_spans(text, b, f"_m_{kind}", kind)
         else:
             continue
-        parts.append(judge(text, spans, kind, "ner", cfg, known))
+        parts.append(judge(b, spans, kind, "ner", cfg, known))
     if cfg.structured:
-        parts.append(_structured(text, known))
+        parts.append(_structured(text, b, known))
     cands = F.expr(f"concat({', '.join(parts)})")
-    return df.withColumn(t, clean).withColumns(found).withColumn(out, cands).drop(t, *found)
+    staged = df.withColumn(t, clean).withColumns({b: F.expr(blocks(text)), **found})
+    return staged.withColumn(out, cands).drop(t, b, *found)
 
 
-def _structured(text: str, known: str | None) -> str:
+def _structured(text: str, text_blocks: str, known: str | None) -> str:
     """Candidates from labels: pairs in the text, or the whole text under a known label."""
     if known is None:
-        pairs = fields.pair_spans(text, "_m_pairs")
+        pairs = fields.pair_spans(text, text_blocks, "_m_pairs")
     else:
         lead = f"length(regexp_extract({text}, {literal(f'^[{SPACE}]*')}, 0))"
         value = strip(text)

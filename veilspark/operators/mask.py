@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
+from ..functions.spans import blocks, slice_text
 from .skew import lookup_join, salted_join
 
 MAPPING = "array<struct<value:string,token:string>>"
@@ -57,24 +58,21 @@ def mask_nested(value: Column, dtype: T.DataType, mapping: Column) -> Column:
 
 # -- span form: only the detected positions ------------------------------------
 
-def splice(text: Column, spans: Column) -> Column:
-    """Rebuild a text with each span (start, end, token) replaced; spans must not overlap.
-    Nothing but the detected positions changes, and tokens are never searched again."""
-    walked = F.aggregate(
-        F.sort_array(spans),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, s: F.struct(
-            s["end"].alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["token"]),
-            ).alias("out"),
-        ),
-        lambda acc: F.concat(
-            F.concat_ws("", acc["out"]), F.substring(text, acc["at"] + 1, F.length(text))
-        ),
-    )
-    return F.when(F.size(spans) > 0, walked).otherwise(text)
+def splice(text: str, spans: str) -> str:
+    """SQL expression: the text with each span (start, end, token) replaced; spans must not
+    overlap and come sorted. Nothing but the detected positions changes, and tokens are never
+    searched again."""
+    b = blocks(text)
+    before = f"CASE WHEN i = 0 THEN 0 ELSE element_at({spans}, i).`end` END"
+    gap = slice_text("b", "x.at", "(x.s.start - x.at)")
+    rest = slice_text("b", f"element_at({spans}, -1).`end`", f"length({text})")
+    parts = (
+        f"transform(transform({spans}, (s, i) -> struct(s AS s, {before} AS at)), "
+        f"x -> concat({gap}, x.s.token))"
+    )
+    # one-element array: gives the blocks a name
+    whole = f"transform(array({b}), b -> concat(array_join({parts}, ''), {rest}))[0]"
+    return f"CASE WHEN size({spans}) > 0 THEN {whole} ELSE {text} END"
 
 
 def unit_tokens(
@@ -107,7 +105,8 @@ def mask_texts(
     """
     clean = units.where(F.size("detections") == 0).withColumn(out, F.col(text))
     dirty = lookup_join(units.where(F.size("detections") > 0), tokens, keys, "n_rows", ["spans"])
-    spliced = dirty.withColumn(out, splice(F.col(text), F.col("spans"))).drop("spans")
+    ordered = dirty.withColumn("spans", F.sort_array("spans"))
+    spliced = ordered.withColumn(out, F.expr(splice(text, "spans"))).drop("spans")
     return clean.unionByName(spliced)
 
 

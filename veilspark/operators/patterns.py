@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .. import constants as C
-from ..functions.spans import cut, locate
+from ..functions.spans import char_at, cut, locate
 from ..functions.text import literal, rlike
 
 # A local part never contains "@", so it may be matched without giving characters back;
@@ -54,17 +54,17 @@ def find_pieces(text: str, pii_type: str, strict: bool = True) -> str:
     return cut(text, pattern_for(pii_type, strict), gate(text, pii_type))
 
 
-def find_spans(text: str, pieces: str, pii_type: str, strict: bool = True) -> str:
+def find_spans(
+    text: str, text_blocks: str, pieces: str, pii_type: str, strict: bool = True
+) -> str:
     """Spans of one type with that type's own acceptance rule."""
-    spans = locate(text, pieces)
+    spans = locate(text, text_blocks, pieces)
     if pii_type == "AADHAAR":
         spans = f"filter({spans}, s -> length(regexp_replace(s.value, '[ -]', '')) = 12)"
         if not strict:
             phone = rlike("s.value", r"^91[6-9]\p{Nd}{9}\z")
-            spans = (
-                f"filter({spans}, s -> NOT "
-                f"(s.start > 0 AND {phone} AND substring({text}, s.start, 1) = '+'))"
-            )
+            signed = f"s.start > 0 AND {char_at(text_blocks, '(s.start - 1)')} = '+'"
+            spans = f"filter({spans}, s -> NOT ({phone} AND {signed}))"
     if pii_type == "UPI_ID":
-        spans = f"filter({spans}, s -> substring({text}, s.`end` + 1, 1) <> '.')"
+        spans = f"filter({spans}, s -> {char_at(text_blocks, 's.`end`')} <> '.')"
     return spans

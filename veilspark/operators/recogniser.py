@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.spans import cut, locate
+from ..functions.spans import cut, locate, slice_text
 from ..functions.text import literal, rlike, strip
 
 # The look-ahead rejects most positions on one character.
@@ -59,8 +59,8 @@ def find_places(text: str) -> str:
     return cut(text, PLACE)
 
 
-def cue_spans(text: str, pieces: str, pii_type: str) -> str:
-    return f"filter({locate(text, pieces)}, s -> {acceptable('s.value', pii_type)})"
+def cue_spans(text: str, text_blocks: str, pieces: str, pii_type: str) -> str:
+    return f"filter({locate(text, text_blocks, pieces)}, s -> {acceptable('s.value', pii_type)})"
 
 
 def entity_column(text: Column, ner_fn: Callable, chunk: int = C.NER_CHUNK_CHARS) -> Column:
@@ -81,10 +81,10 @@ def entity_column(text: Column, ner_fn: Callable, chunk: int = C.NER_CHUNK_CHARS
     return entities(text)
 
 
-def model_spans(text: str, entities: str, pii_type: str) -> str:
+def model_spans(text_blocks: str, entities: str, pii_type: str) -> str:
     """Spans of one kind from the model's output, after the same acceptance rules."""
     labels = "'PERSON'" if pii_type == "PERSON_NAME" else "'GPE', 'LOC', 'FAC'"
-    value = strip(f"substring({text}, e.start + 1, e.`end` - e.start)")
+    value = strip(slice_text(text_blocks, "e.start", "(e.`end` - e.start)"))
     spans = (
         f"transform(filter({entities}, e -> e.label IN ({labels})), e -> "
         f"struct(e.start AS start, e.`end` AS `end`, {value} AS value))"

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.spans import chunks
 from .candidates import CANDIDATES, overlaps
 
 # Types that give way to every earlier-ranked pattern hit they overlap.
@@ -62,16 +63,19 @@ def resolve(cands: str, strict: bool = False) -> str:
     conflict, so the quadratic choice is made per island and a long text with thousands of
     hits stays cheap.
     """
-    done = f"concat(w.done, {settle('w.island', strict)})"
     return f"""
     CASE WHEN size({cands}) > 0 THEN aggregate(
-      sort_array({cands}),
+      {chunks(f'sort_array({cands})')},
       struct({NONE} AS done, {NONE} AS island, -1 AS reach),
-      (w, next) -> CASE WHEN next.start >= w.reach
-        THEN struct({done} AS done, array(next) AS island, next.`end` AS reach)
-        ELSE struct(w.done AS done, concat(w.island, array(next)) AS island,
-                    greatest(w.reach, next.`end`) AS reach) END,
-      w -> {done})
+      (o, chunk) -> aggregate(chunk,
+        struct({NONE} AS done, o.island AS island, o.reach AS reach),
+        (w, next) -> CASE WHEN next.start >= w.reach
+          THEN struct(concat(w.done, {settle('w.island', strict)}) AS done,
+                      array(next) AS island, next.`end` AS reach)
+          ELSE struct(w.done AS done, concat(w.island, array(next)) AS island,
+                      greatest(w.reach, next.`end`) AS reach) END,
+        r -> struct(concat(o.done, r.done) AS done, r.island AS island, r.reach AS reach)),
+      o -> concat(o.done, {settle('o.island', strict)}))
     ELSE {NONE} END"""
 
 
