@@ -23,7 +23,7 @@ SELECT unit_id, label, value, s AS start_pos, e AS end_pos FROM ({O.pairs('t', '
 def o42(spark, sf_dir):
     df = derive(spark, sf_dir, _TEXTS)
     df = df.withColumn("m", F.expr(fields.find_pairs("text", only_relevant=False)))
-    rows = df.select("unit_id", F.explode_outer(F.expr(fields.pair_spans("text", blocks("text"), "m", only_relevant=False))).alias("x"))
+    rows = df.select("unit_id", F.explode_outer(F.expr(fields.pair_spans(blocks("text"), "m", only_relevant=False))).alias("x"))
     return rows.where(F.col("x.start").isNotNull()).select(
         "unit_id", "x.label", "x.value", F.col("x.start").cast("bigint").alias("start_pos"),
         F.col("x.end").cast("bigint").alias("end_pos"),

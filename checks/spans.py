@@ -33,7 +33,7 @@ def span_rows(df, keys, spans):
 def pattern_rows(df, pii_type, keys, strict=True):
     clean = df.withColumn("t", F.expr(searchable("text")))
     found = clean.withColumn("m", F.expr(patterns.find_pieces("t", pii_type, strict)))
-    return span_rows(found, keys, patterns.find_spans("text", BLOCKS, "m", pii_type, strict))
+    return span_rows(found, keys, patterns.find_spans(BLOCKS, "m", pii_type, strict))
 
 
 def _span_check(number: int, pii_type: str, strict: bool = True, suffix: str = ""):
@@ -118,13 +118,13 @@ def _cue_sql(source: str, pattern: str, person: bool) -> str:
 @check("o36_person_recogniser", ctes(notes=NOTES) + _cue_sql("notes", O.PERSON, True))
 def o36_person(spark, sf_dir):
     df = derive(spark, sf_dir, NOTES).withColumn("m", F.expr(recogniser.find_people("text")))
-    return span_rows(df, ["unit_id"], recogniser.cue_spans("text", BLOCKS, "m", "PERSON_NAME"))
+    return span_rows(df, ["unit_id"], recogniser.cue_spans("m", "PERSON_NAME"))
 
 
 @check("o36_place_recogniser", ctes(notes=NOTES) + _cue_sql("notes", O.PLACE, False))
 def o36_place(spark, sf_dir):
     df = derive(spark, sf_dir, NOTES).withColumn("m", F.expr(recogniser.find_places("text")))
-    return span_rows(df, ["unit_id"], recogniser.cue_spans("text", BLOCKS, "m", "ADDRESS"))
+    return span_rows(df, ["unit_id"], recogniser.cue_spans("m", "ADDRESS"))
 
 
 @check("o36_model_hook", ctes(notes=NOTES) + f"""

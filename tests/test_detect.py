@@ -131,7 +131,7 @@ def test_spans_agree_with_unicode_search(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn(
         "t", F.expr(searchable("text")))
     for pii_type, pattern in C.PATTERNS.items():
-        spans = locate("text", blocks("text"), "m")
+        spans = locate("m")
         rows = df.withColumn("m", F.expr(patterns.find_pieces("t", pii_type))).select("i", F.expr(spans).alias("s"))
         got = {r.i: [(s.start, s.end, s.value) for s in r.s] for r in rows.collect()}
         want = {i: python_class_search(pattern, t) for i, t in enumerate(texts)}
@@ -148,7 +148,7 @@ LINES = st.lists(
 def test_pairs_agree_with_unicode_search(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn(
         "m", F.expr(fields.find_pairs("text", only_relevant=False)))
-    rows = df.select("i", F.expr(fields.pair_spans("text", blocks("text"), "m", only_relevant=False)).alias("s")).collect()
+    rows = df.select("i", F.expr(fields.pair_spans(blocks("text"), "m", only_relevant=False)).alias("s")).collect()
     got = {r.i: [(s.label, s.value, s.start, s.end) for s in r.s] for r in rows}
     want = {}
     for i, t in enumerate(texts):

@@ -84,7 +84,7 @@ def chunks(array: str) -> str:
     return f"CASE WHEN size({array}) <= {CHUNK} THEN array({array}) ELSE {many} END"
 
 
-def locate(text: str, text_blocks: str, pieces: str) -> str:
+def locate(pieces: str) -> str:
     """Spans (start, end, value) with half-open character offsets, from `cut()` output."""
     item = "array(struct(w.pos AS start, w.pos + length(p) AS `end`, p AS value))"
     walked = f"""aggregate({chunks(pieces)},
@@ -95,11 +95,14 @@ def locate(text: str, text_blocks: str, pieces: str) -> str:
           CASE WHEN w.hit THEN concat(w.done, {item}) ELSE w.done END AS done),
         r -> struct(r.pos AS pos, r.hit AS hit, concat(o.done, r.done) AS done)),
       o -> o.done)"""
-    original = (
-        f"transform({walked}, s -> struct(s.start AS start, s.`end` AS `end`, "
-        f"{slice_text(text_blocks, 's.start', '(s.`end` - s.start)')} AS value))"
-    )
+    return f"CASE WHEN size({pieces}) <= 1 THEN {NO_SPANS} ELSE {walked} END"
+
+
+def with_original_values(text_blocks: str, spans: str) -> str:
+    """Spans with values from the text itself. Needed only for patterns that match any
+    character, and only in texts in which `searchable` had to replace the marker."""
+    value = slice_text(text_blocks, "s.start", "(s.`end` - s.start)")
     return (
-        f"CASE WHEN size({pieces}) <= 1 THEN {NO_SPANS} "
-        f"WHEN contains({text}, {MARK}) THEN {original} ELSE {walked} END"
+        f"transform({spans}, s -> struct(s.start AS start, s.`end` AS `end`, "
+        f"CASE WHEN contains(s.value, {OTHER}) THEN {value} ELSE s.value END AS value))"
     )

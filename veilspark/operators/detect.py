@@ -43,14 +43,14 @@ def add_candidates(
         found["_m_ADDRESS"] = F.expr(recogniser.find_places(t))
 
     parts = [
-        judge(b, patterns.find_spans(text, b, f"_m_{p}", p, cfg.strict), p, "regex", cfg, known)
+        judge(b, patterns.find_spans(b, f"_m_{p}", p, cfg.strict), p, "regex", cfg, known)
         for p in C.PATTERNS
     ]
     for kind in NER_TYPES:
         if cfg.ner_fn is not None:
             spans = recogniser.model_spans(b, "_m_entities", kind)
         elif cfg.recogniser == "cue":
-            spans = recogniser.cue_spans(text, b, f"_m_{kind}", kind)
+            spans = recogniser.cue_spans(f"_m_{kind}", kind)
         else:
             continue
         parts.append(judge(b, spans, kind, "ner", cfg, known))
@@ -64,7 +64,7 @@ def add_candidates(
 def _structured(text: str, text_blocks: str, known: str | None) -> str:
     """Candidates from labels: pairs in the text, or the whole text under a known label."""
     if known is None:
-        pairs = fields.pair_spans(text, text_blocks, "_m_pairs")
+        pairs = fields.pair_spans(text_blocks, "_m_pairs")
     else:
         lead = f"length(regexp_extract({text}, {literal(f'^[{SPACE}]*')}, 0))"
         value = strip(text)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .. import constants as C
-from ..functions.spans import cut, locate
+from ..functions.spans import cut, locate, with_original_values
 from ..functions.text import (
     SPACE, contains_any, label_parts, literal, literals, rlike, strip, unicode_pattern,
 )
@@ -28,9 +28,9 @@ def find_pairs(text: str, only_relevant: bool = True) -> str:
     return cut(text, PAIR, test)
 
 
-def pair_spans(text: str, text_blocks: str, pieces: str, only_relevant: bool = True) -> str:
+def pair_spans(text_blocks: str, pieces: str, only_relevant: bool = True) -> str:
     """Array of (label, value, start, end); the offsets are those of the trimmed value."""
-    pairs = locate(text, text_blocks, pieces)
+    pairs = with_original_values(text_blocks, locate(pieces))
     if only_relevant:
         pairs = f"filter({pairs}, s -> {rlike('s.value', _RELEVANT)})"
     raw = f"regexp_replace(s.value, {literal(_HEAD)}, '')"

@@ -54,11 +54,9 @@ def find_pieces(text: str, pii_type: str, strict: bool = True) -> str:
     return cut(text, pattern_for(pii_type, strict), gate(text, pii_type))
 
 
-def find_spans(
-    text: str, text_blocks: str, pieces: str, pii_type: str, strict: bool = True
-) -> str:
+def find_spans(text_blocks: str, pieces: str, pii_type: str, strict: bool = True) -> str:
     """Spans of one type with that type's own acceptance rule."""
-    spans = locate(text, text_blocks, pieces)
+    spans = locate(pieces)
     if pii_type == "AADHAAR":
         spans = f"filter({spans}, s -> length(regexp_replace(s.value, '[ -]', '')) = 12)"
         if not strict:

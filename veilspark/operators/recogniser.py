@@ -59,8 +59,8 @@ def find_places(text: str) -> str:
     return cut(text, PLACE)
 
 
-def cue_spans(text: str, text_blocks: str, pieces: str, pii_type: str) -> str:
-    return f"filter({locate(text, text_blocks, pieces)}, s -> {acceptable('s.value', pii_type)})"
+def cue_spans(pieces: str, pii_type: str) -> str:
+    return f"filter({locate(pieces)}, s -> {acceptable('s.value', pii_type)})"
 
 
 def entity_column(text: Column, ner_fn: Callable, chunk: int = C.NER_CHUNK_CHARS) -> Column:
