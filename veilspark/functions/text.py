@@ -51,10 +51,12 @@ def ascii_pattern(pattern: str) -> str:
 
 
 def literal(value: str) -> str:
-    """SQL literal of any text, without escapes."""
+    """SQL literal of any text, where possible without escapes."""
     if "'" not in value:
         return f"r'{value}'"
-    return 'r"' + value + '"' if '"' not in value else "'" + value.replace("'", "\\'") + "'"
+    if '"' not in value:
+        return f'r"{value}"'
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def literals(values: Iterable[str]) -> str:
