@@ -33,7 +33,7 @@ ROWS, WIDTH = 4, 8
 CELLS = ROWS * WIDTH
 PER_SECTION = 8  # digests of both texts that a section of a larger sketch should hold
 PEELS = 12  # rounds of peeling in one sketch
-LEVELS = 24  # sizes tried; each has twice the sections of the one before
+LEVELS = 12  # sizes tried; each has twice the sections of the one before
 RANGE = 400  # documents in a range of ids
 MAX_RANGES = 100_000  # bounds what the driver keeps; ranges grow beyond
 
@@ -144,7 +144,9 @@ def with_next(rows: DataFrame) -> DataFrame:
         splits.insert(1, 0.0)
     bucketizer = Bucketizer(splits=splits, inputCol="_at", outputCol="_range", handleInvalid="keep")
     placed = bucketizer.transform(rows.withColumn("_at", F.col("doc_id").cast("double")))
-    placed = placed.withColumn("_range", F.col("_range").cast("int")).drop("_at")
+    # null ids make a range of their own, after all others
+    placed = placed.withColumn(
+        "_range", F.coalesce(F.col("_range").cast("int"), F.lit(len(splits)))).drop("_at")
 
     # one row per range, so at most MAX_RANGES + 1 rows
     heads = placed.groupBy("_range").agg(F.min("doc_id").alias("_head"))
