@@ -12,7 +12,7 @@ Steps, all as joins and groupings:
 3. candidates are confirmed on the full sets, and confirmed links give components;
 4. rest round: buckets that still hold several components are compared across components in
    blocks, so that no link is lost when two members are like each other but not like the
-   smallest one. Only pairs whose sketches agree leave a task.
+   smallest one. Pairs are confirmed in the task that finds them and leave it only as links.
 
 Cases. Null or empty text, or no word: empty set, linked with nothing. Fewer than five words:
 the whole sequence is one shingle. Rows that repeat an id count as one document per distinct
@@ -41,7 +41,7 @@ UNIVERSE = 1 << 20  # places of the second permutation
 SEED = 20_011
 # Sketches of two sets of similarity 0.75 agree in fewer coordinates with a chance below 1e-6.
 AGREE = 72
-BLOCK = 256  # members of a bucket compared at once in the rest round
+BLOCK = 512  # members of a bucket per block in the rest round
 SALT = 512  # members confirmed against one copy of their hub's text
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -135,34 +135,73 @@ def _stars(members: DataFrame) -> DataFrame:
     return pairs.select("hub", "rep").distinct()
 
 
-def _across(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in sorted (cell, side) runs whose sketches agree."""
-
-    def pairs(group: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        table = pa.Table.from_batches(group)
-        side = table.column("side").to_numpy()
-        rep, component = table.column("rep").to_numpy(), table.column("component").to_numpy()
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8)
-        sketch = sketch.reshape(-1, COORDINATES)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        inside = not len(right)
-        right = left if inside else right
-        found_a, found_b = [], []
-        for i in left:
-            near = (sketch[right] == sketch[i]).sum(axis=1) >= AGREE
-            near &= component[right] != component[i]
-            if inside:
-                near &= rep[right] > rep[i]
-            other = rep[right[near]]
-            found_a.append(np.minimum(other, rep[i]))
-            found_b.append(np.maximum(other, rep[i]))
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        return pa.record_batch([pa.array(a), pa.array(b)], ["hub", "rep"]) if len(a) else None
-
-    for group in runs(rows, ["band", "cell"]):
-        out = pairs(group)
-        if out is not None:
-            yield out
+def _candidates(rows: dict[str, np.ndarray], band: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For members of one cell: a row and the rows it may be linked to, that is rows of another
+    component whose sketch agrees. Of the buckets that two sets share, only that of their first
+    common band names them."""
+    side, rep, component = rows["side"], rows["rep"], rows["component"]
+    sketch, bands = rows["sketch"], rows["bands"]
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    inside = not len(right)
+    right = left if inside else right
+    for i in left:
+        near = component[right] != component[i]
+        if inside:
+            near &= rep[right] > rep[i]
+        to = right[near]
+        to = to[(sketch[to] == sketch[i]).sum(axis=1) >= AGREE]
+        if len(to):
+            first = (bands[to] == bands[i]).argmax(axis=1)
+            to = to[bands[i][first] == band]
+        if len(to):
+            yield i, to
+
+
+def _members(group: list[pa.RecordBatch]) -> tuple[pa.Table, dict[str, np.ndarray], int]:
+    table = pa.Table.from_batches(group)
+    rows = {n: table.column(n).to_numpy() for n in ("side", "rep", "component")}
+    sketch = b"".join(table.column("sketch").to_pylist())
+    rows["sketch"] = np.frombuffer(sketch, np.uint8).reshape(-1, COORDINATES)
+    bands = pa.concat_arrays(table.column("bands").chunks).flatten().to_numpy()
+    rows["bands"] = bands.reshape(-1, BANDS)
+    return table, rows, table.column("band")[0].as_py()
+
+
+def _wanted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of each cell that have a candidate there."""
+    for group in runs(batches, ["band", "cell"]):
+        table, rows, band = _members(group)
+        wanted = np.zeros(len(table), bool)
+        for i, to in _candidates(rows, band):
+            wanted[i] = True
+            wanted[to] = True
+        if wanted.any():
+            yield from table.filter(pa.array(wanted)).combine_chunks().to_batches()
+
+
+def _linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of each cell whose full sets are similar enough."""
+    for group in runs(batches, ["band", "cell"]):
+        table, rows, band = _members(group)
+        sets = [shingles(t.as_py() or "") for t in table.column("text")]
+        digests = table.column("digest").to_pylist()
+        valid = np.array([len(s) and _digest(s) == d for s, d in zip(sets, digests)], bool)
+        found: set[tuple[int, int]] = set()
+        for i, to in _candidates(rows, band):
+            if not valid[i]:
+                continue
+            own = sets[i]
+            for j in to[valid[to]].tolist():
+                other = sets[j]
+                at = np.searchsorted(own, other)
+                at[at == len(own)] = 0
+                common = int((own[at] == other).sum())
+                if 100 * common >= PERCENT * (len(own) + len(other) - common):
+                    pair = int(rows["rep"][i]), int(rows["rep"][j])
+                    found.add((min(pair), max(pair)))
+        if found:
+            a, b = zip(*found)
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["hub", "rep"])
 
 
 def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[list[pa.RecordBatch]]:
@@ -187,10 +226,15 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[list[pa
         yield group
 
 
-def _rest(members: DataFrame, sketches: DataFrame, components: DataFrame) -> DataFrame:
-    """(hub, rep) across the components that still share a bucket."""
-    placed = members.join(components, "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep"))
+def _rest(reps: DataFrame, components: DataFrame, rows: DataFrame) -> DataFrame:
+    """Confirmed links (hub, rep) across the components that still share a bucket.
+
+    Buckets are cut into blocks, and each pair of blocks is a cell of bounded size. A first
+    pass finds the members with candidates; only they get their text, once per cell, and a
+    second pass confirms on full sets. No pair leaves a task before it is confirmed.
+    """
+    placed = reps.join(components, "rep", "left").select(
+        "rep", F.coalesce("component", "rep").alias("component"), F.explode("bands").alias("band"))
     mixed = placed.groupBy("band").agg(
         F.min("component").alias("_a"), F.max("component").alias("_b"), F.count("*").alias("n"))
     mixed = mixed.where("_a < _b").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -202,9 +246,12 @@ def _rest(members: DataFrame, sketches: DataFrame, components: DataFrame) -> Dat
     cells = cells.select(
         "band", (low.cast("bigint") * F.col("blocks") + high).alias("cell"), "rep", "component",
         F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
-    cells = cells.join(sketches, "rep").select("band", "cell", "side", "rep", "component", "sketch")
+    cells = cells.join(reps.select("rep", "digest", "sketch", "bands"), "rep")
     cells = cells.repartition("band", "cell").sortWithinPartitions("band", "cell")
-    return cells.mapInArrow(_across, "hub bigint, rep bigint").distinct()
+    wanted = stage(cells.mapInArrow(_wanted, cells.schema), "wanted")
+    full = wanted.join(rows.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    full = full.repartition("band", "cell").sortWithinPartitions("band", "cell")
+    return full.mapInArrow(_linked, "hub bigint, rep bigint").distinct()
 
 
 def _confirm_run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,8 +326,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stage(_confirm(stars, reps, rows), "links")
     components = components_of(links, "components")
 
-    rest = stage(_rest(members, sketches, components).join(stars, ["hub", "rep"], "left_anti"), "rest")
-    more = stage(_confirm(rest, reps, rows), "links")
+    more = stage(_rest(reps, components, rows), "links")
     if not more.isEmpty():
         components = components_of(links.union(more), "components")
 
