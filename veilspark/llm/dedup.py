@@ -249,7 +249,7 @@ def _rest(reps: DataFrame, components: DataFrame, rows: DataFrame) -> DataFrame:
     cells = cells.join(reps.select("rep", "digest", "sketch", "bands"), "rep")
     cells = cells.repartition("band", "cell").sortWithinPartitions("band", "cell")
     wanted = stage(cells.mapInArrow(_wanted, cells.schema), "wanted")
-    full = wanted.join(rows.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    full = rows.join(wanted, F.col("doc_id") == F.col("rep")).drop("doc_id")
     full = full.repartition("band", "cell").sortWithinPartitions("band", "cell")
     return full.mapInArrow(_linked, "hub bigint, rep bigint").distinct()
 
