@@ -35,7 +35,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the hashes of the ids and of what they decode to."""
     path = vocabulary(BPE_FILE)
-    return bpe.digests(bpe.encode(docs, path), path)
+    return bpe.digests(docs, path)
 
 
 STAGES = [

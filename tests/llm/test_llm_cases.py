@@ -58,7 +58,7 @@ def operators(path, ranks):
     return {
         "near": dedup.near_duplicates, "keep": dedup.keep_one_of_each, "licences": license_scan.scan,
         "mix": mixture.mix, "mixed": mixture.mixed_documents,
-        "encode": lambda d: bpe.digests(bpe.encode(d, path), path),
+        "encode": lambda d: bpe.digests(d, path),
         "secrets": lambda d: secret_scan.digests(secret_scan.scan(d)),
         "redact": lambda d: secret_scan.redact(d, chars_col="n_chars"),
         "tokens": lambda d: token_count.count_tokens(d, ranks), "rules": quality_rules.line_rules,
@@ -139,6 +139,13 @@ def test_chunks_are_shared_and_joins_repaired(path):
     assert encoder.reused > len(bpe.cuts(a)) + 3
 
 
+def test_encode_and_decode_tables(odd, path):
+    rows = bpe.decode(bpe.encode(odd, path), path).collect()
+    want = sorted((r.doc_id or 0, r.text or "") for r in odd.collect())
+    assert sorted((r.doc_id or 0, r.decoded) for r in rows) == want
+    assert all(len(r.ids) == 4 * r.n_tokens for r in rows)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_bpe_joins_anywhere(path, monkeypatch, seed):
     monkeypatch.setattr(bpe, "MASK", 7)

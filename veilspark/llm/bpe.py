@@ -20,6 +20,7 @@ most `MAX_CHUNK` characters. Repeated rows get equal ids. Empty table: empty res
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 from collections import OrderedDict
 from typing import NamedTuple
@@ -27,7 +28,6 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import column, map_batches, take_columns, texts
@@ -248,9 +248,23 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> Dat
     return map_batches(encoded, run, f"{fields}, decoded string")
 
 
-def digests(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, n_tokens and the hashes of the ids and of the text they decode to."""
-    back = decode(encoded, tokenizer_path)
-    return back.select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+def digests(
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """doc_id, n_tokens and the hashes of the ids and of the text they decode to. Encodes and
+    decodes in one pass, so that a task runs one Python worker and texts travel once."""
+    rows = take_columns(docs, doc_id=id_col, text=text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tool, counts, ids_hash, text_hash = encoder(tokenizer_path), [], [], []
+        for text in texts(batch):
+            ids = tool.encode(text)
+            counts.append(len(ids))
+            ids_hash.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+            text_hash.append(hashlib.sha256(tool.decode(ids).encode()).hexdigest())
+        return pa.record_batch(
+            [column(batch, "doc_id"), pa.array(counts, pa.int64()), pa.array(ids_hash), pa.array(text_hash)],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return map_batches(
+        rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
