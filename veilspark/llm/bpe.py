@@ -35,8 +35,8 @@ from .common import column, map_batches, take_columns, texts
 WINDOW = 16
 MASK = 511  # a cut every 512 code points on average
 MIN_CHUNK, MAX_CHUNK = 64, 8192
-CACHED = 12_000_000  # code points of cached chunks per worker, about 60 MB
-CACHED_WORDS = 300_000  # pre-tokens whose ids a worker remembers, about 60 MB
+CACHED = 3_000_000  # code points of cached chunks per worker, about 20 MB
+CACHED_WORDS = 150_000  # pre-tokens whose ids a worker remembers, about 30 MB
 # A pre-token's end is certain only if the text goes on by so many characters after its start:
 # the longest contraction has three.
 LOOKAHEAD = 3

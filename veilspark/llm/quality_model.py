@@ -81,7 +81,7 @@ def statistics(text: str, words: list[str], counts: Counter) -> dict[str, float]
     }
 
 
-@functools.lru_cache(maxsize=300_000)
+@functools.lru_cache(maxsize=150_000)
 def _bucket(word: str) -> int:
     return zlib.crc32(word.strip(_STRIP).lower().encode()) % BUCKETS
 

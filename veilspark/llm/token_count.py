@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from .common import column, map_batches, take_columns, texts
 
-REMEMBERED = 300_000  # words whose length a worker remembers
+REMEMBERED = 150_000  # words whose length a worker remembers
 ROOT, NONE = 0, -1
 
 

@@ -38,7 +38,7 @@ ROUNDS, EPOCHS, BATCH = 3, 10, 256
 RATE = 0.5
 SEED = 5
 MAX_LABELLED = 1500  # labelled documents per class used for training
-REMEMBERED = 300_000  # words whose number a worker remembers
+REMEMBERED = 150_000  # words whose number a worker remembers
 THRESHOLD = 0.7
 
 _WORDS = re.compile(r"\w+")
