@@ -358,8 +358,8 @@ def o15(spark, sf_dir):
 
 @check("o15_group_fingerprint", ctes(h="SELECT source, sha256(concat_ws(chr(31), CAST(doc_id AS STRING), text)) AS h FROM documents") + """
 SELECT source, count(*) AS n_rows, sha256(concat_ws('/', CAST(count(*) AS STRING),
-  CAST(bit_xor(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS STRING), CAST(bit_xor(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS STRING),
-  CAST(bit_xor(CAST('0x' || substr(h, 31, 15) AS BIGINT)) AS STRING), CAST(bit_xor(CAST('0x' || substr(h, 46, 15) AS BIGINT)) AS STRING))) AS fingerprint
+  CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS STRING), CAST(sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS STRING),
+  CAST(sum(CAST('0x' || substr(h, 31, 15) AS BIGINT)) AS STRING), CAST(sum(CAST('0x' || substr(h, 46, 15) AS BIGINT)) AS STRING))) AS fingerprint
 FROM h GROUP BY source""")
 def o15_group(spark, sf_dir):
     docs = derive(spark, sf_dir, "SELECT doc_id, source, text FROM documents")

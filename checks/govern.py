@@ -97,7 +97,7 @@ SELECT event_id AS id, user_id, event_type AS action, 'file' AS resource_type, C
 SELECT *, concat('{"pii_found":', CAST(pii_found AS STRING), ',"status":"', status, '"}') AS details FROM e""") + """
 SELECT id, user_id, action, resource_type, resource_id, details, ip_address,
   sha256(concat_ws(chr(31), CAST(id AS STRING), CAST(user_id AS STRING), action, resource_type, CAST(resource_id AS STRING), details,
-    coalesce(ip_address, chr(0)))) AS row_digest FROM a""")
+    coalesce(ip_address, chr(0)), CAST(epoch_us(created_at) AS STRING))) AS row_digest FROM a""")
 def o108(spark, sf_dir):
     return govern.audit_rows(derive(spark, sf_dir, _EVENTS), ["pii_found", "status"]).drop("created_at")
 

@@ -12,7 +12,9 @@ from pyspark.sql import SparkSession
 
 from . import constants as C
 
-KEY_CONF = "spark.veilspark.key"
+# Spark hides the values of settings whose name says that they are secret.
+KEY_CONF = "spark.veilspark.secret.key"
+OLD_KEY_CONF = "spark.veilspark.key"
 KEY_ENV = "VEILSPARK_KEY"
 
 
@@ -43,7 +45,7 @@ class DetectConfig:
 
 def secret_key(spark: SparkSession) -> str:
     """The vault key from Spark configuration or the environment; there is no default."""
-    key = spark.conf.get(KEY_CONF, None) or os.environ.get(KEY_ENV)
+    key = spark.conf.get(KEY_CONF, None) or spark.conf.get(OLD_KEY_CONF, None) or os.environ.get(KEY_ENV)
     if not key:
         raise ValueError(f"set {KEY_CONF} or the environment variable {KEY_ENV}")
     return key

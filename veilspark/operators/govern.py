@@ -82,7 +82,7 @@ def unavailable(files: DataFrame, outputs: DataFrame) -> DataFrame:
 def audit_rows(events: DataFrame, details: list[str]) -> DataFrame:
     """Audit entries from events; the named columns become the JSON details.
 
-    Each entry gets a digest of its canonical JSON, so later changes show.
+    Each entry gets a digest of all its fields, the time among them, so later changes show.
     """
     body = F.struct(*[F.col(c) for c in details]) if details else F.lit(None)
     text = F.to_json(body) if details else F.lit(None).cast("string")
@@ -98,6 +98,8 @@ def with_digest(audit: DataFrame) -> DataFrame:
         F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in
         ("id", "user_id", "action", "resource_type", "resource_id", "details", "ip_address")
     ]
+    time = F.unix_micros(F.col("created_at").cast("timestamp")).cast("string")
+    fields.append(F.coalesce(time, F.lit("\x00")))
     return audit.withColumn("row_digest", F.sha2(F.concat_ws("\x1f", *fields), 256))
 
 

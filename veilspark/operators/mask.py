@@ -97,15 +97,25 @@ def mask_texts(
     units: DataFrame, tokens: DataFrame, keys: list[str], text: str = "text",
     out: str = "masked",
 ) -> DataFrame:
-    """Masked text of every unit. Units without detections keep their text.
+    """Masked text of every unit. Units without detections keep their text; where a key is null,
+    detections are replaced by their type in brackets.
 
     `units` carries the `detections` column; only units that have any take part in the join.
     `tokens` comes from `unit_tokens`, best written to a table first. Units that exist in very
     many copies under one id are no hot key (see `lookup_join`).
     """
+    named = F.lit(True)
+    for k in keys:
+        named = named & F.col(k).isNotNull()
     clean = units.where(F.size("detections") == 0).withColumn(out, F.col(text))
-    dirty = lookup_join(units.where(F.size("detections") > 0), tokens, keys, "n_rows", ["spans"])
-    ordered = dirty.withColumn("spans", F.sort_array("spans"))
+    found = units.where(F.size("detections") > 0)
+    dirty = lookup_join(found.where(named), tokens, keys, "n_rows", ["spans"])
+    # no vault entry can be found by a null id: the value gives way to its type
+    by_type = F.transform("detections", lambda d: F.struct(
+        d["start"].alias("start"), d["end"].alias("end"),
+        F.concat(F.lit("["), d["pii_type"], F.lit("]")).alias("token"), d["value"].alias("value")))
+    nameless = found.where(~named).withColumn("spans", by_type)
+    ordered = dirty.unionByName(nameless).withColumn("spans", F.sort_array("spans"))
     spliced = ordered.withColumn(out, F.expr(splice(text, "spans"))).drop("spans")
     return clean.unionByName(spliced)
 

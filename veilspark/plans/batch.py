@@ -25,14 +25,10 @@ class BatchResult:
     masked: DataFrame
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input has fewer files than cores.
-
-    Detection needs far more time per byte than a shuffle, so a handful of files is dealt out
-    evenly first. Inputs of many files, which have splits enough, are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal the rows out evenly, by default over all cores: for a handful of small files that
+    would otherwise keep few cores busy. A shuffle of all texts, so only on request."""
+    return df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -50,6 +46,7 @@ def run(
     cfg: DetectConfig = DetectConfig(),
     label: str | None = None,
     scope: str = "spans",
+    partitions: int | None = None,
 ) -> BatchResult:
     """Detect, score, tokenise and mask a table of units (file_id, unit_id, text).
 
@@ -57,14 +54,20 @@ def run(
     written once; the report and the vault then read only the detection column, and masking
     shuffles the texts that have detections and no others.
 
+    Texts are read by the input's own splits; `partitions` deals them out anew first. Units with
+    a null id are reported under it and masked by type, without tokens.
+
     scope "spans" replaces the detected positions; "file" replaces every occurrence of every
     value of the file, also where the context did not support it.
     """
     spark = units.sparkSession
     key = secret_key(spark)
-    keys = ["file_id", "unit_id"]
-    cols = [*keys, "text", *([label] if label else [])]
-    staged = stage(add_detections(spread(units.select(*cols)), cfg, label=label), "detected")
+    # units that share an id but not their text must not get each other's spans
+    keys = ["file_id", "unit_id", "text_hash"]
+    given = units.select("file_id", "unit_id", "text", *([label] if label else []))
+    given = spread(given, partitions) if partitions else given
+    given = given.withColumn("text_hash", F.xxhash64("text"))
+    staged = stage(add_detections(given, cfg, label=label), "detected")
     detections = explode_detections(staged, keys)
 
     files = staged.select("file_id").distinct()
@@ -79,7 +82,7 @@ def run(
         masked = mask_by_file(staged, tokens, keys)
     else:
         masked = mask_texts(staged, stage(unit_tokens(detections, tokens, keys), "spans"), keys)
-    append_run(masked.drop("detections", "text"), f"{out}/masked", run_id)
+    append_run(masked.drop("detections", "text", "text_hash"), f"{out}/masked", run_id)
 
     def back(table):
         return spark.read.parquet(f"{out}/{table}").where(F.col("run_id") == run_id).drop("run_id")

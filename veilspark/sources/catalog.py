@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from .docx import docx_units
-from .nested import leaf_rows, typed_variant
+from .nested import text_leaves
 from .sqldump import literals, split_statements
 
 MAX_BYTES = 2_000_000_000  # one value cannot be larger
@@ -40,12 +40,13 @@ def group_fingerprint(df: DataFrame, group: str, columns: list[str]) -> DataFram
     """One SHA-256 per group of rows, without gathering a group.
 
     Rows are hashed one by one (name the position or key among the columns); the row hashes
-    of a group are combined by XOR in four lanes of 60 bits, which is done map-side before
-    the shuffle, and the lanes are hashed together with the row count.
+    of a group are added up in four lanes of 60 bits, which is done map-side before the
+    shuffle, and the sums are hashed together with the row count. Repeated rows add up, so
+    they do not cancel out.
     """
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
     lanes = {
-        f"_x{i}": F.bit_xor(F.conv(F.substring("_h", 15 * i + 1, 15), 16, 10).cast("bigint"))
+        f"_x{i}": F.sum(F.conv(F.substring("_h", 15 * i + 1, 15), 16, 10).cast("decimal(20,0)"))
         for i in range(4)
     }
     hashed = df.select(group, F.sha2(F.concat_ws("\x1f", *cells), 256).alias("_h"))
@@ -86,16 +87,32 @@ def catalog_rows(files: DataFrame, uploaded_by: int) -> DataFrame:
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Files of a folder with their bytes; larger files than a value can hold are left to
-    the splittable readers of their type."""
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        .where(F.col("length") <= MAX_BYTES)
-    )
+    the splittable readers of their type and listed by `oversized_files`."""
+    return _binary(spark, path).where(F.col("length") <= MAX_BYTES)
+
+
+def _binary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+
 
+def oversized_files(spark: SparkSession, path: str, limit: int = MAX_BYTES) -> DataFrame:
+    """The files that `read_files` leaves out, without reading them, with a reason."""
+    reason = F.concat(F.lit("larger than one value: "), F.col("length"), F.lit(" bytes"))
+    big = _binary(spark, path).select("path", "modificationTime", "length").where(F.col("length") > limit)
+    return big.withColumn("reason", reason)
 
-# A CSV record and a CSV cell; quoted parts may hold separators.
+
+def catalog_rejects(files: DataFrame) -> DataFrame:
+    """The files for which `catalog_rows` makes no entry, with a reason: path, file_type, reason."""
+    named = files.select("path", F.regexp_extract("path", r"([^/]*)\z", 1).alias("name"))
+    return split_allowed(named)[1].select("path", "file_type", "reason")
+
+
+# A CSV record, and a CSV cell with the separator that ends it; quoted parts may hold separators.
 _RECORD = r'(?s)(?:[^"\r\n]++|"[^"]*+"|")++'
-_CELL = r'(?s)(?:^|,)((?:[^",]++|"[^"]*+"|")*+)'
+_CELL = r'(?s)((?:[^",]++|"[^"]*+"|")*+),'
+# Label of cells beyond the header's width.
+EXTRA = "extra"
 
 
 def _csv_cells(record: Column) -> Column:
@@ -103,11 +120,12 @@ def _csv_cells(record: Column) -> Column:
         inner = F.regexp_replace(c, r'(?s)^"(.*)"\z', "$1")
         return F.replace(inner, F.lit('""'), F.lit('"'))
 
-    return F.transform(F.regexp_extract_all(record, F.lit(_CELL), F.lit(1)), plain)
+    return F.transform(F.regexp_extract_all(F.concat(record, F.lit(",")), F.lit(_CELL), F.lit(1)), plain)
 
 
 def _csv_units(files: DataFrame) -> DataFrame:
-    """Rendered rows of CSV files, each with its own header."""
+    """Rendered rows of CSV files, each with its own header; cells that a row lacks are blank,
+    cells beyond the header are labelled `extra`."""
     records = F.regexp_extract_all("_text", F.lit(_RECORD), F.lit(0))
     rows = files.select("file_id", "file_type", records.alias("_records")).select(
         "file_id", "file_type", _csv_cells(F.get("_records", F.lit(0))).alias("_names"),
@@ -116,7 +134,7 @@ def _csv_units(files: DataFrame) -> DataFrame:
     )
     pairs = F.zip_with(
         "_names", _csv_cells(F.col("_record")),
-        lambda k, v: F.concat(k, F.lit(": "), F.coalesce(v, F.lit(""))),
+        lambda k, v: F.concat(F.coalesce(k, F.lit(EXTRA)), F.lit(": "), F.coalesce(v, F.lit(""))),
     )
     return rows.select(
         "file_id", "file_type", F.lit(None).cast("string").alias("label"),
@@ -125,11 +143,11 @@ def _csv_units(files: DataFrame) -> DataFrame:
 
 
 def _json_units(files: DataFrame) -> DataFrame:
-    """Leaves of JSON files, with the nearest key as label."""
-    parsed = files.select("file_id", "file_type", F.try_parse_json("_text").alias("_content"))
-    parsed = typed_variant(parsed.where(F.col("_content").isNotNull()), "_content")
-    return leaf_rows(parsed, "_content", ["file_id", "file_type"]).select(
-        "file_id", "file_type", "label", "text"
+    """Leaves of JSON files of any shapes, with the nearest key as label."""
+    parsed = files.where(F.try_parse_json("_text").isNotNull())
+    leaf = F.explode(text_leaves("_text")).alias("_leaf")
+    return parsed.select("file_id", "file_type", leaf).select(
+        "file_id", "file_type", F.col("_leaf.label").alias("label"), F.col("_leaf.text").alias("text")
     )
 
 
@@ -144,11 +162,12 @@ def mixed_units(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     typed = files.withColumn("file_type", file_type(F.col("name"))).withColumnRenamed(
         "name", "file_id"
     )
+    as_text = F.col("content").cast("string")
+    is_text = F.col("file_type").isin("csv", "json", "sql")
 
     def of(kind):
-        return typed.where(F.col("file_type") == kind).select(
-            "file_id", "file_type", F.decode("content", "UTF-8").alias("_text")
-        )
+        valid = typed.where((F.col("file_type") == kind) & F.is_valid_utf8(as_text))
+        return valid.select("file_id", "file_type", as_text.alias("_text"))
 
     no_label = F.lit(None).cast("string").alias("label")
     statements = split_statements(of("sql").select("file_id", "_text"), "_text")
@@ -174,4 +193,8 @@ def mixed_units(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     bad_docx = read.where(F.col("error").isNotNull()).select(
         "file_id", F.lit("docx").alias("file_type"), F.col("error").alias("reason")
     )
-    return units, unsupported.unionByName(bad_json).unionByName(bad_docx)
+    bad_text = typed.where(is_text & ~F.coalesce(F.is_valid_utf8(as_text), F.lit(False))).select(
+        "file_id", "file_type", F.lit("not valid UTF-8").alias("reason")
+    )
+    rejected = unsupported.unionByName(bad_json).unionByName(bad_docx).unionByName(bad_text)
+    return units, rejected

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,6 +71,39 @@ def leaves(value: Column, dtype: T.DataType, path: str = "", label: str = "") ->
     return F.when(value.isNotNull(), one).otherwise(F.array().cast(LEAVES))
 
 
+def _walk(node, path: str = "", label: str = "") -> list[tuple]:
+    """Leaves of a parsed JSON value; an explicit stack, so that depth is no limit."""
+    out, stack = [], [(node, path, label)]
+    while stack:
+        node, path, label = stack.pop()
+        if isinstance(node, dict):
+            inner = [(v, f"{path}.{k}" if path else k, k) for k, v in node.items()]
+            stack.extend(reversed(inner))
+        elif isinstance(node, list):
+            stack.extend((v, f"{path}[]", label) for v in reversed(node))
+        elif node is not None:
+            text = str(node).lower() if isinstance(node, bool) else str(node)
+            out.append((path, label, text, isinstance(node, str) and not isinstance(node, _Number)))
+    return out
+
+
+class _Number(str):
+    """A number as it is written."""
+
+
+def text_leaves(text: str) -> Column:
+    """Leaves of JSON texts as (path, label, text, is_string), each text by its own shape: no
+    common schema is needed. Texts that do not parse have no leaves."""
+
+    def leaves_of(value: str | None) -> list[tuple]:
+        try:
+            return _walk(json.loads(value, parse_int=_Number, parse_float=_Number)) if value else []
+        except (ValueError, RecursionError):
+            return []
+
+    return F.udf(leaves_of, LEAVES, useArrow=True)(F.col(text))
+
+
 def leaf_rows(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """One row per leaf of a nested column."""
     dtype = df.schema[column].dataType
