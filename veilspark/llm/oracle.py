@@ -18,15 +18,15 @@ WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 split AS (
   SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
     string_split(text, chr(10)) AS lines FROM docs),
-flat AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS at FROM split),
+flat AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM split),
 lines AS (
   SELECT doc_id, line, lower(line) AS low, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w,
-    row_number() OVER (PARTITION BY doc_id, line ORDER BY at) > 1 AS again
+    row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS again
   FROM flat WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 measured AS (
   SELECT *, len(w) AS n, length(regexp_replace(line, '{_SPACE}', '', 'g')) AS chars,
     length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols,
-    len(list_filter(w, x -> list_contains({_SEPARATORS}, x))) AS separators,
+    len(list_filter(w, lambda x: list_contains({_SEPARATORS}, x))) AS separators,
     length(regexp_replace(line, '[^A-Z]', '', 'g')) AS capitals,
     length(regexp_replace(line, '[^A-Za-z]', '', 'g')) AS letters,
     length(regexp_replace(line, '[^!]', '', 'g')) AS shouts,
@@ -40,17 +40,17 @@ judged AS (
 by_line AS (
   SELECT doc_id, count(*) FILTER (again) AS n_dup_lines,
     coalesce(sum(chars) FILTER (fails), 0) AS lost_chars FROM judged GROUP BY doc_id),
-word AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS at FROM split),
+word AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS pos FROM split),
 windows AS (
-  SELECT doc_id, at, w AS w0, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2,
+  SELECT doc_id, pos, w AS w0, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2,
     lead(w, 3) OVER o AS w3, lead(w, 4) OVER o AS w4
-  FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY at)),
+  FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 marked AS (
-  SELECT doc_id, at, w4 IS NOT NULL AND
+  SELECT doc_id, pos, w4 IS NOT NULL AND
     count(*) OVER (PARTITION BY doc_id, w0, w1, w2, w3, w4) > 1 AS twice FROM windows),
 covered AS (
   SELECT doc_id, max(twice::int) OVER (
-    PARTITION BY doc_id ORDER BY at ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS hit FROM marked),
+    PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS hit FROM marked),
 by_word AS (SELECT doc_id, sum(hit) AS n_repeat_words FROM covered GROUP BY doc_id),
 counted AS (
   SELECT s.doc_id, len(words)::bigint AS n_words,
