@@ -35,10 +35,27 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts))
 
 
+# Texts can be long: what a Python worker holds at once is bounded in rows and bytes, unless
+# the session says otherwise.
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+}
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema: StructType | str) -> DataFrame:
+    """`mapInArrow` with small batches."""
+    conf = df.sparkSession.conf
+    for name, value in BATCH.items():
+        if conf.get(name, None) is None:
+            conf.set(name, value)
+    return df.mapInArrow(fn, schema)
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: StructType | str
 ) -> DataFrame:
-    """`mapInArrow` with a function of one batch."""
+    """`map_arrow` with a function of one batch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,7 +64,7 @@ def map_batches(
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_batches, stage, take_columns, texts
+from .common import column, map_arrow, map_batches, stage, take_columns, texts
 
 SHINGLE = 5
 PERCENT = 75  # of the union that two sets must share
@@ -248,10 +248,10 @@ def _rest(reps: DataFrame, components: DataFrame, rows: DataFrame) -> DataFrame:
         F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
     cells = cells.join(reps.select("rep", "digest", "sketch", "bands"), "rep")
     cells = cells.repartition("band", "cell").sortWithinPartitions("band", "cell")
-    wanted = stage(cells.mapInArrow(_wanted, cells.schema), "wanted")
+    wanted = stage(map_arrow(cells, _wanted, cells.schema), "wanted")
     full = rows.join(wanted, F.col("doc_id") == F.col("rep")).drop("doc_id")
     full = full.repartition("band", "cell").sortWithinPartitions("band", "cell")
-    return full.mapInArrow(_linked, "hub bigint, rep bigint").distinct()
+    return map_arrow(full, _linked, "hub bigint, rep bigint").distinct()
 
 
 def _confirm_run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +300,7 @@ def _confirm(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
     wanted = member.union(hub).join(reps.select(F.col("rep").alias("doc_id"), "digest"), "doc_id")
     found = rows.join(wanted, "doc_id").select("hub", "salt", "doc_id", "digest", "text")
     found = found.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "doc_id")
-    return found.mapInArrow(_confirm_run, "hub bigint, rep bigint")
+    return map_arrow(found, _confirm_run, "hub bigint, rep bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import column, map_batches, take_columns, texts
+from .common import column, map_arrow, map_batches, take_columns, texts
 
 # Characters and phrases the rules look for.
 SYMBOLS = "#*$%&|<>"
@@ -156,4 +156,4 @@ def clean(docs: DataFrame, text_col: str = "text", chars_col: str | None = None)
                 schema=pa.schema([pa.field(n, new[n].type if n in new else batch.schema.field(n).type)
                                   for n in names]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
