@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import struct
 from collections import OrderedDict
 from typing import NamedTuple
 
@@ -99,6 +100,11 @@ class Encoder:
         self.tokenizer.no_padding()
         added = self.tokenizer.get_added_tokens_decoder()
         self.added = {t.content: i for i, t in added.items() if t.content}
+        back = {chr(c): bytes([b]) for b, c in _BYTES.items()} | {chr(b): bytes([b]) for b in _PRINTED}
+        self.pieces = {
+            i: b"".join(map(back.__getitem__, piece))
+            for piece, i in self.tokenizer.get_vocab(with_added_tokens=False).items()
+        } | {i: t.encode() for t, i in self.added.items()}
         self.cache: OrderedDict[str, Chunk] = OrderedDict()
         self.cached = 0
         self.words: dict[str, bytes] = {}
@@ -114,20 +120,25 @@ class Encoder:
             return Chunk(np.array(enc.ids, np.uint32), np.array(starts, np.int32), firsts.astype(np.int32))
         words = _WORDS.findall(text)
         known = self.words
-        try:
-            packed = [known[w] for w in words]
-        except KeyError:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-            for w in set(words).difference(known):
-                spelled = w.encode().decode("latin-1").translate(_BYTES)
-                known[w] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-            packed = [known[w] for w in words]
+        if len(known) > CACHED_WORDS:
+            known.clear()
+        packed = list(map(known.get, words))
+        if None in packed:
+            for i, p in enumerate(packed):
+                if p is None:
+                    packed[i] = known.get(words[i]) or self._spell(words[i])
         starts, firsts = np.zeros((2, len(words) + 1), np.int32)
         np.cumsum(np.fromiter(map(len, words), np.int32, len(words)), out=starts[1:])
         np.cumsum(np.fromiter(map(len, packed), np.int32, len(words)) // 4, out=firsts[1:])
         return Chunk(np.frombuffer(b"".join(packed), "<u4"), starts[:-1], firsts[:-1])
 
+    def _spell(self, word: str) -> bytes:
+        """Packed ids of one pre-token, remembered."""
+        spelled = word.encode().decode("latin-1").translate(_BYTES)
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        self.words[word] = packed = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
+
     def _chunk(self, text: str) -> Chunk:
         found = self.cache.get(text)
         if found is not None:
@@ -206,7 +217,9 @@ class Encoder:
         return np.concatenate(parts) if parts else np.empty(0, np.uint32)
 
     def decode(self, ids: np.ndarray) -> str:
-        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+        """The text of ids, special tokens included: the bytes of their pieces."""
+        whole = b"".join(map(self.pieces.__getitem__, ids.tolist()))
+        return whole.decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=2)
