@@ -8,6 +8,7 @@ from veilspark.config import KEY_CONF, scratch_dir
 from veilspark.operators import mask, vault
 from veilspark.operators.detect import add_detections, explode_detections
 from veilspark.plans import batch
+from veilspark.streaming import arrivals
 
 from . import oracle as O
 from .data import COLUMNS, CORPUS, FILE_ID, PEOPLE, ROWS, ctes, derive, units
@@ -113,7 +114,7 @@ def o93(spark, sf_dir):
 
 @check("o94_nested_mask", ctes(**_TABLE_DET) + f"""
 SELECT unit_id, {fold('full_name', 'm')} AS name, {fold('mobile', 'm')} AS mobile, {fold('email', 'm')} AS mail0,
-  {fold('upi_id', 'm')} AS mail1, unit_id + 1 AS number, {fold('pan', 'm')} AS pan, CAST(NULL AS STRING) AS nothing
+  {fold('upi_id', 'm')} AS mail1, CAST(unit_id + 1 AS VARCHAR) AS number, {fold('pan', 'm')} AS pan, CAST(NULL AS STRING) AS nothing
 FROM tab JOIN ({_ROW_DICTIONARY}) USING (unit_id, file_id)""")
 def o94(spark, sf_dir):
     table = derive(spark, sf_dir, _TABLE).join(_row_mappings(spark, sf_dir), KEYS)
@@ -127,6 +128,20 @@ def o94(spark, sf_dir):
         "d.contact.mails[1] AS mail1", "d.number", "d.ids['pan'] AS pan", "d.nothing")
 
 
+# Bank accounts and phone numbers stored as numbers, next to numbers that nobody detected.
+@check("o94_numbers_masked", ctes(**_TABLE_DET) + f"""
+SELECT unit_id, {fold('mobile', 'm')} AS phone, {fold('bank_account', 'm')} AS account, CAST(unit_id AS VARCHAR) AS plain_number
+FROM tab JOIN ({_ROW_DICTIONARY}) USING (unit_id, file_id)""")
+def o94_numbers(spark, sf_dir):
+    table = derive(spark, sf_dir, _TABLE).join(_row_mappings(spark, sf_dir), KEYS)
+    nested = table.selectExpr(
+        "unit_id", "mapping", "struct(cast(mobile AS bigint) AS phone, "
+        "array(cast(bank_account AS decimal(20, 0))) AS accounts, unit_id AS plain_number) AS doc")
+    masked = mask.mask_nested(F.col("doc"), nested.schema["doc"].dataType, F.col("mapping"))
+    return nested.select("unit_id", masked.alias("d")).selectExpr(
+        "unit_id", "d.phone", "d.accounts[0] AS account", "d.plain_number")
+
+
 def _texts_check(name, sql_text):
     """Mask statement, paragraph or page texts of each row with the row's mapping."""
     sql = ctes(**_TABLE_DET) + (
@@ -202,6 +217,47 @@ def batch_vault(spark, sf_dir):
     return values.join(table.select("file_id", "token", "pii_type"), ["file_id", "token"])
 
 
+def _two_runs(spark, sf_dir, scope="spans"):
+    """The units in two runs with one output: every file has a part in each."""
+    if not spark.conf.get(KEY_CONF, None):
+        spark.conf.set(KEY_CONF, KEY)
+    out, whole = scratch_dir(spark, "check-runs"), derive(spark, sf_dir, UNITS)
+    parts = [batch.run(whole.where(f"unit_id div 7 % 2 = {k}"), out, f"run-{k}", scope=scope) for k in (0, 1)]
+    return parts, out
+
+
+@check("o81_unique_across_runs", ctes(**{
+    **VAULT, "firsts": VAULT["firsts"].replace("{'a'", "{'r': unit_id // 7 % 2, 'a'")}) + """
+SELECT file_id, token, value, CAST(1 AS BIGINT) AS n_values FROM vault""")
+def o81_runs(spark, sf_dir):
+    """Values with their tokens after two runs: no token stands for two values, and a value
+    keeps the token of the first run that found it."""
+    _, out = _two_runs(spark, sf_dir)
+    values = vault.reverse_tokens(arrivals.whole_vault(spark, out), KEY)
+    return values.groupBy(F.col("file_id").cast("bigint").alias("file_id"), "token").agg(
+        F.min("value").alias("value"), F.count_distinct("value").alias("n_values"))
+
+
+@check("o73_report_over_two_runs", ctes(**DET) + """
+SELECT f.file_id, coalesce(n, 0) AS total_pii_found, coalesce(k, 0) AS types FROM (SELECT DISTINCT file_id FROM t) f
+LEFT JOIN (SELECT file_id, count(*) AS n, count(DISTINCT pii_type) AS k FROM det GROUP BY file_id) USING (file_id)""")
+def o73_runs(spark, sf_dir):
+    _, out = _two_runs(spark, sf_dir)
+    return arrivals.all_reports(spark, out).select(
+        F.col("file_id").cast("bigint").alias("file_id"), "total_pii_found",
+        F.size("pii_breakdown").cast("bigint").alias("types"))
+
+
+@check("o100_detokenise_file_scope", ctes(t=UNITS) + "SELECT unit_id, file_id, text AS restored FROM t")
+def o100_file(spark, sf_dir):
+    """Every occurrence of every value replaced, over two runs, and restored."""
+    parts, out = _two_runs(spark, sf_dir, "file")
+    masked = parts[0].masked.unionByName(parts[1].masked)
+    revealed = vault.reverse_tokens(arrivals.whole_vault(spark, out), KEY)
+    back = mask.detokenise(masked, revealed, KEYS)
+    return back.select("unit_id", F.col("file_id").cast("bigint").alias("file_id"), "restored")
+
+
 # Documents, pages and derived rows together: every source one file.
 _ALL = f"SELECT src AS file_id, concat(src, '-', CAST(unit_id AS STRING)) AS unit_id, text FROM ({CORPUS}) c"
 

@@ -232,8 +232,5 @@ def vault_ctes(det: str = "det") -> dict[str, str]:
         "firsts": f"SELECT file_id, value, arg_min(pii_type, {{'a': -confidence, 'b': rank, 'c': unit_id, 'd': s}}) AS pii_type, "
                   f"count(*) AS n_found FROM {det} GROUP BY file_id, value",
         "digests": f"SELECT *, {prefix()} AS prefix, {digest} AS digest FROM firsts",
-        "vault": "SELECT file_id, value, pii_type, n_found, concat(prefix, '_', CASE "
-                 "WHEN count(*) OVER (PARTITION BY file_id, prefix, substr(digest, 1, 5)) = 1 THEN substr(digest, 1, 5) "
-                 "WHEN count(*) OVER (PARTITION BY file_id, prefix, substr(digest, 1, 12)) = 1 THEN substr(digest, 1, 12) "
-                 "ELSE digest END) AS token FROM digests",
+        "vault": "SELECT file_id, value, pii_type, n_found, concat(prefix, '_', translate(substr(digest, 1, 24), '0123456789ABCDEF', 'ABCDEFGHIJKLMNOP')) AS token FROM digests",
     }

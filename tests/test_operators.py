@@ -13,7 +13,7 @@ from veilspark.operators import mask, risk, skew, vault
 from veilspark.operators.detect import detect_rows
 from veilspark.plans import batch
 from veilspark.sources import sqldump, tables
-from veilspark.streaming.arrivals import process_arrivals
+from veilspark.streaming.arrivals import all_reports, process_arrivals, whole_vault
 
 KEYS = ["file_id", "unit_id"]
 
@@ -64,6 +64,45 @@ def test_stream_gives_the_same_as_a_batch(spark, units):
     assert masked.count() == 300
 
 
+def test_batches_of_one_file_add_up(spark):
+    """3,000 values of one file in two batches: no token stands for two, one report."""
+    parts = [spark.range(k * 1500, k * 1500 + 1500).selectExpr(
+        "1 AS file_id", "id AS unit_id", "concat('mobile: ', cast(6000000000 + id * 7 AS string)) AS text")
+        for k in (0, 1)]
+    out = scratch_dir(spark, "run")
+    masked = [batch.run(p, out, f"b{k}").masked for k, p in enumerate(parts)]
+    report = all_reports(spark, out).collect()
+    assert [(r.file_id, r.total_pii_found) for r in report] == [(1, 3000)]
+    sealed = whole_vault(spark, out)
+    assert sealed.count() == 3000
+    back = mask.detokenise(masked[0].unionByName(masked[1]), vault.reverse_tokens(sealed, secret_key(spark)), KEYS)
+    wrong = back.join(parts[0].unionByName(parts[1]), "unit_id").where("restored <> text")
+    assert back.count() == 3000 and wrong.isEmpty()
+
+
+def test_replacement_in_one_pass(spark):
+    mapping = F.array(*[
+        F.struct(F.lit(v).alias("value"), F.lit(t).alias("token"))
+        for v, t in (("PHONE", "PERSON_A"), ("98765", "PHONE_B"), ("9876543210", "PHONE_C"), ("a.b\\E", "MAIL_D"), ("", "X"))])
+    texts = {
+        "name: PHONE 9876543210": "name: PERSON_A PHONE_C", "98765x": "PHONE_Bx", "": "", "axb": "axb",
+        "\x01a.b\\Ea.b\\E": "\x01MAIL_DMAIL_D", "98765432109876543210": "PHONE_CPHONE_C", None: None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", mask.replace_all(F.col("t"), mapping).alias("m")).collect()
+    assert {r.t: r.m for r in got} == texts
+    none = df.select(mask.replace_all(F.col("t"), F.expr(f"cast(array() AS {mask.MAPPING})")).alias("m"))
+    assert [r.m for r in none.collect()] == list(texts)
+
+
+def test_token_is_closed(spark):
+    """Digits that follow a token in the text are not taken for a part of it."""
+    units = spark.createDataFrame([(1, 1, "mobile: 9876543210"), (1, 2, "x98765432101 ref")], "file_id int, unit_id int, text string")
+    result = batch.run(units, scratch_dir(spark, "run"), "r", scope="file")
+    back = mask.detokenise(result.masked, vault.reverse_tokens(result.vault, secret_key(spark)), KEYS)
+    assert result.masked.where("masked LIKE '%9876543210%'").isEmpty()
+    assert {(r.unit_id, r.restored) for r in back.collect()} == {(1, "mobile: 9876543210"), (2, "x98765432101 ref")}
+
+
 def test_lookup_join_with_hot_key_is_whole(spark):
     rows = spark.range(20_000).selectExpr("CASE WHEN id % 3 = 0 THEN -1 ELSE id % 500 END AS k", "id")
     lookup = batch.stage(rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 2), "lookup")

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from .. import constants as C
 from ..functions.spans import blocks, slice_text
 from .skew import lookup_join, salted_join
+from .vault import LETTERS, TOKEN_DIGITS
 
 MAPPING = "array<struct<value:string,token:string>>"
 
@@ -26,10 +27,26 @@ def longest_first(mapping: Column) -> Column:
 
 
 def replace_all(text: Column, mapping: Column) -> Column:
-    """Replace values one after the other, longest first. The mapping belongs to the row
-    (the values found in it), so its size is bounded by the row."""
-    return F.aggregate(
-        longest_first(mapping), text, lambda done, m: F.replace(done, m["value"], m["token"])
+    """Replace every occurrence of every value in one pass over the text: from left to right,
+    the longest value that starts at a place first. Inserted tokens are never searched again,
+    so each of them leads back to its value. The mapping belongs to the row (the values found
+    in it), so its size is bounded by the row."""
+    entries = longest_first(F.filter(mapping, lambda m: F.length(m["value"]) > 0))
+    values = F.transform(entries, lambda m: m["value"])
+    tokens = F.transform(entries, lambda m: m["token"])
+    pattern = F.array_join(F.transform(values, quoted), "|")
+    gaps = F.split(text, pattern, -1)
+    hits = F.regexp_extract_all(text, pattern, F.lit(0))
+    # one gap more than hits
+    parts = F.transform(gaps, lambda gap, i: F.when(i == 0, gap).otherwise(
+        F.concat(F.get(tokens, F.array_position(values, F.get(hits, i - 1)).cast("int") - 1), gap)))
+    return F.when(F.size(values) > 0, F.array_join(parts, "")).otherwise(text)
+
+
+def quoted(value: Column) -> Column:
+    """A pattern that matches the value and nothing else."""
+    return F.concat(
+        F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")
     )
 
 
@@ -39,10 +56,13 @@ def mask_columns(df: DataFrame, columns: list[str], mapping: str) -> DataFrame:
 
 
 def mask_nested(value: Column, dtype: T.DataType, mapping: Column) -> Column:
-    """`replace_all` on the string leaves of a nested value; keys, numbers, booleans and
-    nulls stay. Built from the schema, so it is an ordinary expression."""
+    """`replace_all` on the string and number leaves of a nested value; keys, booleans and nulls
+    stay. Number leaves become strings, since a number that is a detected value gives way to its
+    token. Built from the schema, so it is an ordinary expression."""
     if isinstance(dtype, T.StringType):
         return replace_all(value, mapping)
+    if isinstance(dtype, T.NumericType):
+        return replace_all(value.cast("string"), mapping)
     if isinstance(dtype, T.ArrayType):
         return F.transform(value, lambda x: mask_nested(x, dtype.elementType, mapping))
     if isinstance(dtype, T.MapType):
@@ -163,11 +183,8 @@ def find_values(
     longer = hits.where(F.col("_len") > F.length("_anchor")).join(
         texts.select(*all_keys, text), all_keys
     )
-    quoted = F.concat(
-        F.lit(r"\Q"), F.replace("_anchor", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")
-    )
     cut = F.concat(
-        F.lit("(?s)(?=("), quoted, F.lit(".{"),
+        F.lit("(?s)(?=("), quoted(F.col("_anchor")), F.lit(".{"),
         (F.col("_len") - F.length("_anchor")).cast("string"), F.lit("}))"),
     )
     pieces = longer.select(
@@ -189,8 +206,7 @@ def mask_by_file(
     """Replace every occurrence of every value of the file in each of its texts.
 
     Each text receives only the values it contains, so no file-wide dictionary is ever
-    collected. Values are looked for in the original text: unlike a plain loop over the
-    whole dictionary, a value that occurs only inside an inserted token is left alone.
+    collected. Values are looked for in the original text only.
     """
     present = find_values(texts, vault, keys, file, text)
     hits = salted_join(present, vault.select(file, "value", "token"), [file, "value"], keys)
@@ -215,7 +231,7 @@ def leaks(
 
 # -- back to the original --------------------------------------------------------
 
-TOKEN_PATTERN = f"(?:{'|'.join(C.TOKEN_PREFIX.values())})_[0-9A-F]{{5,64}}"
+TOKEN_PATTERN = f"(?:{'|'.join(C.TOKEN_PREFIX.values())})_[{LETTERS}]{{{TOKEN_DIGITS}}}"
 
 
 def detokenise(

@@ -72,7 +72,21 @@ def display_band(score: Column) -> Column:
 
 def reports(detections: DataFrame, files: DataFrame | None = None, file: str = "file_id") -> DataFrame:
     """One report row per file. With `files`, files without any detection get one too."""
-    counts = type_counts(detections, file)
+    return reports_from_counts(type_counts(detections, file), files, file)
+
+
+def merge_reports(parts: DataFrame, file: str = "file_id") -> DataFrame:
+    """One report per file out of the reports of its runs or batches: detections of each type
+    are added up and scored as a whole."""
+    rows = parts.select(file, F.explode("pii_breakdown").alias("pii_type", "n"))
+    counts = rows.groupBy(file, "pii_type").agg(F.sum("n").alias("n"))
+    return reports_from_counts(counts, parts, file)
+
+
+def reports_from_counts(
+    counts: DataFrame, files: DataFrame | None = None, file: str = "file_id"
+) -> DataFrame:
+    """Reports from the number of detections per file and type."""
     per_file = counts.groupBy(file).agg(
         *_class_sums(),
         # at most eleven entries

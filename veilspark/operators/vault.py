@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.crypto import decrypt_or_mark, encrypt, hmac_hex
 
-TOKEN_DIGITS = 5
+# 96 bits: among ten billion values of one file, two share a token with a chance below 1e-8.
+TOKEN_DIGITS = 24
+# Sixteen letters instead of hex digits, so that no token reads as a telephone or card number.
+LETTERS = "ABCDEFGHIJKLMNOP"
 WIDE_DIGITS = 12
 
 
@@ -43,9 +46,29 @@ def distinct_values(detections: DataFrame, file: str = "file_id", unit: str = "u
 
 
 def assign_tokens(
-    values: DataFrame, key: str, file: str = "file_id", digits: int = TOKEN_DIGITS
+    values: DataFrame, key: str, file: str = "file_id", digits: int | None = None
 ) -> DataFrame:
-    """Add a token `PREFIX_XXXXX` that is unique within its file.
+    """Add a token `PREFIX_` and 24 letters: a function of file, type and value alone.
+
+    Narrow, and independent of the other values of the run, so a value keeps its token however
+    its file is spread over runs and batches. The fixed length closes the token: what follows
+    it in a text is never read as part of it.
+
+    `digits` asks for short tokens instead, unique within this one table only: see
+    `short_tokens`.
+    """
+    if digits is not None:
+        return short_tokens(values, key, file, digits)
+    digest = F.substring(token_digest(key, F.col(file), F.col("value")), 1, TOKEN_DIGITS)
+    letters = F.translate(digest, "0123456789ABCDEF", LETTERS)
+    return values.withColumn("token", F.concat_ws("_", token_prefix(F.col("pii_type")), letters))
+
+
+def short_tokens(
+    values: DataFrame, key: str, file: str = "file_id", digits: int = 5
+) -> DataFrame:
+    """Add a token `PREFIX_XXXXX` that is unique within its file, for tables that hold all
+    values of their files.
 
     Values whose short digits collide get twelve digits instead, and the full digest if
     even those collide. Both counts use one shuffle, on (file, prefix, short digits): at
@@ -71,6 +94,23 @@ def assign_tokens(
     )
 
 
+def keep_earlier(tokens: DataFrame, earlier: DataFrame, file: str = "file_id") -> DataFrame:
+    """`assign_tokens` output in which values that an earlier vault knows keep their token and
+    type there: a value of several types has one prefix, however its file is spread over runs.
+
+    The letters of a token stand for file and value, so the ciphertexts need not be opened.
+    Joined on (file, letters): one row per value on each side, no key is large.
+    """
+    letters = F.substring("token", -TOKEN_DIGITS, TOKEN_DIGITS)
+    known = earlier.groupBy(file, letters.alias("_letters")).agg(
+        F.min(F.struct("token", "pii_type")).alias("_known"))
+    kept = {c: F.coalesce(F.col(f"_known.{c}"), F.col(c)) for c in ("token", "pii_type")}
+    return (
+        tokens.withColumn("_letters", letters).join(known, [file, "_letters"], "left")
+        .withColumns(kept).select(*tokens.columns)
+    )
+
+
 def encrypt_values(tokens: DataFrame, key: str) -> DataFrame:
     """Replace the value by its ciphertext. The IV is random, so write the result once and
     read it back; never compute it twice."""
@@ -91,6 +131,18 @@ def reverse_tokens(
     )
 
 
+def merged(vault: DataFrame, file: str = "file_id") -> DataFrame:
+    """One entry per file and token out of the entries of many runs or batches: the earliest.
+    Each run seals a value anew, so the ciphertexts of one token differ; the value does not."""
+    cols = [c for c in vault.columns if c not in (file, "token")]
+    counted = "n_found" in cols
+    first = F.min_by(F.struct(*cols), F.struct("created_at", "encrypted_original"))
+    entries = vault.groupBy(file, "token").agg(
+        first.alias("e"), *([F.sum("n_found").alias("_n")] if counted else []))
+    kept = [F.col("_n" if c == "n_found" else f"e.{c}").alias(c) for c in cols]
+    return entries.select(file, "token", *kept)
+
+
 def vault_listing(vault: DataFrame, file_id=None, file: str = "file_id") -> DataFrame:
     """Vault entries without the ciphertext."""
     picked = vault if file_id is None else vault.where(F.col(file) == file_id)

@@ -11,7 +11,7 @@ from ..config import DetectConfig, scratch_dir, secret_key
 from ..operators import risk, vault
 from ..operators.detect import add_detections, explode_detections
 from ..operators.mask import MAPPING, mask_by_file, mask_texts, unit_tokens
-from ..sinks.writers import append_run, append_vault
+from ..sinks.writers import append_run, append_vault, other_runs
 
 
 @dataclass
@@ -55,7 +55,8 @@ def run(
     shuffles the texts that have detections and no others.
 
     Texts are read by the input's own splits; `partitions` deals them out anew first. Units with
-    a null id are reported under it and masked by type, without tokens.
+    a null id are reported under it and masked by type, without tokens. Values that earlier runs
+    into `out` have tokenised keep their tokens.
 
     scope "spans" replaces the detected positions; "file" replaces every occurrence of every
     value of the file, also where the context did not support it.
@@ -74,7 +75,9 @@ def run(
     report = risk.reports(detections, files).withColumn("created_at", F.current_timestamp())
     append_run(report, f"{out}/compliance_reports", run_id)
 
-    tokens = stage(vault.assign_tokens(vault.distinct_values(detections), key), "tokens")
+    tokens = vault.assign_tokens(vault.distinct_values(detections), key)
+    earlier = other_runs(spark, f"{out}/token_mappings", run_id)
+    tokens = stage(vault.keep_earlier(tokens, earlier) if earlier else tokens, "tokens")
     entries = vault.encrypt_values(tokens, key).withColumn("created_at", F.current_timestamp())
     append_vault(entries, f"{out}/token_mappings", run_id)
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 256
@@ -56,3 +57,14 @@ def append_vault(df: DataFrame, path: str, run_id: str, file: str = "file_id") -
     ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "run_id", "file_bucket"
     ).parquet(path)
+
+
+def other_runs(spark: SparkSession, path: str, run_id: str) -> DataFrame | None:
+    """What other runs have written to a control table; None before the first one."""
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return rows.where(F.col("run_id").cast("string") != run_id).drop("run_id")
