@@ -122,6 +122,14 @@ def o62_cells(spark, sf_dir):
     return found.drop("confidence", "method")
 
 
+# Rendered rows without a label beside texts whose column says nothing: labels in the text decide.
+@check("o62_detect_mixed_labels", ctes(**_with_ctes(ROWS)) + f"SELECT unit_id, file_id, {PLAIN} FROM det")
+def o62_mixed(spark, sf_dir):
+    rows = units(spark, sf_dir, ROWS).withColumn(
+        "label", F.expr("CASE unit_id % 3 WHEN 0 THEN 'remarks' WHEN 1 THEN '' END"))
+    return plain(detect_rows(rows, ["unit_id", "file_id"], label="label"), ["unit_id", "file_id"])
+
+
 @check("o62_min_confidence", ctes(**_with_ctes(NOTES)) + """
 SELECT unit_id, s AS start_pos, pii_type FROM det WHERE confidence >= 0.9""")
 def o62_min(spark, sf_dir):

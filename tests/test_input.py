@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from veilspark.config import DetectConfig
 from veilspark.operators import govern
+from veilspark.operators.detect import detect_rows
 from veilspark.plans import batch
-from veilspark.sources import catalog
+from veilspark.sources import catalog, nested, sqldump
 
 
 def files(spark, **contents):
@@ -79,3 +80,38 @@ def test_digests_show_repeated_rows_and_moved_times(spark):
         govern.audit_rows(spark.sql(event).withColumn("created_at", F.lit(t).cast("timestamp")), []).first().row_digest
         for t in ("2024-01-01 00:00:00", "2024-01-01 00:00:01"))
     assert one != two
+
+
+def test_dump_with_breaks_in_literals(spark, tmp_path):
+    """Literals that hold the separator stay whole, next to files that need no care."""
+    (tmp_path / "a.sql").write_text(
+        "INSERT INTO t VALUES ('one');\nINSERT INTO t VALUES ('x;\ny;\n9876543211', \"it's;\nz\");\n"
+        "UPDATE t SET a = 'p;\nq';INSERT INTO t VALUES ('two');\n")
+    (tmp_path / "b.sql").write_text("INSERT INTO t VALUES ('three');\nINSERT INTO t VALUES ('it''s');\n")
+    (tmp_path / "c.sql").write_text("")
+    got = {(r.file_id, r.statement) for r in sqldump.read_dump(spark, str(tmp_path)).collect()}
+    whole = {(r.file_id, r.statement) for r in sqldump.read_dump(spark, str(tmp_path), True).collect()}
+    assert got == whole and len(got) == 6
+    values = [r.value for r in sqldump.literals(sqldump.read_dump(spark, str(tmp_path)), ["file_id"]).collect()]
+    assert "x;\ny;\n9876543211" in values
+
+
+def test_labels_in_the_text_go_before_the_column(spark):
+    """The notes cell has labels of its own; rows without a label are read as rows."""
+    row = "full_name: asha rao | address: 4 Lake Road, Ward 3 | mobile: 9876543210"
+    cells = [(1, "notes", "phone: 9876543210 | name: Asha Rao"), (2, None, row), (3, "phone", "at 12:30 9876543210"),
+             (4, "full_name", "asha rao"), (5, "notes", "9876543210"), (6, None, None), (7, "", row)]
+    df = spark.createDataFrame(cells, "id int, label string, text string")
+    got = {(r.id, r.pii_type, r.value) for r in detect_rows(df, ["id"], label="label").collect()}
+    plain = {(r.id, r.pii_type, r.value) for r in detect_rows(df.where("id IN (2, 7)"), ["id"]).collect()}
+    assert {g for g in got if g[0] in (2, 7)} == plain and len(plain) == 6
+    assert got - plain == {(1, "PHONE_NUMBER", "9876543210"), (1, "PERSON_NAME", "Asha Rao"),
+                           (3, "PHONE_NUMBER", "9876543210"), (4, "PERSON_NAME", "asha rao")}
+
+
+def test_json_files_over_several_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{\n "a": [1,\n 2]\n}\n')
+    (tmp_path / "b.json").write_text('[{"b":\n null}]')
+    read = nested.read_variant(spark, str(tmp_path), whole_files=True)
+    got = {r.file_id: r.j for r in read.select("file_id", F.to_json("content").alias("j")).collect()}
+    assert got == {"a.json": '{"a":[1,2]}', "b.json": '[{"b":null}]'}

@@ -105,8 +105,8 @@ def judge(
 ) -> str:
     """Candidates from spans of one type, with type, confidence and `keep` decided.
 
-    `label` replaces the look-up in the text where the field name is known. The nested
-    transforms give each intermediate value a name, so it is computed once per span.
+    `label` is the known field name of the text, for candidates without a label of their own. The
+    nested transforms give each intermediate value a name, so it is computed once per span.
     """
     if method == "regex":
         rank, confidence = C.RANK[pii_type], C.CONFIDENCE[pii_type]
@@ -118,12 +118,13 @@ def judge(
 
     around = window(text_blocks, "s.start", "s.`end`", cfg.window)
     named = f"transform({spans}, s -> struct(s AS s, {around} AS around))"
-    if label is None:
-        left = left_side("x.around", "x.s.start", cfg.window)
-        named = f"transform({named}, x -> struct(x.s AS s, x.around AS around, {left} AS left))"
-        found = label_of("x.left")
-    else:
-        found = f"coalesce({label}, '')"
+    left = left_side("x.around", "x.s.start", cfg.window)
+    named = f"transform({named}, x -> struct(x.s AS s, x.around AS around, {left} AS left))"
+    found = label_of("x.left")
+    if label is not None:
+        # "at 12:30 …": a number before the colon is a time, no label
+        own = f"CASE WHEN {rlike('l', '(?:^|_)[0-9]+$')} THEN NULL ELSE nullif(l, '') END"
+        found = f"transform(array({found}), l -> coalesce({own}, {label}, ''))[0]"
     named = f"transform({named}, x -> struct(x.s AS s, x.around AS around, {found} AS label))"
     split = (
         f"transform({named}, x -> struct(x.s AS s, x.around AS around, x.label AS label, "

@@ -34,7 +34,7 @@ def add_candidates(
     clean = F.expr(f"CASE WHEN {has_text(text)} THEN {searchable(text)} END")
 
     found = {f"_m_{p}": F.expr(patterns.find_pieces(t, p, cfg.strict)) for p in C.PATTERNS}
-    if cfg.structured and label is None:
+    if cfg.structured:
         found["_m_pairs"] = F.expr(fields.find_pairs(t))
     if cfg.ner_fn is not None:
         found["_m_entities"] = recogniser.entity_column(F.col(text), cfg.ner_fn)
@@ -62,16 +62,16 @@ def add_candidates(
 
 
 def _structured(text: str, text_blocks: str, known: str | None) -> str:
-    """Candidates from labels: pairs in the text, or the whole text under a known label."""
-    if known is None:
-        pairs = fields.pair_spans(text_blocks, "_m_pairs")
-    else:
+    """Candidates from labels: pairs in the text, and the whole text under a known label."""
+    pairs = fields.pair_spans(text_blocks, "_m_pairs")
+    if known is not None:
         lead = f"length(regexp_extract({text}, {literal(f'^[{SPACE}]*')}, 0))"
         value = strip(text)
-        pairs = (
+        whole = (
             f"filter(array(struct({known} AS label, {value} AS value, {lead} AS start, "
-            f"{lead} + length({value}) AS `end`)), p -> length(p.value) >= 2)"
+            f"{lead} + length({value}) AS `end`)), p -> p.label <> '' AND length(p.value) >= 2)"
         )
+        pairs = f"concat({whole}, {pairs})"
     typed = (
         f"transform({pairs}, p -> struct(p.start AS start, p.`end` AS `end`, p.value AS value, "
         f"{fields.field_type('p.label', 'p.value')} AS kind))"
@@ -89,8 +89,9 @@ def add_detections(
 ) -> DataFrame:
     """Add the final detections of each text as an array column, in text order.
 
-    `label` names a column holding the field name of the text (a CSV header, a JSON key);
-    without it labels are read from the text itself.
+    `label` names a column holding the field name of the text (a CSV header, a JSON key). Labels
+    in the text itself go before it, and are all there is where it is null or missing; tables of
+    both kinds can therefore be detected in one pass.
     """
     df = add_candidates(df, cfg, text, "_candidates", label)
     final = resolve("_candidates", cfg.strict)

@@ -21,10 +21,10 @@ def read_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataF
     return df.select(F.col("_metadata.file_name").alias("file_id"), "*")
 
 
-def read_variant(spark: SparkSession, path: str) -> DataFrame:
-    """Each file as one VARIANT value, without any schema."""
-    whole = spark.read.option("wholetext", True).text(path)
-    return whole.select(
+def read_variant(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Each line, or each file with `whole_files`, as one VARIANT value, without any schema."""
+    texts = spark.read.text(path, wholetext=whole_files)
+    return texts.select(
         F.col("_metadata.file_name").alias("file_id"), F.parse_json("value").alias("content")
     )
 

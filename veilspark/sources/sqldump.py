@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import EDGES
@@ -12,17 +13,54 @@ from ..functions.text import EDGES
 STATEMENT = r"""(?s)(?:[^;'"]++|'[^']*+'|"[^"]*+"|['"])++"""
 
 
+BUCKETS = 4096
+
+# What is left of a piece without its quoted literals; a quote in it has no partner.
+_LITERAL = r"""(?s)'[^']*+'|"[^"]*+\""""
+
+
 def read_dump(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
     """Statements of dump files: (file_id, statement).
 
     Files are cut at ";\\n", so one dump is read by many tasks; several statements on one
-    line are then separated outside quotes. Dumps with ";\\n" inside a literal need
-    `whole_files`, which reads one file per task.
+    line are then separated outside quotes. Where a literal holds ";\\n" the cut leaves a quote
+    without a partner; in files with such pieces, pieces are joined again up to the one that
+    has the partner. `whole_files` reads one file per task instead.
     """
-    reader = spark.read
-    reader = reader.option("wholetext", True) if whole_files else reader.option("lineSep", ";\n")
-    raw = reader.text(path).select(F.col("_metadata.file_name").alias("file_id"), "value")
-    return split_statements(raw, "value")
+    if whole_files:
+        raw = spark.read.text(path, wholetext=True)
+        return split_statements(raw.select(F.col("_metadata.file_name").alias("file_id"), "value"), "value")
+    raw = spark.read.option("lineSep", ";\n").text(path).select(
+        F.col("_metadata.file_name").alias("file_id"), F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"), "value",
+    )
+    left = F.regexp_replace("value", _LITERAL, "")
+    pieces = raw.withColumns({
+        "_open": left.contains("'") | left.contains('"'),
+        "_bucket": F.pmod(F.xxhash64("_path"), F.lit(BUCKETS)),
+    })
+    # at most BUCKETS numbers; a file that shares a torn file's bucket comes out the same
+    torn = pieces.where("_open").agg(F.collect_set("_bucket")).scalar()
+    is_torn = F.array_contains(torn, F.col("_bucket"))
+    good = pieces.where(~is_torn).select("file_id", "value")
+    return split_statements(good.unionByName(_rejoin(pieces.where(is_torn))), "value")
+
+
+def _rejoin(pieces: DataFrame) -> DataFrame:
+    """Pieces of torn files, joined from one with an open quote to the next such piece. Only
+    the counts of open quotes run through a file in order; texts are gathered per statement."""
+    in_order = W.partitionBy("_path").orderBy("_block", "_row")
+    flag = F.col("_open").cast("int")
+    marked = pieces.withColumn("_before", F.coalesce(
+        F.sum(flag).over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    # an odd number of open quotes before a piece: it goes on in the piece before it
+    starts = (F.col("_before") % 2 == 0).cast("int")
+    grouped = marked.withColumn("_part", F.sum(starts).over(in_order.rowsBetween(W.unboundedPreceding, 0)))
+    parts = F.sort_array(F.collect_list(F.struct("_block", "_row", "value")))
+    return grouped.groupBy("file_id", "_path", "_part").agg(
+        F.array_join(F.transform(parts, lambda p: p["value"]), ";\n").alias("value")
+    ).select("file_id", "value")
 
 
 def strip(c: Column) -> Column:
