@@ -228,6 +228,25 @@ def test_fingerprints_peel_at_every_size(spark):
     assert [r[0] for r in got] == [len(x ^ y) for x, y in sets]
 
 
+def test_fingerprints_of_digests_that_share_their_cells(spark, monkeypatch):
+    """Digests equal in all bits that the plain cells and sections look at, on one side or on
+    both; and the exact count where no size is tried at all."""
+    many = [(k * 0x9E3779B97F4A7C15 & (1 << 63) - 1) for k in range(300)]
+    cases = [([5, 5 + (1 << 60)], []), ([5], [5 + (1 << 60)]), ([5, 7], [7, 5 + (1 << 60), 5 + (1 << 61)]),
+             (many[:200] + [9, 9 + (1 << 62)], many[100:])]
+    bits = " + ".join(f"shiftleft(1L, cast({8 * r} + (shiftrightunsigned(k, {24 + 8 * r}) & 7) AS int))" for r in range(4))
+    df = spark.createDataFrame(cases, "x array<bigint>, y array<bigint>").coalesce(1).select(*[
+        F.expr(f"transform({s}, k -> struct(k AS k, xxhash64(k) AS h, {bits} AS c))").alias(t)
+        for s, t in (("x", "a"), ("y", "b"))])
+    cells = df.select("*", F.expr(fingerprint.sketch("a")).alias("p"), F.expr(fingerprint.sketch("b")).alias("q"))
+    want = [len(set(x) ^ set(y)) for x, y in cases]
+    assert [r[0] for r in cells.select(F.expr(fingerprint.difference("a", "b", "p", "q"))).collect()] == want
+    like = cells.select(F.expr(fingerprint.likeness("a", "b", "p", "q"))).collect()
+    assert [r[0] for r in like] == [len(set(x) & set(y)) / len(set(x) | set(y)) for x, y in cases]
+    monkeypatch.setattr(fingerprint, "LEVELS", 0)
+    assert [r[0] for r in cells.select(F.expr(fingerprint.difference("a", "b", "p", "q"))).collect()] == want
+
+
 def test_next_document_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "RANGE", 7)
     ids = random.Random(4).sample(range(-(10**15), 10**15), 300)

@@ -6,6 +6,8 @@ holds a count, the xor of its digests and the xor of their checks. Two sketches
 by cell: what both texts share vanishes, and cells with one digest left are peeled off until
 the differing digests are known. If peeling gets stuck, both texts are sketched larger: digests
 are dealt by their low bits into more and more sections of 32 cells, until all sections peel.
+From the second larger size on, each size also deals the cells anew. What no size peels is
+counted exactly, from the two sets of digests.
 
 Likeness of two texts: shared digests over all digests, from the two sizes and the peeled
 difference. The printed fingerprint is the smallest sketch.
@@ -33,7 +35,7 @@ ROWS, WIDTH = 4, 8
 CELLS = ROWS * WIDTH
 PER_SECTION = 8  # digests of both texts that a section of a larger sketch should hold
 PEELS = 12  # rounds of peeling in one sketch
-LEVELS = 12  # sizes tried; each has twice the sections of the one before
+LEVELS = 12  # sizes tried before the exact count; each has twice the sections of the one before
 RANGE = 400  # documents in a range of ids
 MAX_RANGES = 100_000  # bounds what the driver keeps; ranges grow beyond
 
@@ -41,16 +43,28 @@ PARAGRAPH = r"[^\\n]{1,128}+[^\\n.!?]*+[.!?]*+"
 CELL = "struct<n:int,x:bigint,h:bigint>"
 
 
+def cell_bits(k: str) -> str:
+    """SQL: the four cell numbers of a digest as a bit mask of 32."""
+    return " + ".join(
+        f"shiftleft(1L, cast({r * WIDTH} + (shiftrightunsigned({k}, {24 + 8 * r}) & {WIDTH - 1}) AS int))"
+        for r in range(ROWS)
+    )
+
+
 def digests(text: str) -> str:
     """SQL: distinct paragraph digests with their cells, as array<struct<k,h,c>>; c packs the
     four cell numbers as a bit mask of 32."""
-    bits = " + ".join(
-        f"shiftleft(1L, cast({r * WIDTH} + (shiftrightunsigned(k, {24 + 8 * r}) & {WIDTH - 1}) AS int))"
-        for r in range(ROWS)
-    )
     return (
         f"transform(array_distinct(transform(regexp_extract_all({text}, '{PARAGRAPH}', 0), p -> xxhash64(p))), "
-        f"k -> struct(k AS k, xxhash64(k) AS h, {bits} AS c))"
+        f"k -> struct(k AS k, xxhash64(k) AS h, {cell_bits('k')} AS c))"
+    )
+
+
+def anew(keys: str) -> str:
+    """SQL: digests with the cells that `level` deals them."""
+    return (
+        f"transform(transform({keys}, e -> struct(e.k AS k, e.h AS h, xxhash64(e.k, level) AS m)), "
+        f"e -> struct(e.k AS k, e.h AS h, {cell_bits('e.m')} AS c))"
     )
 
 
@@ -66,12 +80,10 @@ def minus(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (p, q) -> struct(p.n - q.n AS n, p.x ^ q.x AS x, p.h ^ q.h AS h))"
 
 
-def peel(cells: str) -> str:
-    """SQL: how many digests the difference of two sketches holds, null if it does not peel."""
-    bits = " + ".join(
-        f"shiftleft(1L, cast({r * WIDTH} + (shiftrightunsigned(c.x, {24 + 8 * r}) & {WIDTH - 1}) AS int))"
-        for r in range(ROWS)
-    )
+def peel(cells: str, dealt: str = "c.x") -> str:
+    """SQL: how many digests the difference of two sketches holds, null if it does not peel.
+    `dealt` is what the cells of the digest c.x were taken from."""
+    bits = cell_bits(dealt)
     # a cell with one digest: the check of its xor is its xor of checks
     pure = (
         "array_distinct(transform(filter(s.cells, c -> abs(c.n) = 1 AND xxhash64(c.x) = c.h), "
@@ -91,31 +103,44 @@ def peel(cells: str) -> str:
 
 def difference(a: str, b: str, cells_a: str, cells_b: str) -> str:
     """SQL: the number of digests in one of two texts only. First from the ready sketches,
-    then from larger and larger ones."""
+    then from larger and larger ones, and exactly if none of them peels."""
     small = peel(minus(cells_a, cells_b))
+    larger = _larger(a, b, a, b, "c.x")
+    again = _larger(a, b, anew(a), anew(b), "xxhash64(c.x, level)")
+    keys_a, keys_b = f"transform({a}, e -> e.k)", f"transform({b}, e -> e.k)"
+    exact = f"size(array_except({keys_a}, {keys_b})) + size(array_except({keys_b}, {keys_a}))"
+    return f"""aggregate(sequence(0, {LEVELS}), cast(null AS int),
+      (d, level) -> CASE WHEN d IS NOT NULL THEN d
+        WHEN level = 0 THEN {small} WHEN level = 1 THEN {larger} ELSE {again} END,
+      d -> coalesce(d, {exact}))"""
+
+
+def _larger(a: str, b: str, keys_a: str, keys_b: str, dealt: str) -> str:
+    """SQL: the difference of two texts from the sections of size `level`, null if one does
+    not peel. `keys_a` and `keys_b` are the digests of a and b with the cells of this size."""
     section_a = "filter(part.a, e -> (e.k & mask) = g)"
     section_b = "filter(part.b, e -> (e.k & mask) = g)"
-    one = peel(minus(sketch(section_a), sketch(section_b)))
+    one = peel(minus(sketch(section_a), sketch(section_b)), dealt)
     # digests are dealt in two steps, so that a long text is not filtered once per section
     coarse = "cast(sqrt(mask + 1) AS bigint)"
     low = f"(cast(pow(2, floor(log2({coarse}))) AS bigint) - 1L)"
     part_keys = "filter({side}, e -> (e.k & low) = v)"
     parts = (
-        f"transform(sequence(0L, low), v -> struct(v AS v, {part_keys.format(side=a)} AS a, "
-        f"{part_keys.format(side=b)} AS b))"
+        f"transform(sequence(0L, low), v -> struct(v AS v, {part_keys.format(side='side.a')} AS a, "
+        f"{part_keys.format(side='side.b')} AS b))"
     )
     per_part = (
         "aggregate(transform(sequence(part.v, mask, low + 1L), g -> " + one + "), 0, (t, d) -> t + d)"
     )
+    # the digests are bound once, not for each part
+    sides = f"array(struct({keys_a} AS a, {keys_b} AS b))"
+    each = f"element_at(transform({sides}, side -> {parts}), 1)"
     whole = (
-        f"element_at(transform(array({low}), low -> aggregate(transform({parts}, part -> {per_part}), 0, (t, d) -> t + d)), 1)"
+        f"element_at(transform(array({low}), low -> aggregate(transform({each}, part -> {per_part}), 0, (t, d) -> t + d)), 1)"
     )
     first = f"greatest(0, cast(ceil(log2((size({a}) + size({b})) / {PER_SECTION}.0)) AS int))"
     mask = f"(shiftleft(1L, cast({first} + level AS int)) - 1L)"
-    larger = f"element_at(transform(array({mask}), mask -> {whole}), 1)"
-    return f"""aggregate(sequence(0, {LEVELS}), cast(null AS int),
-      (d, level) -> CASE WHEN d IS NOT NULL THEN d
-        WHEN level = 0 THEN {small} ELSE {larger} END)"""
+    return f"element_at(transform(array({mask}), mask -> {whole}), 1)"
 
 
 def likeness(a: str, b: str, cells_a: str, cells_b: str) -> str:
