@@ -180,6 +180,29 @@ def test_ownership_separates_examples_from_live_secrets(spark):
     assert text[11] == "again [secret]" and copied in text[0] and text[10].endswith("[secret]")
 
 
+def test_long_secrets_are_judged_whole(spark):
+    rng = random.Random(8)
+    key = "".join(rng.choices("abcdefABCDEF0123456789", k=390))
+    late, early = "A" * 256 + key, key[:256] + "A" * 9000
+    user, password = "u" * 70 + "Ü", "".join(rng.choices("abcdefgh\u4e2d\U0001f642", k=3000))
+    url = f"https://{user}:{password}@"
+    weak = "ab://" + "u" * 90 + ":" + "p" * 2000 + "@"
+    rows = [(1, f"key {late} end"), (2, f"key {early} end"), (3, f"see {url}host"), (4, f"see {weak}host")]
+    docs = spark.createDataFrame([(i, f"o{i}", t) for i, t in rows], "doc_id bigint, source string, text string")
+    got = {r.doc_id: [(s.name, s.start, s.end, s.verdict) for s in r.reported] for r in secret_scan.scan(docs).collect()}
+    assert got[1] == [("mixed", 4, 4 + len(late), "live")] and got[2] == []
+    assert got[3] == [("url", 4, 4 + len(url), "live")] and got[4] == []
+    text = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert text == {1: "key [secret] end", 2: rows[1][1], 3: "see [secret]host", 4: rows[3][1]}
+
+
+@pytest.mark.parametrize("value", ["a", "abcdefgh" * 3, "Zx9Cv8Bn7", "é\U0001f642é", "x" * 5000 + "yz" * 700, "中" * 1024 + "a"])
+def test_entropy_of_whole_values(spark, value):
+    got = spark.createDataFrame([(value,)], "x string").select(F.expr(secret_scan.entropy("x"))).first()[0]
+    shares = [value.count(c) / len(value) for c in set(value)]
+    assert got == pytest.approx(-sum(p * np.log2(p) for p in shares))
+
+
 def test_licence_notices_beyond_the_base(spark):
     notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
     rows = [(1, notice), (2, "GNU General Public License, version 3."), (3, "permission is granted"),

@@ -4,7 +4,8 @@ Patterns propose candidates: three base kinds, which are always reported, and ki
 method, which are reported only if they look live and few own them. Ownership is counted over
 the whole corpus: candidate values travel as hashes, are reduced to distinct (hash, owner,
 repository) before any count, and a value in the hands of at least `min_owners` owners and
-`min_repositories` repositories is a widely copied example.
+`min_repositories` repositories is a widely copied example. Whether a value looks live is
+judged on the whole of it, however long.
 
 All of it is built-in expressions: no Python runs on the executors. A text is cut by a
 pattern into gaps and matches; offsets are sums of their lengths in code points.
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import locate
+from ..functions.spans import blocks, locate
 from ..functions.text import literal
 from .common import stage, take_columns
 
@@ -36,7 +37,7 @@ BASE = (
 ADDED = (
     ("vendor", r"(?:gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_live_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35})", "true"),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", "true"),
-    ("url", r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:[^\s:/@]{6,128}@", "true"),
+    ("url", r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]++:[^\s:/@]{6,}+@", "true"),
     ("mixed", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}+",
      "s.value rlike '[0-9]' AND s.value rlike '[a-z]' AND s.value rlike '[A-Z]'"),
 )
@@ -69,12 +70,14 @@ def _found(kind: int, pattern: str, keep: str) -> str:
 
 
 def entropy(value: str) -> str:
-    """Bits per character of a short string, as SQL."""
-    chars = f"split({value}, '')"
-    share = f"(size(filter(v, x -> x = c)) / size(v))"
+    """Bits per character of a string, as SQL. `value` is bound to a name. Characters are told
+    apart block by block and each is counted over the whole string, so that a long one is not
+    held as an array of its characters."""
+    chars = f"array_distinct(flatten(transform({blocks(value)}, b -> array_distinct(split(b, '')))))"
+    count = f"(length({value}) - length(replace({value}, c, '')))"
     return (
-        f"aggregate(transform(array({chars}), v -> aggregate(array_distinct(v), cast(0 AS double), "
-        f"(e, c) -> e - {share} * log2({share}))), cast(0 AS double), (a, b) -> a + b)"
+        f"aggregate(transform({chars}, c -> {count} / length({value})), cast(0 AS double), "
+        f"(e, share) -> e - share * log2(share))"
     )
 
 
@@ -85,7 +88,7 @@ def _spans(rows: DataFrame, keep: list[str]) -> DataFrame:
     rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.select(*keep, F.array_sort(F.concat(*kinds)).alias("found"))
     secret = f"CASE WHEN s.kind = 0 THEN regexp_extract(s.value, {literal(ASSIGN)}, 2) ELSE s.value END"
-    live = f"({entropy('left(x, 256)')} >= {MIN_ENTROPY} AND NOT x RLIKE '{PLACEHOLDER}')"
+    live = f"({entropy('x')} >= {MIN_ENTROPY} AND NOT x RLIKE '{PLACEHOLDER}')"
     spans = F.expr(
         "transform(found, s -> element_at(transform(array(" + secret + "), x -> struct("
         f"s.start AS start, s.kind AS kind, s.`end` AS `end`, sha2(x, 256) AS hash, {live} AS live)), 1))")
