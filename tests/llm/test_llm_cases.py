@@ -100,6 +100,33 @@ def test_near_duplicates_of_odd_rows(odd):
     assert ids == [1, 3, 4, 5, 6, 8, 10, 11]
 
 
+def test_one_of_each_where_ids_repeat_or_lack(spark):
+    def near(text, k):
+        return text.rsplit(" ", 1)[0] + f" end{k}."
+
+    a, b, c, d, e = (words(50 + k, 80) for k in range(5))
+    rows = [
+        (3, a), (7, near(a, 1)), (7, b),  # one text of id 7 is a copy of id 3, the other of nothing
+        (2, c), (2, d), (5, near(d, 1)), (2, d),  # the second text of id 2 has a copy
+        (None, e), (None, near(e, 1)), (None, e), (None, near(e, 2)),  # copies without ids
+        (None, near(b, 1)), (None, a), (None, words(70, 80)),
+        (None, ""), (None, None), (4, " "), (4, None), (4, words(71, 80)),
+        (9, words(72, 80)), (9, near(words(72, 80), 1)),  # copies under one id
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = [tuple(r) for r in dedup.keep_one_of_each(docs).collect()]
+    sure = [(3, a), (7, b), (2, c), (2, d), (None, words(70, 80)), (None, ""), (None, None), (4, words(71, 80))]
+    rest = list(kept)
+    for row in sure:
+        rest.remove(row)
+    assert len(rest) == 3
+    assert sum(r in [(None, e), (None, near(e, 1)), (None, near(e, 2))] for r in rest) == 1
+    assert sum(r in [(9, words(72, 80)), (9, near(words(72, 80), 1))] for r in rest) == 1
+    assert sum(r in [(4, " "), (4, None)] for r in rest) == 1
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in dedup.near_duplicates(docs).collect() if r.doc_id in (2, 3, 5, 7))
+    assert got == [(2, 2, True)] * 3 + [(3, 3, True), (5, 2, False), (7, 3, False), (7, 7, True)]
+
+
 def test_links_between_members_that_the_first_one_lacks(spark):
     """A chain of variants: neighbours are alike, the ends and the smallest id are not."""
     base = words(3, 400).split()

@@ -6,8 +6,9 @@ content, and coordinate k reads it shifted by k places. All coordinates of a shi
 one slice of the table, and a signature is the minimum over such slices.
 
 Steps, all as joins and groupings:
-1. one row per distinct set, with its bands and a one-byte sketch of its signature;
-2. star round: in each band bucket every set is a candidate only of the bucket's smallest id,
+1. one row per distinct set, numbered, with its bands and a one-byte sketch of its signature;
+   links and components are among these numbers, not among ids, which several sets may share;
+2. star round: in each band bucket every set is a candidate only of the bucket's smallest number,
    so a bucket of a million copies gives a million candidates, not all pairs;
 3. candidates are confirmed on the full sets, and confirmed links give components;
 4. rest round: buckets that still hold several components are compared across components in
@@ -16,8 +17,10 @@ Steps, all as joins and groupings:
 
 Cases. Null or empty text, or no word: empty set, linked with nothing. Fewer than five words:
 the whole sequence is one shingle. Rows that repeat an id count as one document per distinct
-set. A null id is linked with nothing and kept. Empty table: empty result. Bands find a pair of similarity s with
-1-(1-s^4)^32: all but 5 in a million at 0.75, more above.
+set. Rows without an id are linked like others and the last choice of their group; as there is
+no id to name, `near_duplicates` reports them without a component and as kept, and
+`keep_one_of_each` drops them by their text. Empty table: empty result. Bands find a pair of
+similarity s with 1-(1-s^4)^32: all but 5 in a million at 0.75, more above.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, map_batches, stage, take_columns, texts
+from .common import WORD, column, map_arrow, map_batches, stage, take_columns, texts
 
 SHINGLE = 5
 PERCENT = 75  # of the union that two sets must share
@@ -112,23 +115,45 @@ def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
             sketches.append(None)
             bands.append(None)
     return pa.record_batch(
-        [column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-         pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-        ["doc_id", "n_shingles", "digest", "sketch", "bands"],
+        [column(batch, "doc_id"), column(batch, "text_key"), pa.array(sizes, pa.int64()),
+         pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()),
+         pa.array(bands, pa.list_(pa.int64()))],
+        ["doc_id", "text_key", "n_shingles", "digest", "sketch", "bands"],
     )
 
 
+def text_key(text: Column) -> Column:
+    """With the id, this finds a row again."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, text_key."""
+    rows = take_columns(docs, doc_id=id_col, text=text_col)
+    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key"))
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, sketch and band keys (null for empty sets)."""
-    rows = take_columns(docs, doc_id=id_col, text=text_col).withColumn(
-        "doc_id", F.col("doc_id").cast("bigint"))
+    """doc_id, text_key, n_shingles, digest of the set, sketch and band keys (null for empty sets)."""
     return map_batches(
-        rows, _sets,
-        "doc_id bigint, n_shingles bigint, digest binary, sketch binary, bands array<bigint>")
+        keyed_rows(docs, id_col, text_col), _sets,
+        "doc_id bigint, text_key binary, n_shingles bigint, digest binary, sketch binary, bands array<bigint>")
+
+
+def _with_texts(wanted: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
+    """`wanted` (by `rep`) with the text of a row that has the set."""
+    places = reps.select("rep", "doc_id", "text_key")
+    wanted = wanted.join(places, "rep")
+    found = rows.join(wanted, ["doc_id", "text_key"])
+    if not places.where("doc_id IS NULL").isEmpty():
+        # any number of rows without an id may have one text
+        once = rows.where("doc_id IS NULL").dropDuplicates(["text_key"]).drop("doc_id")
+        found = found.unionByName(once.join(wanted.where("doc_id IS NULL"), "text_key"))
+    return found.drop("doc_id", "text_key")
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """(hub, rep): in each bucket every set with the bucket's smallest id."""
+    """(hub, rep): in each bucket every set with the bucket's smallest number."""
     hubs = members.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("_last"))
     hubs = hubs.where("hub < _last").select("band", "hub")
     pairs = members.join(hubs, "band").where("hub < rep")
@@ -249,25 +274,25 @@ def _rest(reps: DataFrame, components: DataFrame, rows: DataFrame) -> DataFrame:
     cells = cells.join(reps.select("rep", "digest", "sketch", "bands"), "rep")
     cells = cells.repartition("band", "cell").sortWithinPartitions("band", "cell")
     wanted = stage(map_arrow(cells, _wanted, cells.schema), "wanted")
-    full = rows.join(wanted, F.col("doc_id") == F.col("rep")).drop("doc_id")
+    full = _with_texts(wanted, reps, rows)
     full = full.repartition("band", "cell").sortWithinPartitions("band", "cell")
     return map_arrow(full, _linked, "hub bigint, rep bigint").distinct()
 
 
 def _confirm_run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (hub, salt, doc_id, part): the hub's own text comes first in its run."""
+    """Rows sorted by (hub, salt, rep): the hub's own text comes first in its run."""
     hub_key, hub_items = None, None
     for batch in rows:
         found_a, found_b = [], []
         for hub, salt, rep, digest, text in zip(
             column(batch, "hub").to_pylist(), column(batch, "salt").to_pylist(),
-            column(batch, "doc_id").to_pylist(), column(batch, "digest").to_pylist(), texts(batch),
+            column(batch, "rep").to_pylist(), column(batch, "digest").to_pylist(), texts(batch),
         ):
             if rep == hub and hub_key == (hub, salt) and hub_items is not None:
-                continue  # the id occurs on several rows
+                continue  # the id occurs on several rows with this text
             items = shingles(text)
             if not len(items) or _digest(items) != digest:
-                continue  # another text under the same id
+                continue  # another text with the same key
             if rep == hub:
                 hub_key, hub_items = (hub, salt), items
             elif hub_key == (hub, salt):
@@ -294,28 +319,27 @@ def _confirm(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
     """
     salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SALT).alias("_salts"))
     member = pairs.join(salts, "hub").select(
-        F.col("rep").alias("doc_id"), "hub", F.pmod(F.xxhash64("rep"), F.col("_salts")).alias("salt"))
+        "rep", "hub", F.pmod(F.xxhash64("rep"), F.col("_salts")).alias("salt"))
     hub = salts.select(
-        F.col("hub").alias("doc_id"), "hub", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("salt"))
-    wanted = member.union(hub).join(reps.select(F.col("rep").alias("doc_id"), "digest"), "doc_id")
-    found = rows.join(wanted, "doc_id").select("hub", "salt", "doc_id", "digest", "text")
-    found = found.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "doc_id")
+        F.col("hub").alias("rep"), "hub", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("salt"))
+    wanted = member.union(hub).join(reps.select("rep", "digest"), "rep")
+    found = _with_texts(wanted, reps, rows).select("hub", "salt", "rep", "digest", "text")
+    found = found.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "rep")
     return map_arrow(found, _confirm_run, "hub bigint, rep bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of `docs`.
-
-    component_id is the smallest id that links reach, kept says whether the row is that
-    document. See the module's text for the method and for odd input.
-    """
-    rows = take_columns(docs, doc_id=id_col, text=text_col).withColumn(
-        "doc_id", F.col("doc_id").cast("bigint"))
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_key, n_shingles and digest of every row, with the id and the digest of the
+    document that its group keeps: the smallest id, then the smallest digest (both null for
+    empty sets; the id is null where the whole group has none)."""
+    rows = keyed_rows(docs, id_col, text_col)
     sets = stage(shingle_sets(docs, id_col, text_col), "sets")
-    some = sets.where("digest IS NOT NULL AND doc_id IS NOT NULL")
+    some = sets.where("digest IS NOT NULL")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("_at")
+    some = some.groupBy("digest").agg(first, F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     reps = stage(
-        some.groupBy("digest").agg(
-            F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")),
+        some.select(
+            F.monotonically_increasing_id().alias("rep"), "_at.doc_id", "_at.text_key", "digest", "sketch", "bands"),
         "reps")
     sketches = reps.select("rep", "sketch")
     members = reps.select("rep", F.explode("bands").alias("band"))
@@ -330,29 +354,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         components = components_of(links.union(more), "components")
 
-    placed = reps.select("digest", "rep").join(components, "rep", "left")
-    placed = placed.select("digest", F.coalesce("component", "rep").alias("_component"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
-    return (
-        sets.select("doc_id", "n_shingles", "digest").join(placed, "digest", "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
-        .withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    )
+    # the smallest number of a component is not among its `rep`
+    roots = components.select(F.col("component").alias("rep"), "component").distinct()
+    components = components.select("rep", "component").union(roots)
+    linked = components.join(reps.select("rep", "doc_id", "digest"), "rep")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("_keeper")
+    keepers = linked.groupBy("component").agg(least)
+    keepers = components.join(keepers, "component").select("rep", "_keeper")
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    placed = reps.select("rep", "doc_id", "digest").join(keepers, "rep", "left")
+    placed = placed.select("digest", F.coalesce("_keeper", own).alias("_keeper"))
+    return sets.select("doc_id", "text_key", "n_shingles", "digest").join(placed, "digest", "left").select(
+        "doc_id", "text_key", "n_shingles", "digest",
+        F.col("_keeper.doc_id").alias("keeper_id"), F.col("_keeper.digest").alias("keeper_digest"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of `docs`.
+
+    component_id is the smallest id that links reach, kept says whether the row is that
+    document. See the module's text for the method and for odd input.
+    """
+    kept = F.col("doc_id").isNull() | F.col("digest").isNull() | (
+        (F.col("doc_id") == F.col("keeper_id")) & (F.col("digest") == F.col("keeper_digest")))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("keeper_id", "doc_id"))
+    return _judged(docs, id_col, text_col).select(
+        "doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each group of near-duplicates, all columns as they are."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept AND doc_id IS NOT NULL")
-    kept = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    same = F.col(f"`{id_col}`").cast("bigint")
-    named = docs.where(same.isNotNull()).join(kept, same == F.col("_kept_id"), "left_semi")
-    # an id on several rows keeps one of them; rows of an id already are in one partition
-    named = named.dropDuplicates([id_col])
-    return named.union(docs.where(same.isNull()))
+    """`docs` with one row of each group of near-duplicates, all columns as they are. Of the
+    texts of an id that have no word one stays; without an id all of them."""
+    kept = _judged(docs, id_col, text_col).where(
+        "digest IS NULL OR (doc_id <=> keeper_id AND digest = keeper_digest)")
+    kept = kept.groupBy("doc_id", "digest").agg(F.min("text_key").alias("_near_key"))
+    kept = stage(kept.select(F.col("doc_id").alias("_near_id"), "_near_key", "digest"), "kept")
+    text = F.col(f"`{text_col}`")
+    keyed = docs.withColumns({"_near_id": F.col(f"`{id_col}`").cast("bigint"), "_near_key": text_key(text)})
+    named = keyed.where("_near_id IS NOT NULL").join(
+        kept.select("_near_id", "_near_key"), ["_near_id", "_near_key"], "left_semi")
+    # equal rows of an id already are in one partition
+    named = named.dropDuplicates(["_near_id", "_near_key"])
+    unnamed, worded = keyed.where("_near_id IS NULL"), F.coalesce(text, F.lit("")).rlike(WORD)
+    once = unnamed.where(worded).dropDuplicates(["_near_key"]).join(
+        kept.where("_near_id IS NULL AND digest IS NOT NULL").select("_near_key"), "_near_key", "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return named.select(columns).union(once.select(columns)).union(unnamed.where(~worded).select(columns))
 
 
 def components_of(links: DataFrame, name: str) -> DataFrame:
-    """rep, component: the smallest id reachable, for every id in `links` (hub, rep).
+    """rep, component: the smallest number reachable, for every other number in `links` (hub, rep).
 
     Alternating large-star and small-star steps; each halves path lengths, and each written
     table holds at most the number of links.
