@@ -102,7 +102,7 @@ _detect_check("o62_detect_notes_strict", NOTES, True)
 _detect_check("o62_detect_notes", NOTES, False)
 _detect_check("o62_detect_rows", ROWS, False)
 _detect_check("o62_detect_rows_strict", ROWS, True)
-_detect_check("o62_detect_documents", DOCS, False, ner=False)
+_detect_check("o62_detect_documents", DOCS, False)
 
 
 # Column-aware form: every cell with its column name as label.

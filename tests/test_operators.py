@@ -195,3 +195,13 @@ def test_registry(spark):
     assert not missing, missing
     df = entry.entry(spark)
     assert "risk_score" in df.columns and df.count() > 0
+
+
+def test_documents_are_checked_with_the_recogniser(spark, sf_dir, monkeypatch):
+    import checks.resolve
+
+    rows = [(1, 1, "yesterday the customer Ravi Kumar, a resident, moved from his address to Mumbai")]
+    monkeypatch.setattr(checks.resolve, "units", lambda *_: spark.createDataFrame(
+        rows, "unit_id bigint, file_id bigint, text string"))
+    found = checks.QUERIES["o62_detect_documents"](spark, sf_dir).collect()
+    assert "Ravi Kumar" in {r.value for r in found if r.pii_type == "PERSON_NAME"}
