@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     bpe, dedup, fingerprint, license_scan, mixture, quality_model, quality_rules, secret_scan,
-    token_count, toxicity,
+    spelling, token_count, toxicity,
 )
 from .common import fold
 from .oracle import ORACLES
@@ -92,9 +92,13 @@ def op10_lookup_sketch(spark, sf_dir):
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_trie_frontier(spark, sf_dir):
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_circulant_minhash, op2_license_scan, op3_temperature_mixing, op4_bpe_round_trip,
         op5_secret_ownership, op6_greedy_token_count, op7_line_rules, op8_quality_machine,
-        op9_subword_toxicity, op10_lookup_sketch)
+        op9_subword_toxicity, op10_lookup_sketch, op11_trie_frontier)
 }
