@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, dedup, fingerprint, license_scan, mixture, quality_model, quality_rules, secret_scan,
-    spelling, token_count, toxicity,
+    bpe, dedup, fingerprint, license_scan, mixture, negatives, quality_model, quality_rules,
+    secret_scan, spelling, token_count, topk, toxicity,
 )
 from .common import fold
 from .oracle import ORACLES
@@ -96,9 +96,20 @@ def op11_trie_frontier(spark, sf_dir):
     return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
 
 
+def op12_cover_tree_top_k(spark, sf_dir):
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_window_negatives(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", moved))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_circulant_minhash, op2_license_scan, op3_temperature_mixing, op4_bpe_round_trip,
         op5_secret_ownership, op6_greedy_token_count, op7_line_rules, op8_quality_machine,
-        op9_subword_toxicity, op10_lookup_sketch, op11_trie_frontier)
+        op9_subword_toxicity, op10_lookup_sketch, op11_trie_frontier,
+        op12_cover_tree_top_k, op13_window_negatives)
 }
