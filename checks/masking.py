@@ -186,20 +186,23 @@ def o100(spark, sf_dir):
     return mask.detokenise(masked, revealed, KEYS).select("unit_id", "file_id", "restored")
 
 
-def _run(spark, sf_dir, source, scope="spans"):
+def _run(spark, sf_dir, source, **options):
+    """A run of the few small files of the checks, dealt out over all cores."""
     if not spark.conf.get(KEY_CONF, None):
         spark.conf.set(KEY_CONF, KEY)
-    return batch.run(derive(spark, sf_dir, source), scratch_dir(spark, "check-run"), "run-1", scope=scope)
+    options.setdefault("partitions", spark.sparkContext.defaultParallelism)
+    return batch.run(derive(spark, sf_dir, source), scratch_dir(spark, "check-run"), "run-1", **options)
 
 
 @check("batch_run_masked", ctes(**VAULT) + f"SELECT unit_id, file_id, masked FROM ({_SPLICED})")
 def batch_masked(spark, sf_dir):
-    return _run(spark, sf_dir, UNITS).masked.select("unit_id", F.col("file_id").cast("bigint"), "masked")
+    out = _run(spark, sf_dir, UNITS, scope="spans").masked
+    return out.select("unit_id", F.col("file_id").cast("bigint"), "masked")
 
 
 @check("batch_run_masked_file_scope", ctes(**VAULT) + f"SELECT unit_id, file_id, masked FROM ({_BY_FILE})")
 def batch_masked_file(spark, sf_dir):
-    out = _run(spark, sf_dir, UNITS, "file").masked
+    out = _run(spark, sf_dir, UNITS).masked
     return out.select("unit_id", F.col("file_id").cast("bigint"), "masked")
 
 
@@ -262,9 +265,42 @@ def o100_file(spark, sf_dir):
 _ALL = f"SELECT src AS file_id, concat(src, '-', CAST(unit_id AS STRING)) AS unit_id, text FROM ({CORPUS}) c"
 
 
-@check("batch_run_corpus_leaks", ctes(t=_ALL) + "SELECT file_id, count(*) AS texts FROM t GROUP BY file_id")
+@check("batch_run_corpus_leaks", ctes(t=_ALL) + """
+SELECT file_id, count(*) AS texts, CAST(0 AS BIGINT) AS leaks FROM t GROUP BY file_id""")
 def batch_corpus(spark, sf_dir):
-    """Masked texts per source; every unit comes back exactly once."""
-    result = _run(spark, sf_dir, _ALL)
-    return result.masked.groupBy("file_id").agg(F.count("*").alias("texts"))
-
+    """Texts per source after a run as it is by default, and how many values of the source's vault
+    they still hold; every unit comes back exactly once."""
+    return _leaks_by_file(_run(spark, sf_dir, _ALL))
+
+
+def _leaks_by_file(result):
+    masked = result.masked
+    found = mask.leaks(masked, result.tokens, KEYS).groupBy("file_id").agg(F.count("*").alias("_leaks"))
+    texts = masked.groupBy("file_id").agg(F.count("*").alias("texts"))
+    return texts.join(found, "file_id", "left").select(
+        "file_id", "texts", F.coalesce("_leaks", F.lit(0)).cast("bigint").alias("leaks"))
+
+
+@check("o99_default_run_leaks", ctes(**VAULT) + """
+SELECT file_id, texts, CAST(0 AS BIGINT) AS leaks, n_values, plain FROM (SELECT file_id, count(*) AS texts FROM t GROUP BY file_id)
+JOIN (SELECT file_id, count(*) AS n_values FROM vault GROUP BY file_id) USING (file_id)
+JOIN (SELECT file_id, count(*) AS plain FROM t JOIN vault USING (file_id) WHERE contains(text, value) GROUP BY file_id) USING (file_id)""")
+def o99_default(spark, sf_dir):
+    """Per file of a run as it is by default: texts, values in the vault, places (text, value) where
+    they stood, and how many of them are left."""
+    result = _run(spark, sf_dir, UNITS)
+    stood = mask.leaks(derive(spark, sf_dir, UNITS), result.tokens, KEYS, text="text")
+    plain = stood.groupBy("file_id").agg(F.count("*").alias("plain"))
+    values = result.tokens.groupBy("file_id").agg(F.count("*").alias("n_values"))
+    left = _leaks_by_file(result).withColumn("file_id", F.col("file_id").cast("bigint"))
+    return left.join(values, "file_id").join(plain, "file_id")
+
+
+@check("o99_leaks_of_span_run", ctes(**VAULT) + f"""
+SELECT unit_id, file_id, value FROM ({_SPLICED}) m JOIN vault USING (file_id)
+WHERE contains(regexp_replace(masked, '{mask.TOKEN_PATTERN}', chr(1), 'g'), value)""")
+def o99_spans(spark, sf_dir):
+    """What scope "spans" leaves: values at places where the context did not support them."""
+    result = _run(spark, sf_dir, UNITS, scope="spans")
+    masked = result.masked.withColumn("file_id", F.col("file_id").cast("bigint"))
+    return mask.leaks(masked, result.tokens, KEYS).select("unit_id", "file_id", "value")

@@ -63,12 +63,14 @@ def test_null_and_repeated_ids_keep_their_rows(spark, tmp_path):
         ("f", 1, "mobile: 9876543210"), ("f", 1, "call mobile: 9123456780 now"), ("f", 1, "mobile: 9876543210"),
         (None, 2, "mobile: 9876543210"), ("f", None, "mobile: 9876543210"), ("f", 3, "nothing")]
     df = spark.createDataFrame(rows, "file_id string, unit_id int, text string")
-    masked = batch.run(df, str(tmp_path / "out"), "r", DetectConfig(recogniser="none")).masked.collect()
-    texts = sorted(r.masked for r in masked)
-    assert len(masked) == len(rows) and not any("9876543210" in t or "9123456780" in t for t in texts)
-    assert texts.count("mobile: [PHONE_NUMBER]") == 2 and "nothing" in texts
-    long = [t for t in texts if t.startswith("call")]
-    assert len(long) == 1 and long[0].startswith("call mobile: PHONE") and long[0].endswith(" now")
+    for scope in ("file", "spans"):
+        cfg = DetectConfig(recogniser="none")
+        masked = batch.run(df, str(tmp_path / scope), "r", cfg, scope=scope).masked.collect()
+        texts = sorted(r.masked for r in masked)
+        assert len(masked) == len(rows) and not any("9876543210" in t or "9123456780" in t for t in texts)
+        assert texts.count("mobile: [PHONE_NUMBER]") == 2 and "nothing" in texts
+        long = [t for t in texts if t.startswith("call")]
+        assert len(long) == 1 and long[0].startswith("call mobile: PHONE") and long[0].endswith(" now")
 
 
 def test_digests_show_repeated_rows_and_moved_times(spark):

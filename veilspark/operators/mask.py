@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
 from ..functions.spans import blocks, slice_text
-from .skew import lookup_join, salted_join
+from .skew import counted_join, lookup_join, salted_join
 from .vault import LETTERS, TOKEN_DIGITS
+from .winnow import find_values
 
 MAPPING = "array<struct<value:string,token:string>>"
 
@@ -124,80 +127,30 @@ def mask_texts(
     `tokens` comes from `unit_tokens`, best written to a table first. Units that exist in very
     many copies under one id are no hot key (see `lookup_join`).
     """
-    named = F.lit(True)
-    for k in keys:
-        named = named & F.col(k).isNotNull()
+    named = has_keys(keys)
     clean = units.where(F.size("detections") == 0).withColumn(out, F.col(text))
     found = units.where(F.size("detections") > 0)
     dirty = lookup_join(found.where(named), tokens, keys, "n_rows", ["spans"])
-    # no vault entry can be found by a null id: the value gives way to its type
-    by_type = F.transform("detections", lambda d: F.struct(
-        d["start"].alias("start"), d["end"].alias("end"),
-        F.concat(F.lit("["), d["pii_type"], F.lit("]")).alias("token"), d["value"].alias("value")))
-    nameless = found.where(~named).withColumn("spans", by_type)
-    ordered = dirty.unionByName(nameless).withColumn("spans", F.sort_array("spans"))
+    nameless = spliced_by_type(found.where(~named), text, out)
+    ordered = dirty.withColumn("spans", F.sort_array("spans"))
     spliced = ordered.withColumn(out, F.expr(splice(text, "spans"))).drop("spans")
-    return clean.unionByName(spliced)
-
+    return clean.unionByName(spliced).unionByName(nameless)
 
-# -- dictionary form over whole files -------------------------------------------
-
-ANCHOR_CHARS = 8
 
+def has_keys(keys: list[str]) -> Column:
+    return functools.reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
 
-def find_values(
-    texts: DataFrame, values: DataFrame, keys: list[str], file: str = "file_id",
-    text: str = "text",
-) -> DataFrame:
-    """(file, keys, value) for every value of the file that occurs anywhere in the text.
 
-    Exact, and free of cross products however many values share a beginning:
-
-    1. the anchor of a value is its first eight characters (or all of them); each text
-       yields its distinct substrings of anchor length, one regular-expression pass per
-       length, and an equi-join with the distinct anchors keeps the few that matter;
-    2. where an anchor occurs, the text is cut to the lengths of the values behind that
-       anchor, and an equi-join with the values decides.
+def spliced_by_type(units: DataFrame, text: str, out: str) -> DataFrame:
+    """No vault entry can be found by a null id: the value gives way to its type."""
+    by_type = F.sort_array(F.transform("detections", lambda d: F.struct(
+        d["start"].alias("start"), d["end"].alias("end"),
+        F.concat(F.lit("["), d["pii_type"], F.lit("]")).alias("token"), d["value"].alias("value"))))
+    return units.withColumn("_spans", by_type).withColumn(
+        out, F.expr(splice(text, "_spans"))).drop("_spans")
 
-    `keys` identify a text. Spark's runtime Bloom filter can prune step 1 before its shuffle.
-    """
-    all_keys = list(dict.fromkeys([file, *keys]))
-    anchored = values.select(F.col(file), "value").where(F.length("value") > 0).select(
-        file, F.substring("value", 1, ANCHOR_CHARS).alias("_anchor"),
-        F.length("value").alias("_len"),
-    )
-    anchors = anchored.groupBy(file, "_anchor").agg(F.collect_set("_len").alias("_lens"))
-    sizes = sorted(
-        r[0] for r in anchors.select(F.length("_anchor")).distinct().collect()  # at most 8
-    )
-    windows = [
-        F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes
-    ] or [F.array().cast("array<string>")]
-    grams = texts.select(
-        *all_keys, F.explode(F.array_distinct(F.concat(*windows))).alias("_anchor")
-    )
-    hits = salted_join(grams, anchors, [file, "_anchor"], keys).select(
-        *all_keys, "_anchor", F.explode("_lens").alias("_len")
-    )
-    whole = hits.where(F.col("_len") == F.length("_anchor"))
-    longer = hits.where(F.col("_len") > F.length("_anchor")).join(
-        texts.select(*all_keys, text), all_keys
-    )
-    cut = F.concat(
-        F.lit("(?s)(?=("), quoted(F.col("_anchor")), F.lit(".{"),
-        (F.col("_len") - F.length("_anchor")).cast("string"), F.lit("}))"),
-    )
-    pieces = longer.select(
-        *all_keys, F.explode(F.array_distinct(F.regexp_extract_all(text, cut, F.lit(1))))
-        .alias("value"),
-    )
-    known = values.select(file, "value").distinct()
-    confirmed = salted_join(pieces, known, [file, "value"], keys)
-    return (
-        whole.select(*all_keys, F.col("_anchor").alias("value"))
-        .unionByName(confirmed.select(*all_keys, "value"))
-    )
 
+# -- dictionary form over whole files -------------------------------------------
 
 def mask_by_file(
     texts: DataFrame, vault: DataFrame, keys: list[str], file: str = "file_id",
@@ -206,27 +159,32 @@ def mask_by_file(
     """Replace every occurrence of every value of the file in each of its texts.
 
     Each text receives only the values it contains, so no file-wide dictionary is ever
-    collected. Values are looked for in the original text only.
+    collected. Values are looked for in the original text only. `vault` has one row per file and
+    value and is best a written table. Where a key is null no vault entry can be found: there the
+    `detections`, if the table has them, are replaced by their type in brackets.
     """
-    present = find_values(texts, vault, keys, file, text)
-    hits = salted_join(present, vault.select(file, "value", "token"), [file, "value"], keys)
-    per_text = hits.groupBy(*keys).agg(
-        F.collect_list(F.struct("value", "token")).alias("_mapping")
-    )
-    return (
-        texts.join(per_text, keys, "left")
-        .withColumn(out, F.when(F.col("_mapping").isNull(), F.col(text)).otherwise(
-            replace_all(F.col(text), F.col("_mapping"))))
-        .drop("_mapping")
-    )
+    all_keys = list(dict.fromkeys([file, *keys]))
+    named = has_keys(all_keys)
+    kept = texts.where(named)
+    hits = find_values(kept, vault, keys, file, text, ["token"])
+    per_text = hits.groupBy(*all_keys).agg(F.collect_set(F.struct("value", "token")).alias("_mapping"))
+    found = counted_join(kept, per_text, all_keys, ["_mapping"], "left")
+    masked = found.withColumn(out, F.when(F.col("_mapping").isNull(), F.col(text)).otherwise(
+        replace_all(F.col(text), F.col("_mapping")))).drop("_mapping")
+    nameless = texts.where(~named)
+    by_type = spliced_by_type(nameless, text, out) if "detections" in texts.columns else (
+        nameless.withColumn(out, F.col(text)))
+    return masked.unionByName(by_type)
 
 
 def leaks(
     masked: DataFrame, values: DataFrame, keys: list[str], file: str = "file_id",
     text: str = "masked",
 ) -> DataFrame:
-    """Texts that still contain a detected value of their file; must be empty."""
-    return find_values(masked, values, keys, file, text)
+    """(file, keys, value): values of its file that a text still contains outside of tokens; must be
+    empty. What happens to stand inside a token's letters is no value."""
+    outside = masked.withColumn(text, F.regexp_replace(text, TOKEN_PATTERN, "\0"))
+    return find_values(outside, values, keys, file, text)
 
 
 # -- back to the original --------------------------------------------------------

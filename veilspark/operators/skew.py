@@ -13,33 +13,62 @@ SALTS = 16
 DEAL = 1024
 
 
+# A broadcast row of a hot key takes at most so many bytes: 10,000 of them are 8 MB.
+MAX_HOT_BYTES = 800
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared scratch folder and go on from there. Cuts the lineage,
+    survives lost executors, and lets later steps read only the columns they need."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted_join(
+    rows: DataFrame, lookup: DataFrame, keys: list[str], cols: list[str], how: str = "inner"
+) -> DataFrame:
+    """Inner or left join of written `rows` to a `lookup` with one row per key whose hot keys are
+    not known: the rows of each key are counted (combined before the shuffle), then `lookup_join`."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    counted = written(lookup.select(*keys, *cols).join(counts, keys), "counted")
+    return lookup_join(rows, counted, keys, "_rows", cols, how)
+
+
 def lookup_join(
-    rows: DataFrame, lookup: DataFrame, keys: list[str], count: str, cols: list[str]
+    rows: DataFrame, lookup: DataFrame, keys: list[str], count: str, cols: list[str],
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join of `rows` to a `lookup` with one row per key and a known row count.
+    """Inner or left join of `rows` to a `lookup` with one row per key and a known row count.
 
     A key is hot when it covers more than 1/10,000 of all rows; hence there are at most
-    10,000 hot keys, and their part of the lookup is broadcast. All other keys are joined by
-    a shuffle in which no key is large: rows that already found their hot key are dealt out
-    evenly. `rows` is read once; `lookup` should be a written table, as it is read for the
+    10,000 hot keys, and their part of the lookup is broadcast, as far as its rows are small: at
+    most 10,000 * `MAX_HOT_BYTES` in all. All other keys are joined by a shuffle; rows that already
+    found their hot key are dealt out evenly, and larger rows of the lookup are repeated, so that
+    the rows of their hot keys are spread. `rows` is read once; `lookup` should be a written table, as it is read for the
     total and for each part.
     """
     total = lookup.agg(F.sum(count)).scalar()
-    marked = lookup.select(*keys, *cols, F.col(count).alias("_count"))
+    held = F.struct(F.lit(True).alias("_there"), *cols)
+    marked = lookup.select(
+        *keys, held.alias("_row"), F.length(F.to_json(held)).alias("_bytes"), F.col(count).alias("_count"))
     is_hot = F.col("_count") > F.greatest(total / MAX_HOT_KEYS, F.lit(1000))
-    hot = marked.where(is_hot).select(*keys, F.struct(*cols).alias("_hot"))
-    cold = marked.where(~is_hot).select(*keys, F.struct(*cols).alias("_cold"))
+    is_small = F.col("_bytes") <= MAX_HOT_BYTES
+    hot = marked.where(is_hot).select(
+        *keys, F.when(is_small, F.col("_row")).alias("_hot"), (~is_small).alias("_large"))
+    cold = marked.where(~(is_hot & is_small)).select(
+        *keys, F.col("_row").alias("_cold"),
+        F.explode(F.when(is_hot, F.sequence(F.lit(-SALTS), F.lit(-1))).otherwise(F.array(F.lit(0)))).alias("_deal"))
     # row number within the task: the same again if the task is repeated
-    deal = 1 + F.pmod(F.monotonically_increasing_id(), F.lit(DEAL))
-    tried = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "_deal", F.when(F.col("_hot").isNull(), F.lit(0).cast("bigint")).otherwise(deal)
+    number = F.monotonically_increasing_id()
+    deal = (
+        F.when(F.col("_large"), -1 - F.pmod(number, F.lit(SALTS)))
+        .when(F.col("_hot").isNotNull(), 1 + F.pmod(number, F.lit(DEAL))).otherwise(F.lit(0))
     )
-    cold = cold.withColumn("_deal", F.lit(0).cast("bigint"))
-    found = F.coalesce("_hot", "_cold")
+    tried = rows.join(F.broadcast(hot), keys, "left").withColumn("_deal", deal.cast("int"))
+    joined = tried.join(cold, [*keys, "_deal"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
     return (
-        tried.join(cold, [*keys, "_deal"], "left")
-        .withColumn("_found", found)
-        .where(F.col("_found").isNotNull())
+        (joined if how == "left" else joined.where(F.col("_found").isNotNull()))
         .select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in cols])
     )
 

@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DetectConfig, scratch_dir, secret_key
+from ..config import DetectConfig, secret_key
 from ..operators import risk, vault
 from ..operators.detect import add_detections, explode_detections
 from ..operators.mask import MAPPING, mask_by_file, mask_texts, unit_tokens
-from ..sinks.writers import append_run, append_vault, other_runs
+from ..operators.skew import written as stage
+from ..sinks.writers import append_run, append_vault, one_run, other_runs
 
 
 @dataclass
@@ -31,35 +32,27 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared scratch folder and go on from there. Cuts the lineage,
-    survives lost executors, and lets later steps read only the columns they need."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def run(
     units: DataFrame,
     out: str,
     run_id: str,
     cfg: DetectConfig = DetectConfig(),
     label: str | None = None,
-    scope: str = "spans",
+    scope: str = "file",
     partitions: int | None = None,
 ) -> BatchResult:
     """Detect, score, tokenise and mask a table of units (file_id, unit_id, text).
 
     unit_id identifies a unit within its file. Detection is one narrow pass over the text,
     written once; the report and the vault then read only the detection column, and masking
-    shuffles the texts that have detections and no others.
+    with scope "spans" shuffles the texts that have detections and no others.
 
     Texts are read by the input's own splits; `partitions` deals them out anew first. Units with
     a null id are reported under it and masked by type, without tokens. Values that earlier runs
     into `out` have tokenised keep their tokens.
 
-    scope "spans" replaces the detected positions; "file" replaces every occurrence of every
-    value of the file, also where the context did not support it.
+    scope "file" replaces every occurrence of every value of the file, also where the context did
+    not support it; "spans" replaces the detected positions only, and so leaves values in clear.
     """
     spark = units.sparkSession
     key = secret_key(spark)
@@ -88,7 +81,7 @@ def run(
     append_run(masked.drop("detections", "text", "text_hash"), f"{out}/masked", run_id)
 
     def back(table):
-        return spark.read.parquet(f"{out}/{table}").where(F.col("run_id") == run_id).drop("run_id")
+        return one_run(spark, f"{out}/{table}", run_id)
 
     return BatchResult(
         detections, back("compliance_reports"), back("token_mappings"), tokens, back("masked")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 BUCKETS = 256
 
@@ -62,9 +63,21 @@ def append_vault(df: DataFrame, path: str, run_id: str, file: str = "file_id") -
 def other_runs(spark: SparkSession, path: str, run_id: str) -> DataFrame | None:
     """What other runs have written to a control table; None before the first one."""
     try:
-        rows = spark.read.parquet(path)
+        rows = control_table(spark, path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
-    return rows.where(F.col("run_id").cast("string") != run_id).drop("run_id")
+    return rows.where(F.col("run_id") != run_id).drop("run_id")
+
+
+def control_table(spark: SparkSession, path: str) -> DataFrame:
+    """A control table with run ids as text: `1`, `01` and `2026-01-05` are what they were, and
+    not a number or a date of some other spelling."""
+    found = spark.read.parquet(path).schema
+    text = StructField("run_id", StringType())
+    return spark.read.schema(StructType([text if f.name == "run_id" else f for f in found])).parquet(path)
+
+
+def one_run(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    return control_table(spark, path).where(F.col("run_id") == run_id).drop("run_id")
