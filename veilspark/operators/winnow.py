@@ -51,22 +51,26 @@ def _hashes(codes: np.ndarray, n: int) -> np.ndarray:
 
 
 def _least(hashes: np.ndarray) -> np.ndarray:
-    """Place of the least gram of each window, the first of equal ones."""
+    """For each window of consecutive grams, the place of the least one, the first of equal ones."""
     if len(hashes) < WINDOW:
         return np.zeros(0, np.int64)
     windows = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)
-    return np.unique(np.arange(len(windows)) + windows.argmin(axis=1))
+    return np.arange(len(windows)) + windows.argmin(axis=1)
 
 
-def _bit(hashes: np.ndarray, kind: int, file_id, bits: int) -> np.ndarray:
-    salt = np.array([zlib.crc32(f"{kind}/{file_id}".encode())], np.uint64)
-    mixed = (hashes ^ (salt * _FACTOR)) * _MIX
+def _salt(file_id: str) -> int:
+    return zlib.crc32(file_id.encode())
+
+
+def _bit(hashes: np.ndarray, kind: int, salts: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of a gram of a file; `salts` holds one number per gram."""
+    mixed = (hashes ^ ((salts + np.uint64(kind)) * _FACTOR)) * _MIX
     return (mixed ^ (mixed >> np.uint64(31))) & np.uint64(bits - 1)
 
 
 def minimisers(text: str) -> list[tuple[int, str]]:
     """(place, gram) of the minimisers of a text."""
-    return [(int(p), text[p : p + GRAM]) for p in _least(_hashes(_codes(text), GRAM))]
+    return [(int(p), text[p : p + GRAM]) for p in np.unique(_least(_hashes(_codes(text), GRAM)))]
 
 
 def _columns(batch: pa.RecordBatch, names: list[str], rows: list[int]) -> list[pa.Array]:
@@ -99,7 +103,8 @@ def anchors(values: DataFrame, file: str, bits: int = LEAST_BITS) -> DataFrame:
                 kind = 0 if len(codes) >= SPAN else len(codes)
                 at = int(_least(_hashes(codes, GRAM))[0]) if kind == 0 else 0
                 gram = value[at : at + GRAM] if kind == 0 else value
-                bit = _bit(_hashes(_codes(gram), len(gram)), kind, file_id, bits)[0]
+                salt = np.array([_salt(file_id)], np.uint64)
+                bit = _bit(_hashes(_codes(gram), len(gram)), kind, salt, bits)[0]
                 rows.append(i)
                 out.append((kind, gram, at, int(bit)))
             if rows:
@@ -133,36 +138,45 @@ def grams(
 ) -> DataFrame:
     """(keys, kind, gram): what a text shares, by its bits, with the values of its file, once."""
 
-    def hits(hashes, kind, file_id):
-        bit = _bit(hashes, kind, file_id, bits)
-        return np.flatnonzero(table[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
-
-    def found(text: str, file_id) -> set[tuple[int, str]]:
+    def shared(parts: list[tuple[int, str, int]]) -> set[tuple[int, int, str]]:
+        """(row, kind, gram) of stretches (row, text, salt), all of them hashed at once."""
+        joined = "".join(p[1] for p in parts)
+        codes, sizes = _codes(joined), [len(p[1]) for p in parts]
+        part = np.repeat(np.arange(len(parts)), sizes)
+        left = np.cumsum(sizes)[part] - np.arange(len(codes))  # code points up to the stretch's end
+        salts = np.array([p[2] for p in parts], np.uint64)
         out = set()
-        for at in range(0, max(len(text), 1), PIECE):
-            part = text[at : at + PIECE + SPAN - 1]  # overlapping by one window
-            codes = _codes(part)
-            for kind in kinds:
-                n = kind or GRAM
-                hashes = _hashes(codes, n)
-                places = _least(hashes) if kind == 0 else np.arange(len(hashes))
-                for p in places[hits(hashes[places], kind, file_id)].tolist():
-                    out.add((kind, part[p : p + n]))
+        for kind in kinds:
+            n = kind or GRAM
+            hashes = _hashes(codes, n)
+            if kind:
+                places = np.flatnonzero(left[: len(hashes)] >= n)
+            else:
+                least = _least(hashes)
+                places = np.unique(least[left[: len(least)] >= SPAN])
+            bit = _bit(hashes[places], kind, salts[part[places]], bits)
+            on = table[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1
+            out.update((parts[part[p]][0], kind, joined[p : p + n]) for p in places[on == 1].tolist())
         return out
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, kind_of, gram_of = [], [], []
             file_ids = batch.column(batch.schema.get_field_index("_file"))
             contents = batch.column(batch.schema.get_field_index("_text"))
+            parts, held, found = [], 0, set()
             for i, (file_id, content) in enumerate(zip(file_ids, contents)):
                 if not content.is_valid or not file_id.is_valid:
                     continue
-                for kind, gram in found(content.as_py(), file_id.as_py()):
-                    rows.append(i)
-                    kind_of.append(kind)
-                    gram_of.append(gram)
-            if rows:
+                content, salt = content.as_py(), _salt(file_id.as_py())
+                for at in range(0, len(content), PIECE):
+                    parts.append((i, content[at : at + PIECE + SPAN - 1], salt))  # overlapping by one window
+                    held += len(parts[-1][1])
+                    if held >= PIECE:
+                        found |= shared(parts)
+                        parts, held = [], 0
+            found |= shared(parts)
+            if found:
+                rows, kind_of, gram_of = zip(*found)
                 yield pa.RecordBatch.from_arrays(
                     [*_columns(batch, keys, rows), pa.array(kind_of, pa.int32()), pa.array(gram_of, pa.string())],
                     [*keys, "kind", "gram"])

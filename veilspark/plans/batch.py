@@ -32,6 +32,45 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)
 
 
+@dataclass
+class Protected:
+    """What is known before anything is masked. `staged` and `tokens` hold plain values."""
+
+    staged: DataFrame
+    detections: DataFrame
+    report: DataFrame
+    vault: DataFrame
+    tokens: DataFrame
+
+
+def protect(
+    units: DataFrame, out: str, run_id: str, cfg: DetectConfig, label: str | None,
+    partitions: int | None, files: DataFrame | None = None,
+) -> Protected:
+    """The first half of a run: detect, write report and vault. `files` names files that may have
+    no unit at all, for their reports."""
+    spark = units.sparkSession
+    key = secret_key(spark)
+    given = units.select("file_id", "unit_id", "text", *([label] if label else []))
+    given = spread(given, partitions) if partitions else given
+    given = given.withColumn("text_hash", F.xxhash64("text"))
+    staged = stage(add_detections(given, cfg, label=label), "detected")
+    detections = explode_detections(staged, ["file_id", "unit_id", "text_hash"])
+
+    files = staged.select("file_id").distinct() if files is None else files
+    report = risk.reports(detections, files).withColumn("created_at", F.current_timestamp())
+    append_run(report, f"{out}/compliance_reports", run_id)
+
+    tokens = vault.assign_tokens(vault.distinct_values(detections), key)
+    earlier = other_runs(spark, f"{out}/token_mappings", run_id)
+    tokens = stage(vault.keep_earlier(tokens, earlier) if earlier else tokens, "tokens")
+    entries = vault.encrypt_values(tokens, key).withColumn("created_at", F.current_timestamp())
+    append_vault(entries, f"{out}/token_mappings", run_id)
+    return Protected(
+        staged, detections, one_run(f"{out}/compliance_reports", run_id, report),
+        one_run(f"{out}/token_mappings", run_id, entries), tokens)
+
+
 def run(
     units: DataFrame,
     out: str,
@@ -54,38 +93,18 @@ def run(
     scope "file" replaces every occurrence of every value of the file, also where the context did
     not support it; "spans" replaces the detected positions only, and so leaves values in clear.
     """
-    spark = units.sparkSession
-    key = secret_key(spark)
+    found = protect(units, out, run_id, cfg, label, partitions)
     # units that share an id but not their text must not get each other's spans
     keys = ["file_id", "unit_id", "text_hash"]
-    given = units.select("file_id", "unit_id", "text", *([label] if label else []))
-    given = spread(given, partitions) if partitions else given
-    given = given.withColumn("text_hash", F.xxhash64("text"))
-    staged = stage(add_detections(given, cfg, label=label), "detected")
-    detections = explode_detections(staged, keys)
-
-    files = staged.select("file_id").distinct()
-    report = risk.reports(detections, files).withColumn("created_at", F.current_timestamp())
-    append_run(report, f"{out}/compliance_reports", run_id)
-
-    tokens = vault.assign_tokens(vault.distinct_values(detections), key)
-    earlier = other_runs(spark, f"{out}/token_mappings", run_id)
-    tokens = stage(vault.keep_earlier(tokens, earlier) if earlier else tokens, "tokens")
-    entries = vault.encrypt_values(tokens, key).withColumn("created_at", F.current_timestamp())
-    append_vault(entries, f"{out}/token_mappings", run_id)
-
     if scope == "file":
-        masked = mask_by_file(staged, tokens, keys)
+        masked = mask_by_file(found.staged, found.tokens, keys)
     else:
-        masked = mask_texts(staged, stage(unit_tokens(detections, tokens, keys), "spans"), keys)
-    append_run(masked.drop("detections", "text", "text_hash"), f"{out}/masked", run_id)
-
-    def back(table):
-        return one_run(spark, f"{out}/{table}", run_id)
-
-    return BatchResult(
-        detections, back("compliance_reports"), back("token_mappings"), tokens, back("masked")
-    )
+        spans = stage(unit_tokens(found.detections, found.tokens, keys), "spans")
+        masked = mask_texts(found.staged, spans, keys)
+    masked = masked.drop("detections", "text", "text_hash")
+    append_run(masked, f"{out}/masked", run_id)
+    back = one_run(f"{out}/masked", run_id, masked)
+    return BatchResult(found.detections, found.report, found.vault, found.tokens, back)
 
 
 def row_mapping(spans: DataFrame, keys: list[str]) -> DataFrame:

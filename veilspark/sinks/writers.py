@@ -79,5 +79,8 @@ def control_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(StructType([text if f.name == "run_id" else f for f in found])).parquet(path)
 
 
-def one_run(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    return control_table(spark, path).where(F.col("run_id") == run_id).drop("run_id")
+def one_run(path: str, run_id: str, like: DataFrame) -> DataFrame:
+    """The rows of a run as they were written; `like` has their columns, so that a run without
+    rows can be read too."""
+    schema = StructType([*like.schema, StructField("run_id", StringType())])
+    return like.sparkSession.read.schema(schema).parquet(path).where(F.col("run_id") == run_id).drop("run_id")

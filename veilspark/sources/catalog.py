@@ -109,36 +109,47 @@ def catalog_rejects(files: DataFrame) -> DataFrame:
 
 
 # A CSV record, and a CSV cell with the separator that ends it; quoted parts may hold separators.
-_RECORD = r'(?s)(?:[^"\r\n]++|"[^"]*+"|")++'
+RECORD = r'(?s)(?:[^"\r\n]++|"[^"]*+"|")++'
 _CELL = r'(?s)((?:[^",]++|"[^"]*+"|")*+),'
 # Label of cells beyond the header's width.
 EXTRA = "extra"
 
 
-def _csv_cells(record: Column) -> Column:
-    def plain(c):
-        inner = F.regexp_replace(c, r'(?s)^"(.*)"\z', "$1")
-        return F.replace(inner, F.lit('""'), F.lit('"'))
+def csv_raw_cells(record: Column) -> Column:
+    """The cells of a record as they are written."""
+    return F.regexp_extract_all(F.concat(record, F.lit(",")), F.lit(_CELL), F.lit(1))
 
-    return F.transform(F.regexp_extract_all(F.concat(record, F.lit(",")), F.lit(_CELL), F.lit(1)), plain)
+
+def csv_cell(raw: Column) -> Column:
+    """What a cell says: outer quotes taken off, doubled quotes single."""
+    inner = F.regexp_replace(raw, r'(?s)^"(.*)"\z', "$1")
+    return F.replace(inner, F.lit('""'), F.lit('"'))
+
+
+def csv_cells(record: Column) -> Column:
+    return F.transform(csv_raw_cells(record), csv_cell)
+
+
+def csv_row(names: Column, record: Column) -> Column:
+    """`name: value | name: value`; cells that the record lacks are blank, cells beyond the header
+    are labelled `extra`."""
+    pairs = F.zip_with(
+        names, csv_cells(record),
+        lambda k, v: F.concat(F.coalesce(k, F.lit(EXTRA)), F.lit(": "), F.coalesce(v, F.lit(""))))
+    return F.array_join(pairs, " | ")
 
 
 def _csv_units(files: DataFrame) -> DataFrame:
-    """Rendered rows of CSV files, each with its own header; cells that a row lacks are blank,
-    cells beyond the header are labelled `extra`."""
-    records = F.regexp_extract_all("_text", F.lit(_RECORD), F.lit(0))
+    """Rendered rows of CSV files, each with its own header."""
+    records = F.regexp_extract_all("_text", F.lit(RECORD), F.lit(0))
     rows = files.select("file_id", "file_type", records.alias("_records")).select(
-        "file_id", "file_type", _csv_cells(F.get("_records", F.lit(0))).alias("_names"),
+        "file_id", "file_type", csv_cells(F.get("_records", F.lit(0))).alias("_names"),
         F.explode(F.slice("_records", 2, F.greatest(F.size("_records") - 1, F.lit(0))))
         .alias("_record"),
     )
-    pairs = F.zip_with(
-        "_names", _csv_cells(F.col("_record")),
-        lambda k, v: F.concat(F.coalesce(k, F.lit(EXTRA)), F.lit(": "), F.coalesce(v, F.lit(""))),
-    )
     return rows.select(
         "file_id", "file_type", F.lit(None).cast("string").alias("label"),
-        F.array_join(pairs, " | ").alias("text"),
+        csv_row(F.col("_names"), F.col("_record")).alias("text"),
     )
 
 

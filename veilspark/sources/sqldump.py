@@ -67,6 +67,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, EDGES, "")
 
 
+def without_comments(statement: Column) -> Column:
+    """The statement without the comments before it."""
+    return F.regexp_replace(statement, r"(?s)\A(?:\s+|--[^\n]*+(?:\n|\z)|/\*.*?\*/)+", "")
+
+
 def split_statements(df: DataFrame, column: str) -> DataFrame:
     """Separate statements at semicolons outside quotes; blanks are dropped."""
     pieces = F.regexp_extract_all(column, F.lit(STATEMENT), F.lit(0))
@@ -168,6 +173,20 @@ def update_literals(statements: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def update_cells(statements: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pos, label, value) for the assignments between SET and WHERE, aware of quotes: each
+    value with its column's name."""
+    st = F.col("statement")
+    clause = F.regexp_extract(st, r"""(?is)\bSET\b((?:[^'"]|'[^']*+'|"[^"]*+")*?)(?:\bWHERE\b|\z)""", 1)
+    parts = F.regexp_extract_all(clause, F.lit(r"""(?s)(?:[^,'"]++|'(?:[^']++|'')*+'|"[^"]*+"|['"])++"""), F.lit(0))
+    updates = statements.where(kind(st) == "UPDATE").select(*keys, F.posexplode(parts).alias("pos", "a"))
+    name = F.regexp_replace(strip(F.regexp_extract("a", r"(?s)^([^=]*)=", 1)), "[`\"\\[\\]]", "")
+    value = _unquote(F.regexp_extract("a", r"(?s)^[^=]*=(.*)\z", 1))
+    return updates.where(F.col("a").contains("=")).select(
+        *keys, "pos", name.alias("label"), F.replace(value, F.lit("''"), F.lit("'")).alias("value")
+    ).where(F.col("value") != "")
+
+
 def literals(statements: DataFrame, keys: list[str]) -> DataFrame:
     """Literals of all INSERT and UPDATE statements: (keys, value)."""
     return insert_literals(statements, keys).select(*keys, "value").unionByName(
