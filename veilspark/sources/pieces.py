@@ -96,7 +96,7 @@ def units(files: DataFrame) -> DataFrame:
 
 def _records(files: DataFrame) -> DataFrame:
     """Records of CSV files with their rendered text; the header is record 0."""
-    cut = _cut(_texts(files, "csv"), RECORD, csv_cells(F.get("_hits", F.lit(0))).alias("names"))
+    cut = _cut(_texts(files, "csv"), RECORD, csv_cells(F.get("raw", F.lit(0))).alias("names"))
     return cut.withColumn("text", F.when(F.col("position") > 0, csv_row(F.col("names"), F.col("raw"))))
 
 
@@ -106,12 +106,13 @@ def _cut(texts: DataFrame, pattern: str, *more: Column) -> DataFrame:
     """(file_id, position, lead, raw, next, more): the matches, the gaps before them and after
     them; a last row without `raw` has what follows the last match as its lead."""
     parts = texts.select(
-        "file_id", F.split("_text", pattern, -1).alias("_gaps"),
-        F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)).alias("_hits"))
-    rows = parts.select("*", F.posexplode("_gaps").alias("position", "lead"))
-    return rows.select(
-        "file_id", "position", "lead", F.get("_hits", "position").alias("raw"),
-        F.get("_gaps", F.col("position") + 1).alias("next"), *more)
+        "file_id", F.split("_text", pattern, -1).alias("lead"),
+        F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)).alias("raw"))
+    parts = parts.withColumn("next", F.slice("lead", 2, F.size("lead")))
+    # zipped, so that a row carries its own piece and not the whole file
+    zipped = F.arrays_zip("lead", "raw", "next")
+    rows = parts.select("file_id", *more, F.posexplode(zipped).alias("position", "p"))
+    return rows.select("file_id", "position", "p.*", *[c for c in rows.columns if c not in ("file_id", "position", "p")])
 
 
 def json_text(literal: Column) -> Column:
