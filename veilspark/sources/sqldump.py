@@ -1,66 +1,157 @@
-"""Literals of INSERT and UPDATE statements in SQL dumps."""
+"""Statements of SQL dumps, and the literals of INSERT and UPDATE statements.
+
+Dumps are cut at ";\\n", so one file is read by many tasks. A literal may hold that separator; then
+a piece ends inside it. Whether a piece begins inside a literal depends on all text before it, but
+only through one of four states: outside, in single quotes, in double quotes, in a comment. So each piece, and
+each split of a file, is a function from the state before it to the state after it. One pass
+composes the pieces of a split; the splits of a file (one small row each) are composed in order;
+and a second pass, which knows the state at the beginning of its split, says where each statement
+begins. No task reads more than its own split, and only pieces of torn statements are shuffled.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import EDGES
+from ..operators.skew import written
 
-# A statement: stretches without ";" and quotes, quoted literals, or a quote left alone.
+_COMMENT = r"--[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/"
+# A statement: stretches without ";" and quotes, comments, quoted literals, or a quote left alone.
 # Possessive, so that long statements need no deep recursion.
-STATEMENT = r"""(?s)(?:[^;'"]++|'[^']*+'|"[^"]*+"|['"])++"""
-
+STATEMENT = rf"""(?s)(?:[^;'"/-]++|{_COMMENT}|'[^']*+'|"[^"]*+"|['"/-])++"""
 
-BUCKETS = 4096
+# What is left of a piece without comments and quoted literals; what begins first in it is open.
+_CLOSED = rf"""(?s){_COMMENT}|'[^']*+'|"[^"]*+\""""
 
-# What is left of a piece without its quoted literals; a quote in it has no partner.
-_LITERAL = r"""(?s)'[^']*+'|"[^"]*+\""""
+OUTSIDE, SINGLE, DOUBLE, COMMENT = range(4)
+STATES = [OUTSIDE, SINGLE, DOUBLE, COMMENT]
 
 
 def read_dump(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
     """Statements of dump files: (file_id, statement).
 
-    Files are cut at ";\\n", so one dump is read by many tasks; several statements on one
-    line are then separated outside quotes. Where a literal holds ";\\n" the cut leaves a quote
-    without a partner; in files with such pieces, pieces are joined again up to the one that
-    has the partner. `whole_files` reads one file per task instead.
+    Files are cut at ";\\n"; several statements on one line are then separated outside quotes, and
+    pieces of a literal that holds ";\\n" are joined again. Quotes in comments are no quotes.
+    `whole_files` reads one file per task instead.
     """
     if whole_files:
         raw = spark.read.text(path, wholetext=True)
         return split_statements(raw.select(F.col("_metadata.file_name").alias("file_id"), "value"), "value")
     raw = spark.read.option("lineSep", ";\n").text(path).select(
         F.col("_metadata.file_name").alias("file_id"), F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"), "value",
-    )
-    left = F.regexp_replace("value", _LITERAL, "")
-    pieces = raw.withColumns({
-        "_open": left.contains("'") | left.contains('"'),
-        "_bucket": F.pmod(F.xxhash64("_path"), F.lit(BUCKETS)),
+        F.col("_metadata.file_block_start").alias("_block"), "value",
+    ).withColumn("_ends", end_states(F.col("value")))
+    torn = raw.where(F.col("_ends")[OUTSIDE] != OUTSIDE).select("_path").distinct()
+    torn = written(torn, "torn-dumps")
+    if torn.isEmpty():
+        return split_statements(raw.select("file_id", "value"), "value")
+    return split_statements(_rejoined(raw, torn), "value")
+
+
+def end_states(text: Column) -> Column:
+    """The state after a piece, for each state before it, as an array."""
+    def from_outside(t):
+        first = F.regexp_extract(F.regexp_replace(t, _CLOSED, ""), r"""['"]|/\*""", 0)
+        return F.when(first == "'", SINGLE).when(first == '"', DOUBLE).when(first == "/*", COMMENT).otherwise(OUTSIDE)
+
+    def from_inside(state, end):
+        at = F.instr(text, end)
+        return F.when(at == 0, state).otherwise(from_outside(F.substring(text, at + len(end), F.length(text))))
+
+    return F.array(from_outside(text), from_inside(SINGLE, "'"), from_inside(DOUBLE, '"'), from_inside(COMMENT, "*/"))
+
+
+def _walk(texts: bool):
+    """Over the pieces of each split, in order. For each state before the split: the state after
+    the pieces read so far, and the number of the piece where the open statement begins (-1: before
+    the split). With `texts` a row per piece, as it finds things; else a row per split, at its end."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, states, begins, row = None, None, None, 0
+
+        def summary():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([split[0]]), pa.array([split[1]], pa.int64()), pa.array([states], pa.list_(pa.int32())),
+                 pa.array([begins], pa.list_(pa.int64()))], ["_path", "_block", "states", "begins"])
+
+        for batch in batches:
+            paths, blocks, ends = (batch.column(batch.schema.get_field_index(c)).to_pylist()
+                                   for c in ("_path", "_block", "_ends"))
+            rows, before, started = [], [], []
+            for path, block, end in zip(paths, blocks, ends):
+                if (path, block) != split:
+                    if split and not texts:
+                        yield summary()
+                    split, states, begins, row = (path, block), STATES, [-1] * len(STATES), 0
+                begins = [row if s == OUTSIDE else b for s, b in zip(states, begins)]
+                rows.append(row)
+                before.append(states)
+                started.append(begins)
+                states = [end[s] for s in states]
+                row += 1
+            if texts and rows:
+                columns = [pa.array(rows, pa.int64()), pa.array(before, pa.list_(pa.int32())),
+                           pa.array(started, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, *columns], [*batch.schema.names, "_row", "states", "begins"])
+        if split and not texts:
+            yield summary()
+
+    return run
+
+
+def _splits(raw: DataFrame) -> DataFrame:
+    """(_path, _block, state, begin_block, begin_row): how each split begins, and where the statement
+    begins that is open there. The splits of a file are folded in order, one small row each."""
+    schema = "_path string, _block bigint, states array<int>, begins array<bigint>"
+    each = raw.select("_path", "_block", "_ends").mapInArrow(_walk(False), schema)
+    # a long literal may fill splits without any piece of their own; these have no row
+    in_order = F.sort_array(F.collect_list(F.struct("_block", "states", "begins")))
+    files = each.groupBy("_path").agg(in_order.alias("s"))
+
+    def fold(batches):
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for path, splits in zip(batch["_path"], batch["s"]):
+                state, block, row = OUTSIDE, None, None
+                for split in splits:
+                    out.append((path, split["_block"], state, block, row))
+                    if split["begins"][state] >= 0:
+                        block, row = split["_block"], split["begins"][state]
+                    state = split["states"][state]
+            yield pd.DataFrame(out, columns=["_path", "_block", "state", "begin_block", "begin_row"])
+
+    return files.mapInPandas(
+        fold, "_path string, _block bigint, state int, begin_block bigint, begin_row bigint")
+
+
+def _rejoined(raw: DataFrame, torn: DataFrame) -> DataFrame:
+    """(file_id, value) with the pieces of torn statements joined. The splits that begin inside a
+    literal are few; Spark broadcasts their table as long as it is small."""
+    inside = written(_splits(raw).join(torn, "_path", "left_semi").where(F.col("state") != OUTSIDE), "torn-splits")
+    schema = T.StructType([*raw.schema, *T.StructType.fromDDL("_row bigint, states array<int>, begins array<bigint>")])
+    pieces = raw.mapInArrow(_walk(True), schema).join(inside, ["_path", "_block"], "left")
+    state = F.coalesce("state", F.lit(OUTSIDE))
+    begin = F.get("begins", state)
+    known = pieces.withColumns({
+        "_before": F.get("states", state), "_after": F.get("_ends", F.get("states", state)),
+        "_at_block": F.when(begin >= 0, F.col("_block")).otherwise(F.col("begin_block")),
+        "_at_row": F.when(begin >= 0, begin).otherwise(F.col("begin_row")),
     })
-    # at most BUCKETS numbers; a file that shares a torn file's bucket comes out the same
-    torn = pieces.where("_open").agg(F.collect_set("_bucket")).scalar()
-    is_torn = F.array_contains(torn, F.col("_bucket"))
-    good = pieces.where(~is_torn).select("file_id", "value")
-    return split_statements(good.unionByName(_rejoin(pieces.where(is_torn))), "value")
-
-
-def _rejoin(pieces: DataFrame) -> DataFrame:
-    """Pieces of torn files, joined from one with an open quote to the next such piece. Only
-    the counts of open quotes run through a file in order; texts are gathered per statement."""
-    in_order = W.partitionBy("_path").orderBy("_block", "_row")
-    flag = F.col("_open").cast("int")
-    marked = pieces.withColumn("_before", F.coalesce(
-        F.sum(flag).over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    # an odd number of open quotes before a piece: it goes on in the piece before it
-    starts = (F.col("_before") % 2 == 0).cast("int")
-    grouped = marked.withColumn("_part", F.sum(starts).over(in_order.rowsBetween(W.unboundedPreceding, 0)))
+    is_whole = (F.col("_before") == OUTSIDE) & (F.col("_after") == OUTSIDE)
+    whole = known.where(is_whole).select("file_id", "value")
     parts = F.sort_array(F.collect_list(F.struct("_block", "_row", "value")))
-    return grouped.groupBy("file_id", "_path", "_part").agg(
-        F.array_join(F.transform(parts, lambda p: p["value"]), ";\n").alias("value")
-    ).select("file_id", "value")
+    joined = known.where(~is_whole).groupBy("file_id", "_path", "_at_block", "_at_row").agg(
+        F.array_join(F.transform(parts, lambda p: p["value"]), ";\n").alias("value"))
+    return whole.unionByName(joined.select("file_id", "value"))
 
 
 def strip(c: Column) -> Column:
@@ -95,13 +186,42 @@ def _after(statement: Column, word: str) -> Column:
     return F.when(at > 0, F.substring(statement, at + len(word), F.length(statement)))
 
 
-def insert_tuples(statement: Column) -> Column:
-    """Array of the texts inside the outermost parentheses after VALUES, at any nesting.
+def _nested(inner: str, depth: int) -> str:
+    """A pattern of what may stand between parentheses, with up to `depth` levels inside it."""
+    level = f"(?:{inner})*+"
+    for _ in range(depth):
+        level = rf"(?:{inner}|\({level}\))*+"
+    return rf"(?s)\(({level})\)"
+
+
+NESTING = 8
+_TUPLE = _nested(r"[^()]++", NESTING)
+_QUOTED_TUPLE = _nested(r"""[^()'"]++|'[^']*+'|"[^"]*+\"""", NESTING)
 
-    The text is cut into parentheses and the stretches between them; one pass keeps the
-    depth, the open tuple and the finished ones.
+
+def insert_tuples(statement: Column, quotes: bool = False) -> Column:
+    """Array of the texts inside the outermost parentheses after VALUES, at any nesting; with
+    `quotes`, parentheses inside quoted literals do not count.
+
+    One match per tuple, linear in the text. Where the pattern leaves a parenthesis over (deeper
+    nesting, or none that closes), the text is walked parenthesis by parenthesis instead.
     """
-    pieces = F.regexp_extract_all(_after(statement, "VALUES"), F.lit(r"[()]|[^()]+"), F.lit(0))
+    after = _after(statement, "VALUES")
+
+    def found(pattern, otherwise):
+        rest = F.regexp_replace(F.regexp_replace(after, pattern, ""), _CLOSED if quotes else r"(?!)", "")
+        return F.when(rest.rlike("[()]"), otherwise).otherwise(
+            F.regexp_extract_all(after, F.lit(pattern), F.lit(1)))
+
+    plain = found(_TUPLE, _walked_tuples(after))
+    tuples = found(_QUOTED_TUPLE, plain) if quotes else plain
+    return F.coalesce(tuples, F.array().cast("array<string>"))
+
+
+def _walked_tuples(text: Column) -> Column:
+    """One pass over parentheses and the stretches between them keeps the depth, the open tuple and
+    the finished ones."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[()]|[^()]+"), F.lit(0))
     start = F.struct(
         F.lit(0).alias("depth"), F.lit("").alias("open"),
         F.array().cast("array<string>").alias("rows"),
@@ -147,7 +267,7 @@ def insert_cells(statements: DataFrame, keys: list[str]) -> DataFrame:
     listed = F.regexp_extract(st, r"(?is)^INSERT\s+INTO\s+[^()]*?\(([^()]*)\)\s*VALUES", 1)
     names = F.transform(F.split(listed, ","), lambda c: F.regexp_replace(strip(c), "[`\"\\[\\]]", ""))
     tuples = inserts.select(
-        *keys, names.alias("_names"), F.posexplode(insert_tuples(st)).alias("row_no", "t")
+        *keys, names.alias("_names"), F.posexplode(insert_tuples(st, quotes=True)).alias("row_no", "t")
     )
     values = F.regexp_extract_all("t", F.lit(r"(?s)(?:'(?:[^']++|'')*+'|[^,']++|')++"), F.lit(0))
     cells = tuples.select(*keys, "row_no", "_names", F.posexplode(values).alias("pos", "v"))
