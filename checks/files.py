@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veilspark.config import scratch_dir
 from veilspark.operators.govern import by_id
+from veilspark.sinks import files as sink
 from veilspark.sinks import writers
 from veilspark.sources import catalog, docx, nested, sqldump, tables
 
@@ -25,7 +26,7 @@ _CELLS_SQL = _CELLS.replace("`", '"')
 def o1(spark, sf_dir):
     path = scratch_dir(spark, "csv")
     writers.write_csv(derive(spark, sf_dir, _CELLS), path)
-    return tables.read_csv(spark, path).drop("file_id")
+    return tables.read_csv(spark, path, extra=None).drop("file_id")
 
 
 _FLAT = f"SELECT CAST(c_custkey AS STRING) AS id, {', '.join(COLUMNS)} FROM ({PEOPLE}) p"
@@ -35,8 +36,30 @@ _FLAT = f"SELECT CAST(c_custkey AS STRING) AS id, {', '.join(COLUMNS)} FROM ({PE
 def o1_flat(spark, sf_dir):
     path = scratch_dir(spark, "csv")
     writers.write_csv(derive(spark, sf_dir, _FLAT), path)
-    assert not tables.has_line_breaks_in_cells(spark, path)
-    return tables.read_csv(spark, path).drop("file_id")
+    return tables.read_csv(spark, path, extra=None).drop("file_id")
+
+
+# Records with cells beyond the header's width, with too few, and with breaks in a surplus cell.
+_RAGGED = f"""
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN concat(full_name, ',', mobile)
+  WHEN 1 THEN full_name WHEN 2 THEN concat(full_name, ',', mobile, ',', email, ',"', address, '"')
+  ELSE concat('"', full_name, '",,"', mobile, chr(10), '""x""', '"') END AS line
+FROM ({PEOPLE}) p"""
+
+
+@check("o1_ragged_rows", ctes(p=PEOPLE) + """
+SELECT full_name AS name, CASE WHEN c_custkey % 4 IN (0, 2) THEN mobile ELSE '' END AS phone,
+  CASE c_custkey % 4 WHEN 2 THEN concat(email, '|', address) WHEN 3 THEN concat(mobile, chr(10), '"x"') ELSE '' END AS extra FROM p""")
+def o1_ragged(spark, sf_dir):
+    """No cell is lost."""
+    path = scratch_dir(spark, "ragged")
+    lines = derive(spark, sf_dir, _RAGGED).select(
+        F.lit("f.csv").alias("name"), F.col("c_custkey").alias("position"), F.concat("line", F.lit("\n")).alias("line"))
+    head = spark.range(1).select(F.lit("f.csv").alias("name"), F.lit(-1).cast("bigint").alias("position"),
+                                 F.lit("name,phone\n").alias("line"))
+    rows = head.unionByName(lines)
+    sink.write_files(rows.select("name", "position", F.encode("line", "UTF-8").alias("content")), path)
+    return tables.read_csv(spark, path).select("name", "phone", F.array_join("extra", "|").alias("extra"))
 
 
 @check("o17_sanitised_csv", ctes(t=_CELLS_SQL) + """
@@ -46,7 +69,7 @@ def o17(spark, sf_dir):
     df = derive(spark, sf_dir, _CELLS)
     masked = df.withColumn("location.note", F.replace("`location.note`", F.lit("Rao"), F.lit("PERSON_1")))
     writers.write_csv(masked, path)
-    return tables.read_csv(spark, path).drop("file_id")
+    return tables.read_csv(spark, path, extra=None).drop("file_id")
 
 
 @check("o10_row_rendering", ctes(p=PEOPLE) + f"SELECT c_custkey, {RENDERED} AS text FROM p")
@@ -130,6 +153,22 @@ def o3(spark, sf_dir):
         "statement", sqldump.kind(F.col("statement")).alias("kind"))
 
 
+_TORN = f"""
+SELECT c_custkey, concat('INSERT INTO t VALUES (', CAST(c_custkey AS STRING), ', ''', full_name, ';', chr(10), mobile, ''', "it''s;', chr(10), '", ''x'')') AS statement
+FROM ({PEOPLE}) p"""
+
+
+@check("o3_torn_dump", ctes(s=_TORN) + "SELECT statement FROM s")
+def o3_torn(spark, sf_dir):
+    """Every literal holds the separator at which dumps are cut; comments hold quotes."""
+    path = scratch_dir(spark, "torn")
+    content = F.encode(F.concat(F.lit("-- don't mind\n"), "statement", F.lit(";\n")), "UTF-8")
+    sink.write_files(derive(spark, sf_dir, _TORN).select(
+        F.lit("d.sql").alias("name"), F.col("c_custkey").alias("position"), content.alias("content")), path)
+    read = sqldump.read_dump(spark, path)
+    return read.select(sqldump.without_comments(F.col("statement")).alias("statement")).where("statement != ''")
+
+
 @check("o19_sanitised_sql_dump", ctes(s=_STATEMENTS) + "SELECT replace(statement, 'Rao', 'PERSON_1') AS statement FROM s")
 def o19(spark, sf_dir):
     path = scratch_dir(spark, "sql")

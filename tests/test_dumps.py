@@ -1,12 +1,14 @@
-"""Dumps whose literals hold the separator, over many splits; statements of very many tuples."""
+"""Files whose quotes hold the separator, over many splits; statements of very many tuples."""
 
+import csv
+import io
 import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.sources import sqldump
+from veilspark.sources import sqldump, tables
 
 
 @pytest.fixture
@@ -99,3 +101,22 @@ def test_very_many_tuples_take_linear_time(spark):
     seconds(1000)
     short, long = min(seconds(8000) for _ in range(2)), min(seconds(32_000) for _ in range(2))
     assert long < 5 * max(short, 0.5)
+
+
+def test_csv_over_many_splits(spark, tmp_path, small_splits):
+    """Cells with line breaks, quotes and separators, rows with cells too many and too few."""
+    rng = random.Random(5)
+    rows = [["".join(rng.choice(["a", ",", "\n", '"', "é", " "]) for _ in range(rng.randint(0, 30)))
+             for _ in range(rng.choice([1, 2, 3, 3, 3, 5]))] for _ in range(200)]
+    out = io.StringIO(newline="")
+    csv.writer(out, lineterminator="\r\n").writerows([["x", "y", "z"], *rows])
+    (tmp_path / "torn.csv").write_bytes(out.getvalue().encode())
+    (tmp_path / "plain.csv").write_bytes(b"\xef\xbb\xbfx,y,z\n" + b"1,2,3\n\n" * 100)
+    got = tables.read_csv(spark, str(tmp_path)).collect()
+    assert [tuple(r)[1:] for r in got if r.file_id == "plain.csv"] == [("1", "2", "3", [])] * 100
+    want = [(*[*r, "", "", ""][:3], r[3:]) for r in rows]
+    assert sorted(tuple(r)[1:] for r in got if r.file_id == "torn.csv") == sorted(want)
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+    (tmp_path / "other.csv").write_bytes(b"x,y\n")
+    with pytest.raises(ValueError, match="different headers"):
+        tables.read_csv(spark, str(tmp_path))

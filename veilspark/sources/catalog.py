@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .csvtext import RECORD, csv_cells, csv_row
 from .docx import docx_units
 from .nested import text_leaves
 from .sqldump import literals, split_statements
@@ -108,37 +109,6 @@ def catalog_rejects(files: DataFrame) -> DataFrame:
     return split_allowed(named)[1].select("path", "file_type", "reason")
 
 
-# A CSV record, and a CSV cell with the separator that ends it; quoted parts may hold separators.
-RECORD = r'(?s)(?:[^"\r\n]++|"[^"]*+"|")++'
-_CELL = r'(?s)((?:[^",]++|"[^"]*+"|")*+),'
-# Label of cells beyond the header's width.
-EXTRA = "extra"
-
-
-def csv_raw_cells(record: Column) -> Column:
-    """The cells of a record as they are written."""
-    return F.regexp_extract_all(F.concat(record, F.lit(",")), F.lit(_CELL), F.lit(1))
-
-
-def csv_cell(raw: Column) -> Column:
-    """What a cell says: outer quotes taken off, doubled quotes single."""
-    inner = F.regexp_replace(raw, r'(?s)^"(.*)"\z', "$1")
-    return F.replace(inner, F.lit('""'), F.lit('"'))
-
-
-def csv_cells(record: Column) -> Column:
-    return F.transform(csv_raw_cells(record), csv_cell)
-
-
-def csv_row(names: Column, record: Column) -> Column:
-    """`name: value | name: value`; cells that the record lacks are blank, cells beyond the header
-    are labelled `extra`."""
-    pairs = F.zip_with(
-        names, csv_cells(record),
-        lambda k, v: F.concat(F.coalesce(k, F.lit(EXTRA)), F.lit(": "), F.coalesce(v, F.lit(""))))
-    return F.array_join(pairs, " | ")
-
-
 def _csv_units(files: DataFrame) -> DataFrame:
     """Rendered rows of CSV files, each with its own header."""
     records = F.regexp_extract_all("_text", F.lit(RECORD), F.lit(0))

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from ..operators.mask import replace_all
 from . import sqldump
-from .catalog import RECORD, csv_cell, csv_cells, csv_raw_cells, csv_row, file_type, oversized_files, read_files
+from .catalog import file_type, oversized_files, read_files
+from .csvtext import RECORD, csv_cell, csv_cells, csv_raw_cells, csv_row
 from .docx import docx_units
 from .nested import text_leaves
 

@@ -1,25 +1,16 @@
 """Statements of SQL dumps, and the literals of INSERT and UPDATE statements.
 
 Dumps are cut at ";\\n", so one file is read by many tasks. A literal may hold that separator; then
-a piece ends inside it. Whether a piece begins inside a literal depends on all text before it, but
-only through one of four states: outside, in single quotes, in double quotes, in a comment. So each piece, and
-each split of a file, is a function from the state before it to the state after it. One pass
-composes the pieces of a split; the splits of a file (one small row each) are composed in order;
-and a second pass, which knows the state at the beginning of its split, says where each statement
-begins. No task reads more than its own split, and only pieces of torn statements are shuffled.
+a piece ends inside it, and `torn` puts its pieces together again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import EDGES
-from ..operators.skew import written
+from . import torn
 
 _COMMENT = r"--[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/"
 # A statement: stretches without ";" and quotes, comments, quoted literals, or a quote left alone.
@@ -30,7 +21,6 @@ STATEMENT = rf"""(?s)(?:[^;'"/-]++|{_COMMENT}|'[^']*+'|"[^"]*+"|['"/-])++"""
 _CLOSED = rf"""(?s){_COMMENT}|'[^']*+'|"[^"]*+\""""
 
 OUTSIDE, SINGLE, DOUBLE, COMMENT = range(4)
-STATES = [OUTSIDE, SINGLE, DOUBLE, COMMENT]
 
 
 def read_dump(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
@@ -43,15 +33,8 @@ def read_dump(spark: SparkSession, path: str, whole_files: bool = False) -> Data
     if whole_files:
         raw = spark.read.text(path, wholetext=True)
         return split_statements(raw.select(F.col("_metadata.file_name").alias("file_id"), "value"), "value")
-    raw = spark.read.option("lineSep", ";\n").text(path).select(
-        F.col("_metadata.file_name").alias("file_id"), F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_block"), "value",
-    ).withColumn("_ends", end_states(F.col("value")))
-    torn = raw.where(F.col("_ends")[OUTSIDE] != OUTSIDE).select("_path").distinct()
-    torn = written(torn, "torn-dumps")
-    if torn.isEmpty():
-        return split_statements(raw.select("file_id", "value"), "value")
-    return split_statements(_rejoined(raw, torn), "value")
+    pieces = torn.read_pieces(spark, path, ";\n", end_states)
+    return split_statements(torn.rejoined(pieces, ";\n").select("file_id", "value"), "value")
 
 
 def end_states(text: Column) -> Column:
@@ -67,93 +50,6 @@ def end_states(text: Column) -> Column:
     return F.array(from_outside(text), from_inside(SINGLE, "'"), from_inside(DOUBLE, '"'), from_inside(COMMENT, "*/"))
 
 
-def _walk(texts: bool):
-    """Over the pieces of each split, in order. For each state before the split: the state after
-    the pieces read so far, and the number of the piece where the open statement begins (-1: before
-    the split). With `texts` a row per piece, as it finds things; else a row per split, at its end."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, states, begins, row = None, None, None, 0
-
-        def summary():
-            return pa.RecordBatch.from_arrays(
-                [pa.array([split[0]]), pa.array([split[1]], pa.int64()), pa.array([states], pa.list_(pa.int32())),
-                 pa.array([begins], pa.list_(pa.int64()))], ["_path", "_block", "states", "begins"])
-
-        for batch in batches:
-            paths, blocks, ends = (batch.column(batch.schema.get_field_index(c)).to_pylist()
-                                   for c in ("_path", "_block", "_ends"))
-            rows, before, started = [], [], []
-            for path, block, end in zip(paths, blocks, ends):
-                if (path, block) != split:
-                    if split and not texts:
-                        yield summary()
-                    split, states, begins, row = (path, block), STATES, [-1] * len(STATES), 0
-                begins = [row if s == OUTSIDE else b for s, b in zip(states, begins)]
-                rows.append(row)
-                before.append(states)
-                started.append(begins)
-                states = [end[s] for s in states]
-                row += 1
-            if texts and rows:
-                columns = [pa.array(rows, pa.int64()), pa.array(before, pa.list_(pa.int32())),
-                           pa.array(started, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, *columns], [*batch.schema.names, "_row", "states", "begins"])
-        if split and not texts:
-            yield summary()
-
-    return run
-
-
-def _splits(raw: DataFrame) -> DataFrame:
-    """(_path, _block, state, begin_block, begin_row): how each split begins, and where the statement
-    begins that is open there. The splits of a file are folded in order, one small row each."""
-    schema = "_path string, _block bigint, states array<int>, begins array<bigint>"
-    each = raw.select("_path", "_block", "_ends").mapInArrow(_walk(False), schema)
-    # a long literal may fill splits without any piece of their own; these have no row
-    in_order = F.sort_array(F.collect_list(F.struct("_block", "states", "begins")))
-    files = each.groupBy("_path").agg(in_order.alias("s"))
-
-    def fold(batches):
-        import pandas as pd
-
-        for batch in batches:
-            out = []
-            for path, splits in zip(batch["_path"], batch["s"]):
-                state, block, row = OUTSIDE, None, None
-                for split in splits:
-                    out.append((path, split["_block"], state, block, row))
-                    if split["begins"][state] >= 0:
-                        block, row = split["_block"], split["begins"][state]
-                    state = split["states"][state]
-            yield pd.DataFrame(out, columns=["_path", "_block", "state", "begin_block", "begin_row"])
-
-    return files.mapInPandas(
-        fold, "_path string, _block bigint, state int, begin_block bigint, begin_row bigint")
-
-
-def _rejoined(raw: DataFrame, torn: DataFrame) -> DataFrame:
-    """(file_id, value) with the pieces of torn statements joined. The splits that begin inside a
-    literal are few; Spark broadcasts their table as long as it is small."""
-    inside = written(_splits(raw).join(torn, "_path", "left_semi").where(F.col("state") != OUTSIDE), "torn-splits")
-    schema = T.StructType([*raw.schema, *T.StructType.fromDDL("_row bigint, states array<int>, begins array<bigint>")])
-    pieces = raw.mapInArrow(_walk(True), schema).join(inside, ["_path", "_block"], "left")
-    state = F.coalesce("state", F.lit(OUTSIDE))
-    begin = F.get("begins", state)
-    known = pieces.withColumns({
-        "_before": F.get("states", state), "_after": F.get("_ends", F.get("states", state)),
-        "_at_block": F.when(begin >= 0, F.col("_block")).otherwise(F.col("begin_block")),
-        "_at_row": F.when(begin >= 0, begin).otherwise(F.col("begin_row")),
-    })
-    is_whole = (F.col("_before") == OUTSIDE) & (F.col("_after") == OUTSIDE)
-    whole = known.where(is_whole).select("file_id", "value")
-    parts = F.sort_array(F.collect_list(F.struct("_block", "_row", "value")))
-    joined = known.where(~is_whole).groupBy("file_id", "_path", "_at_block", "_at_row").agg(
-        F.array_join(F.transform(parts, lambda p: p["value"]), ";\n").alias("value"))
-    return whole.unionByName(joined.select("file_id", "value"))
-
-
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, EDGES, "")
 

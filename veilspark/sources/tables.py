@@ -5,35 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FILE = "_metadata.file_name"
+from . import torn
+from .csvtext import csv_cells
 
+# Cells beyond the header's width.
+EXTRA = "extra"
 
-def has_line_breaks_in_cells(spark: SparkSession, path: str) -> bool:
-    """True if some physical line holds an odd number of quotes, i.e. a quoted cell goes on
-    in the next line."""
-    lines = spark.read.text(path)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not lines.where(quotes % 2 == 1).isEmpty()
 
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file_id, _path, _block, _row, value): the records of CSV files as they are written, ordered
+    by _block and _row within a file. Lines are pieces; cells may hold line breaks. Every file is
+    split freely, and one file with breaks in its cells changes nothing for the others."""
+    def end_states(line):
+        odd = (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2
+        return F.array(odd, 1 - odd)
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
-    """All columns as strings, blanks as "", plus `file_id` (the file's name).
+    records = torn.rejoined(torn.read_pieces(spark, path, "\n", end_states), "\n")
+    value = F.regexp_replace("value", r"\r\z", "")
+    return records.withColumn("value", value)
 
-    Files with line breaks inside cells cannot be split, so one file is one task. Unless
-    told, a scan for unbalanced quotes decides; all other files are split freely.
-    All files of one call must have the same header.
+
+def read_csv(spark: SparkSession, path: str, extra: str | None = EXTRA) -> DataFrame:
+    """All columns as strings, blanks as "", plus `file_id` (the file's name) and, as an array named
+    `extra` (None: left out), the cells that a record has beyond the header's width. Cells that it
+    lacks are "". Blank lines are no records.
+
+    All files of one call must have the same header, else ValueError.
     """
-    if multi_line is None:
-        multi_line = has_line_breaks_in_cells(spark, path)
-    raw = (
-        spark.read.option("header", True).option("inferSchema", False)
-        .option("multiLine", multi_line).option("quote", '"').option("escape", '"')
-        .option("enforceSchema", False).option("nullValue", "").option("emptyValue", "")
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
-    cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns]
-    return raw.select(F.col(FILE).alias("file_id"), *cells)
+    records = read_records(spark, path)
+    first = (F.col("_block") == 0) & (F.col("_row") == 0)
+    headers = records.where(first).select(F.regexp_replace("value", "^\ufeff", "").alias("h")).distinct().take(2)
+    if len(headers) != 1:
+        raise ValueError(f"{path}: files with different headers" if headers else f"{path}: no file with a header")
+    names = spark.range(1).select(csv_cells(F.lit(headers[0].h)).alias("n")).first().n
+    rows = records.where(~first & (F.col("value") != "")).select("file_id", csv_cells(F.col("value")).alias("_cells"))
+    cells = [F.coalesce(F.get("_cells", F.lit(k)), F.lit("")).alias(name) for k, name in enumerate(names)]
+    beyond = F.slice("_cells", len(names) + 1, F.greatest(F.size("_cells") - len(names), F.lit(0)))
+    return rows.select("file_id", *cells, *([beyond.alias(extra)] if extra else []))
 
 
 def render_row(columns: list[str]) -> Column:
