@@ -4,6 +4,8 @@ columns. And what each method must find."""
 import hashlib
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -346,3 +348,56 @@ def test_pipeline_stages(spark, sf_dir, path):
     assert re.fullmatch("[0-9a-f]{64}", last[0].ids_sha256)
     run = corpus_pipeline.run(spark, sf_dir)
     assert run.count() > 0.5 * len(by_id)
+
+
+@pytest.mark.parametrize("letter", ["a", "文", " ", "7"])
+def test_one_endless_pre_token_takes_linear_time(path, letter):
+    def seconds(n):
+        start = time.perf_counter()
+        tool = bpe.Encoder(path)
+        ids = tool.encode("x. " + letter * n + " and on it's")
+        assert len(tool.words) < 100 and tool.decode(ids).count(letter) >= n
+        return time.perf_counter() - start
+
+    short, long = seconds(100_000), seconds(400_000)
+    assert long < 5 * max(short, 0.2)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_long_runs_next_to_words(path, seed):
+    """Pre-tokens that span many chunks, between others that do not."""
+    rng, tool = random.Random(seed), bpe.Encoder(path)
+    runs = ["a", "文", " ", "\n", "1", "!?", "é", "'"]
+    for _ in range(10):
+        text = "".join(rng.choice([rng.choice(runs) * rng.randint(1, 30_000), "it's ", " 12 hello world ", "𝒳y"])
+                       for _ in range(rng.randint(1, 6)))
+        assert tool.encode(text).tolist() == tool.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_every_tokenizers_file_of_the_package(path):
+    """Files with other rules are encoded by their own."""
+    texts = ["", "Hello  World, it's 2024!", "Ünïcode\n\n文字 <|endoftext|>", "x" * 20_000, LONG[:5000]]
+    files = sorted(Path(path).parent.glob("*.json"))
+    assert len(files) > 1
+    for file in files:
+        tool = bpe.Encoder(str(file))
+        for text in texts:
+            ids = tool.tokenizer.encode(text, add_special_tokens=False).ids
+            assert tool.encode(text).tolist() == ids
+            assert tool.decode(np.array(ids, np.uint32)) == tool.tokenizer.decode(ids, skip_special_tokens=False)
+    assert sum(bpe.Encoder(str(f)).chunked for f in files) == 1
+
+
+SENTENCES = {
+    "hi": "यह एक साफ़ वाक्य है जिसमें आठ से अधिक शब्द {} हैं।", "bn": "এটি একটি পরিষ্কার বাক্য যাতে আটটির বেশি শব্দ {} আছে।",
+    "ur": "یہ ایک صاف جملہ ہے جس میں آٹھ سے زیادہ الفاظ {} ہیں۔", "th": "นี่คือ ประโยค ที่ สะอาด และ มี คำ มากกว่า แปด คำ {} แน่นอน",
+    "am": "ይህ ንጹህ ዓረፍተ ነገር ነው ከስምንት በላይ ቃላት {} አሉት።", "hy": "Սա մաքուր նախադասություն է որն ունի ութից ավելի բառ {}։",
+}
+
+
+@pytest.mark.parametrize("lang", SENTENCES)
+def test_clean_documents_of_all_scripts_are_kept(lang):
+    text = "\n".join(SENTENCES[lang].format(f"{k}x{k}") for k in range(6))
+    assert quality_rules.judge(text)[0]["kept"] and quality_rules.judge(text)[1] == text
+    plain = "one two three four five six seven eight nine"
+    assert quality_rules.line_fails(plain, quality_rules.words_of(plain))

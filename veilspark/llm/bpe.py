@@ -10,7 +10,12 @@ into pre-tokens from left to right, and a split depends only on where it starts
 characters it looks at. Each join is therefore repaired: from the last pre-token start of the
 left side that its own end cannot have influenced, the text is encoded again into the right
 chunk, further and further, until the new split meets a pre-token start of the right chunk.
-From there on both agree exactly, and the right chunk's ids are taken over.
+From there on both agree exactly, and the right chunk's ids are taken over. A pre-token that goes on
+over many chunks (one letter a million times) has no start to meet: then the stretch encoded again
+doubles, so that the whole stays linear in the text.
+
+A file whose normalizer, pre-tokenizer or decoder is another than this encoder's is left to the
+library, text by text.
 
 Cases. Null or empty text: no ids, empty decoded text. A chunk never ends within the text of
 an added token, since such texts are cut out first. Long runs without a cut are chunks of at
@@ -21,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import re
 import struct
 from collections import OrderedDict
@@ -38,6 +44,7 @@ MASK = 511  # a cut every 512 code points on average
 MIN_CHUNK, MAX_CHUNK = 64, 8192
 CACHED = 12_000_000  # code points of cached chunks per worker, about 60 MB
 CACHED_WORDS = 300_000  # pre-tokens whose ids a worker remembers, about 60 MB
+WORD_CHARS = 64  # longer pre-tokens are not remembered
 # A pre-token's end is certain only if the text goes on by so many characters after its start:
 # the longest contraction has three.
 LOOKAHEAD = 3
@@ -64,6 +71,18 @@ class Chunk(NamedTuple):
     firsts: np.ndarray  # index of each pre-token's first id
 
 
+def _byte_level(spec: dict) -> bool:
+    """Is a tokenizer file of the kind that this encoder spells out?"""
+    before, after, model = (spec.get(k) or {} for k in ("pre_tokenizer", "decoder", "model"))
+    plain = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    return (
+        spec.get("normalizer") is None and before.get("type") == after.get("type") == "ByteLevel"
+        and before.get("use_regex", True) and not before.get("add_prefix_space")
+        and model.get("type") == "BPE" and not any(model.get(k) for k in plain)
+        and not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word"))
+    )
+
+
 def cuts(text: str) -> list[int]:
     """Ends of the content-defined chunks of a text; the last one is its length."""
     n = len(text)
@@ -100,11 +119,14 @@ class Encoder:
         self.tokenizer.no_padding()
         added = self.tokenizer.get_added_tokens_decoder()
         self.added = {t.content: i for i, t in added.items() if t.content}
+        self.pieces = {}
         back = {chr(c): bytes([b]) for b, c in _BYTES.items()} | {chr(b): bytes([b]) for b in _PRINTED}
-        self.pieces = {
-            i: b"".join(map(back.__getitem__, piece))
-            for piece, i in self.tokenizer.get_vocab(with_added_tokens=False).items()
-        } | {i: t.encode() for t, i in self.added.items()}
+        self.chunked = _byte_level(json.loads(self.tokenizer.to_str()))
+        if self.chunked:
+            self.pieces = {
+                i: b"".join(map(back.__getitem__, piece))
+                for piece, i in self.tokenizer.get_vocab(with_added_tokens=False).items()
+            } | {i: t.encode() for t, i in self.added.items()}
         self.cache: OrderedDict[str, Chunk] = OrderedDict()
         self.cached = 0
         self.words: dict[str, bytes] = {}
@@ -136,7 +158,9 @@ class Encoder:
         """Packed ids of one pre-token, remembered."""
         spelled = word.encode().decode("latin-1").translate(_BYTES)
         ids = [t.id for t in self.model.tokenize(spelled)]
-        self.words[word] = packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= WORD_CHARS:
+            self.words[word] = packed
         return packed
 
     def _chunk(self, text: str) -> Chunk:
@@ -173,11 +197,18 @@ class Encoder:
         out: list[np.ndarray] = []
         # `left`: what is known from pre-token `at` on, a chunk that begins at `origin`
         origin, left, at, end = 0, self._chunk(text[: ends[0]]), 0, ends[0]
-        for right_end in ends[1:]:
-            right = self._chunk(text[end:right_end])
+        n, taken = 1, 1  # chunks done, and chunks that the next right side takes
+        while n < len(ends):
+            right_end = ends[min(n + taken, len(ends)) - 1]
+            n += taken
             k = self._certain(left, end - origin, at)
             out.append(left.ids[left.firsts[at] : left.firsts[k]])
             begin = origin + int(left.starts[k])
+            if taken > 1:  # a pre-token is open that no chunk has ended
+                origin, left, at, end = begin, self._split(text[begin:right_end]), 0, right_end
+                taken = 1 if self._certain(left, end - origin, 0) else 2 * taken
+                continue
+            right = self._chunk(text[end:right_end])
             known = {int(s): i for i, s in enumerate(right.starts)}
             reach, joined = 64, None
             while joined is None:
@@ -193,7 +224,7 @@ class Encoder:
                     break  # the whole right chunk belongs to the repaired part
                 reach *= 4
             if joined is None:
-                origin, left, at = begin, again, 0
+                origin, left, at, taken = begin, again, 0, 2
             else:
                 out.append(joined[0])
                 origin, left, at = end, right, joined[1]
@@ -203,6 +234,8 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text, special tokens recognised, none added."""
+        if not self.chunked:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         parts: list[np.ndarray] = []
         at = 0
         while True:
@@ -218,6 +251,8 @@ class Encoder:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, special tokens included: the bytes of their pieces."""
+        if not self.chunked:
+            return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
         whole = b"".join(map(self.pieces.__getitem__, ids.tolist()))
         return whole.decode("utf-8", "replace")
 

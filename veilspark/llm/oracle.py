@@ -35,7 +35,8 @@ judged AS (
   SELECT doc_id, chars, again,
     again OR 10 * symbols > 3 * n OR (n >= 2 AND separators >= 2 AND 5 * separators >= n)
     OR (capitals >= 6 AND letters >= 8 AND 10 * capitals > 7 * letters AND 3 * shouts >= n)
-    OR (n >= 10 AND 2 * most >= n) OR (n >= 8 AND NOT regexp_matches(line, '[{rules.STOPS}]'))
+    OR (n >= 10 AND 2 * most >= n) OR (n >= 8 AND NOT regexp_matches(line, '[{rules.STOPS}]')
+      AND 2 * length(regexp_replace(line, '[^{rules.MARKED}]', '', 'g')) >= chars)
     OR {_BOILERPLATE} AS fails FROM measured),
 by_line AS (
   SELECT doc_id, count(*) FILTER (again) AS n_dup_lines,

@@ -8,7 +8,9 @@ Lines are cut at \\n; a line without a word is neither judged nor counted. A lin
 - shouting     8 or more ASCII letters, more than 7 in 10 of them capitals, and "!" in 1 word in 3;
 - repetition   10 or more words, half of them or more the same word;
 - boilerplate  one of the phrases of web pages below;
-- punctuation  8 or more words without any of . ! ? … 。 ！ ？ : ; anywhere;
+- punctuation  8 or more words without any sentence mark (`STOPS`, of all scripts that have one)
+               anywhere; a line mostly in a script without such marks (Thai, Khmer, Tibetan, …), or in
+               one that is not known, is not judged by it;
 - duplicate    equal to an earlier line of the document.
 
 The document is rejected if more than half of its word characters stood in failing lines.
@@ -31,7 +33,9 @@ from .common import column, map_arrow, map_batches, take_columns, texts
 # Characters and phrases the rules look for.
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = frozenset(["|", ">", "»", "·", "•"])
-STOPS = ".!?…。！？:;"
+STOPS = ".!?…。！？:;।॥؟۔؛։՞՜።፧፨׃᙮"
+# Scripts whose sentences end in one of these marks, and characters common to all scripts.
+MARKED = "!-~¡-ʯ\u0370-\u0dff\u1200-\u139f\u1400-\u167f\u1e00-\u1fff\u2010-\u2bff\u3000-\u30ff\u3400-\u9fff\uac00-\ud7a3\uff00-\uffef"
 BOILERPLATE = (
     "all rights reserved", "accept cookies", "cookie policy", "privacy policy", "terms of service",
     "terms of use", "javascript is disabled", "enable javascript", "click here to", "sign up for our",
@@ -44,7 +48,7 @@ MAX_LOST_PERCENT = 50
 WINDOW = 5
 
 _SYMBOL = re.compile("[" + re.escape(SYMBOLS) + "]")
-_STOP = re.compile("[" + STOPS + "]")
+_STOP, _MARKED = re.compile("[" + STOPS + "]"), re.compile("[" + MARKED + "]")
 _CAPITAL, _SMALL = re.compile("[A-Z]"), re.compile("[a-z]")
 _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)))
 
@@ -86,7 +90,7 @@ def line_fails(line: str, words: list[bytes]) -> bool:
         return True
     if n >= 10 and 2 * Counter(words).most_common(1)[0][1] >= n:
         return True
-    if n >= 8 and not _STOP.search(line):
+    if n >= 8 and not _STOP.search(line) and (line.isascii() or 2 * len(_MARKED.findall(line)) >= chars_in(words)):
         return True
     return bool(_BOILERPLATE.search(line.lower()))
 
