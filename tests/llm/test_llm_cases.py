@@ -397,7 +397,9 @@ SENTENCES = {
 
 @pytest.mark.parametrize("lang", SENTENCES)
 def test_clean_documents_of_all_scripts_are_kept(lang):
-    text = "\n".join(SENTENCES[lang].format(f"{k}x{k}") for k in range(6))
+    # lines differ in every word but the last, which carries the mark
+    *first, last = SENTENCES[lang].format("12").split()
+    text = "\n".join(" ".join([*(f"{w}{k}" for w in first), last]) for k in range(6))
     assert quality_rules.judge(text)[0]["kept"] and quality_rules.judge(text)[1] == text
     plain = "one two three four five six seven eight nine"
     assert quality_rules.line_fails(plain, quality_rules.words_of(plain))
