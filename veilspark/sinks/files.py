@@ -20,7 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 STAGED = "_staged"
 
 
-def _file_system(path: str):
+def file_system(path: str):
+    """(file system, path in it) of a folder that Spark or pyarrow names."""
     from pyarrow import fs
 
     if path.startswith("file:/") and not path.startswith("file://"):
@@ -50,7 +51,7 @@ class _Writer(DataSourceWriter):
         self.job = uuid.uuid4().hex
 
     def write(self, rows: Iterator) -> Written:
-        fs, root = _file_system(self.path)
+        fs, root = file_system(self.path)
         folder = posixpath.join(root, STAGED, self.job, uuid.uuid4().hex)
         names, out = [], None
         try:
@@ -73,7 +74,7 @@ class _Writer(DataSourceWriter):
         return Written(folder, names)
 
     def commit(self, messages: list) -> None:
-        fs, root = _file_system(self.path)
+        fs, root = file_system(self.path)
         for m in messages:
             for name in m.names if m else []:
                 target = posixpath.join(root, name)
@@ -82,7 +83,7 @@ class _Writer(DataSourceWriter):
         self._clean(fs, root)
 
     def abort(self, messages: list) -> None:
-        self._clean(*_file_system(self.path))
+        self._clean(*file_system(self.path))
 
     def _clean(self, fs, root: str) -> None:
         from pyarrow.fs import FileType

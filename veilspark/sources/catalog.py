@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .blocks import BLOCK, merkle, read_blocks, roots
 from .csvtext import RECORD, csv_cells, csv_row
 from .docx import docx_units
 from .nested import text_leaves
@@ -86,9 +87,25 @@ def catalog_rows(files: DataFrame, uploaded_by: int) -> DataFrame:
     ).where(is_allowed(F.col("file_type")))
 
 
+def catalog_of_any_size(spark: SparkSession, path: str, uploaded_by: int, block: int = BLOCK) -> DataFrame:
+    """`catalog_rows` of a folder whose files may be larger than one value: `file_hash` is the root of
+    the file's Merkle tree, and no task holds a file. `id` and names follow from the path."""
+    tree = roots(merkle(read_blocks(spark, path, block)))
+    kind = file_type(F.col("file_id"))
+    full = F.concat(F.lit(path.rstrip("/") + "/"), "file_id")
+    return tree.select(
+        F.xxhash64(full).alias("id"), F.regexp_extract("file_id", r"([^/]*)\z", 1).alias("original_filename"),
+        stored_name(full, kind).alias("stored_filename"), kind.alias("file_type"), full.alias("original_path"),
+        F.lit(None).cast("string").alias("sanitized_path"), F.col("fingerprint").alias("file_hash"),
+        F.lit("uploaded").alias("status"), F.lit(uploaded_by).alias("uploaded_by"),
+        F.current_timestamp().alias("created_at"), "n_bytes",
+    ).where(is_allowed(F.col("file_type")))
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Files of a folder with their bytes; larger files than a value can hold are left to
-    the splittable readers of their type and listed by `oversized_files`."""
+    the splittable readers of their type and listed by `oversized_files`; their fingerprints are
+    those of `catalog_of_any_size`."""
     return _binary(spark, path).where(F.col("length") <= MAX_BYTES)
 
 
