@@ -30,7 +30,9 @@ class DetectConfig:
     structured      use `label: value` pairs found in the text
     recogniser      "cue" (name shapes and known places) or "none"
     ner_fn          optional `fn(text) -> [(start, end, label)]` with labels PERSON, GPE,
-                    LOC, FAC; replaces the built-in recogniser
+                    LOC, FAC; replaces the built-in recogniser (see `operators.tagger`)
+    ner_col         optional column of such spans, as (start, end, label), found before; with
+                    `ner_fn` both count
     min_confidence  drop results below this value
     window          characters of context on each side
     """
@@ -39,6 +41,7 @@ class DetectConfig:
     structured: bool = True
     recogniser: str = "cue"
     ner_fn: Callable | None = None
+    ner_col: str | None = None
     min_confidence: float = 0.0
     window: int = C.CONTEXT_WINDOW
 

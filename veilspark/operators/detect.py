@@ -36,8 +36,11 @@ def add_candidates(
     found = {f"_m_{p}": F.expr(patterns.find_pieces(t, p, cfg.strict)) for p in C.PATTERNS}
     if cfg.structured:
         found["_m_pairs"] = F.expr(fields.find_pairs(t))
-    if cfg.ner_fn is not None:
-        found["_m_entities"] = recogniser.entity_column(F.col(text), cfg.ner_fn)
+    by_model = cfg.ner_fn is not None or cfg.ner_col is not None
+    if by_model:
+        given = [F.col(cfg.ner_col)] if cfg.ner_col else []
+        given += [recogniser.entity_column(F.col(text), cfg.ner_fn)] if cfg.ner_fn else []
+        found["_m_entities"] = F.array_distinct(F.concat(*given))
     elif cfg.recogniser == "cue":
         found["_m_PERSON_NAME"] = F.expr(recogniser.find_people(t))
         found["_m_ADDRESS"] = F.expr(recogniser.find_places(t))
@@ -47,7 +50,7 @@ def add_candidates(
         for p in C.PATTERNS
     ]
     for kind in NER_TYPES:
-        if cfg.ner_fn is not None:
+        if by_model:
             spans = recogniser.model_spans(b, "_m_entities", kind)
         elif cfg.recogniser == "cue":
             spans = recogniser.cue_spans(f"_m_{kind}", kind)
