@@ -113,6 +113,24 @@ def o2_variant(spark, sf_dir):
     return nested.leaf_rows(nested.typed_variant(parsed, "doc"), "doc", ["c_custkey"])
 
 
+# Values of three shapes that no one schema fits.
+_SHAPES = """
+CASE c_custkey % 3 WHEN 0 THEN to_json(named_struct('person', named_struct('phone', mobile, 'n', c_custkey)))
+  WHEN 1 THEN to_json(named_struct('person', full_name)) ELSE concat('[', c_custkey, ',', to_json(array(named_struct('pan', pan))), ', null, true]') END"""
+
+
+@check("o2_mixed_shapes", ctes(p=PEOPLE) + """
+SELECT c_custkey, 'person.phone' AS path, 'phone' AS label, mobile AS text, true AS is_string FROM p WHERE c_custkey % 3 = 0
+UNION ALL SELECT c_custkey, 'person.n', 'n', CAST(c_custkey AS STRING), false FROM p WHERE c_custkey % 3 = 0
+UNION ALL SELECT c_custkey, 'person', 'person', full_name, true FROM p WHERE c_custkey % 3 = 1
+UNION ALL SELECT c_custkey, '[]', '', CAST(c_custkey AS STRING), false FROM p WHERE c_custkey % 3 = 2
+UNION ALL SELECT c_custkey, '[][].pan', 'pan', pan, true FROM p WHERE c_custkey % 3 = 2
+UNION ALL SELECT c_custkey, '[]', '', 'true', false FROM p WHERE c_custkey % 3 = 2""")
+def o2_shapes(spark, sf_dir):
+    docs = derive(spark, sf_dir, PEOPLE).select("c_custkey", F.parse_json(F.expr(_SHAPES)).alias("doc"))
+    return nested.variant_leaves(docs, "doc", ["c_custkey"])
+
+
 @check("o11_json_rendering", ctes(p=PEOPLE) + """
 SELECT c_custkey, concat('{', chr(10), '  "full_name" : "', full_name, '",', chr(10), '  "mobile" : "', mobile, '"', chr(10), '}') AS text FROM p""")
 def o11(spark, sf_dir):

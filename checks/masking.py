@@ -8,6 +8,7 @@ from veilspark.config import KEY_CONF, scratch_dir
 from veilspark.operators import mask, vault
 from veilspark.operators.detect import add_detections, explode_detections
 from veilspark.plans import batch
+from veilspark.sources import nested
 from veilspark.streaming import arrivals
 
 from . import oracle as O
@@ -142,6 +143,21 @@ def o94_numbers(spark, sf_dir):
         "unit_id", "d.phone", "d.accounts[0] AS account", "d.plain_number")
 
 
+# Documents of two shapes, as VARIANT; a phone number as a number.
+@check("o94_variant_mask", ctes(**_TABLE_DET) + f"""
+SELECT unit_id, CASE WHEN unit_id % 2 = 0 THEN {fold('mobile', 'm')} END AS phone, CASE WHEN unit_id % 2 = 0 THEN {fold('pan', 'm')} END AS pan,
+  CASE WHEN unit_id % 2 = 1 THEN {fold('full_name', 'm')} END AS name, CASE WHEN unit_id % 2 = 1 THEN {fold('email', 'm')} END AS mail
+FROM tab JOIN ({_ROW_DICTIONARY}) USING (unit_id, file_id)""")
+def o94_variant(spark, sf_dir):
+    table = derive(spark, sf_dir, _TABLE).join(_row_mappings(spark, sf_dir), KEYS)
+    text = F.expr("CASE WHEN unit_id % 2 = 0 THEN concat('{\"a\": {\"phone\": ', mobile, ', \"pan\": [\"', pan, '\"]}}') "
+                  "ELSE concat('[', to_json(named_struct('name', full_name)), ', ', to_json(named_struct('mail', array(email))), ']') END")
+    masked = nested.mask_variant(F.parse_json(text), F.col("mapping"))
+    docs = table.select("unit_id", masked.alias("v"))
+    paths = {"phone": "$.a.phone", "pan": "$.a.pan[0]", "name": "$[0].name", "mail": "$[1].mail[0]"}
+    return docs.select("unit_id", *[F.try_variant_get("v", p, "string").alias(n) for n, p in paths.items()])
+
+
 def _texts_check(name, sql_text):
     """Mask statement, paragraph or page texts of each row with the row's mapping."""
     sql = ctes(**_TABLE_DET) + (

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.mask import replace_all
+from ..operators.skew import written
+
 LEAVES = "array<struct<path:string,label:string,text:string,is_string:boolean>>"
 
 
@@ -104,6 +107,79 @@ def text_leaves(text: str) -> Column:
     return F.udf(leaves_of, LEAVES, useArrow=True)(F.col(text))
 
 
+CONTAINER = r"^(?:OBJECT|ARRAY)<"
+
+
+def variant_leaves(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """(keys, path, label, text, is_string): the leaves of a VARIANT column, each value by its own
+    shape; nulls inside give no leaf. `path` has `[]` for any place in an array, `label` is the
+    nearest key.
+
+    Level by level: what is not a container is a leaf, the containers are taken apart and go on. Each
+    level is written, so that the next one reads only what is left; there are as many as the deepest
+    value has, and no schema passes through the driver.
+    """
+    spark = df.sparkSession
+    blank = F.lit("")
+    level = df.select(*keys, blank.alias("path"), blank.alias("label"), F.col(column).alias("_v"))
+    found, number = None, 0
+    while True:
+        typed = level.where(F.col("_v").isNotNull()).withColumn("_kind", F.schema_of_variant("_v"))
+        level = written(typed.withColumn("_json", F.to_json("_v")).drop("_v"), f"variant-{number}")
+        here = level.where(~F.col("_kind").rlike(CONTAINER) & (F.col("_kind") != "VOID"))
+        value = F.parse_json("_json")
+        leaf = here.select(*keys, "path", "label", F.variant_get(value, "$", "string").alias("text"),
+                           (F.col("_kind") == "STRING").alias("is_string"))
+        found = leaf if found is None else found.unionByName(leaf)
+        inner = level.where(F.col("_kind").rlike(CONTAINER))
+        if inner.isEmpty():
+            return found
+        number += 1
+        parts = inner.select(*keys, "path", "label", value.alias("_v")).lateralJoin(
+            spark.tvf.variant_explode(F.col("_v").outer()).toDF("_pos", "_key", "_inner"))
+        child = F.when(F.col("path") == "", F.col("_key")).otherwise(F.concat_ws(".", "path", "_key"))
+        level = parts.select(
+            *keys, F.when(F.col("_key").isNull(), F.concat("path", F.lit("[]"))).otherwise(child).alias("path"),
+            F.coalesce("_key", "label").alias("label"), F.col("_inner").alias("_v"))
+
+
+# JSON strings and numbers; a string is a key where a colon follows.
+LITERAL = r'(?s)"(?:[^"\\]++|\\.)*+"|-?\d++(?:\.\d++)?(?:[eE][+-]?\d++)?'
+
+
+def literal_text(literal: Column) -> Column:
+    """What a JSON string or number literal says."""
+    parsed = F.get(F.from_json(F.concat(F.lit("["), literal, F.lit("]")), "array<string>"), F.lit(0))
+    return F.when(literal.startswith('"'), F.coalesce(parsed, literal)).otherwise(literal)
+
+
+def text_literal(text: Column) -> Column:
+    """The JSON string literal that says a text."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def mask_json(text: Column, mapping: Column) -> Column:
+    """A JSON text with the values of the mapping (value, token) replaced in its strings and numbers,
+    whatever its shape. Keys, blanks and all other literals stay as they are written; a number that
+    holds a value becomes a string."""
+    gaps = F.split(text, LITERAL, -1)
+    hits = F.regexp_extract_all(text, F.lit(LITERAL), F.lit(0))
+
+    def one(hit, i):
+        plain = literal_text(hit)
+        masked = replace_all(plain, mapping)
+        is_key = hit.startswith('"') & F.get(gaps, i + 1).rlike(r"^\s*:")
+        return F.concat(F.when(is_key | (masked == plain), hit).otherwise(text_literal(masked)), F.get(gaps, i + 1))
+
+    return F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(hits, one), ""))
+
+
+def mask_variant(value: Column, mapping: Column) -> Column:
+    """`mask_json` of a VARIANT, as a VARIANT."""
+    return F.parse_json(mask_json(F.to_json(value), mapping))
+
+
 def leaf_rows(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """One row per leaf of a nested column."""
     dtype = df.schema[column].dataType

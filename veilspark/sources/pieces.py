@@ -25,12 +25,10 @@ from . import sqldump
 from .catalog import file_type, oversized_files, read_files
 from .csvtext import RECORD, csv_cell, csv_cells, csv_raw_cells, csv_row
 from .docx import docx_units
-from .nested import text_leaves
+from .nested import LITERAL, literal_text, text_leaves, text_literal
 
 TEXT_TYPES = ["csv", "json", "sql"]
 
-# JSON strings and numbers; a string is a key where a colon follows.
-_JSON = r'(?s)"(?:[^"\\]++|\\.)*+"|-?\d++(?:\.\d++)?(?:[eE][+-]?\d++)?'
 # SQL up to the next separator outside of quotes.
 _SQL = r"""(?s)(?:[^'"(),;]++|'[^']*+'|"[^"]*+"|['"])++"""
 
@@ -116,21 +114,15 @@ def _cut(texts: DataFrame, pattern: str, *more: Column) -> DataFrame:
     return rows.select("file_id", "position", "p.*", *[c for c in rows.columns if c not in ("file_id", "position", "p")])
 
 
-def json_text(literal: Column) -> Column:
-    """What a JSON string or number literal says."""
-    parsed = F.get(F.from_json(F.concat(F.lit("["), literal, F.lit("]")), "array<string>"), F.lit(0))
-    return F.when(literal.startswith('"'), F.coalesce(parsed, literal)).otherwise(literal)
-
-
 def pieces(files: DataFrame) -> DataFrame:
     """(file_id, file_type, position, lead, raw, text) of CSV, JSON and SQL files. `text` is null
     where nothing is masked: headers, keys, and what follows the last piece."""
     records = _records(files).select(
         "file_id", F.lit("csv").alias("file_type"), "position", "lead", "raw", "text")
     is_key = F.col("raw").startswith('"') & F.col("next").rlike(r"^\s*:")
-    tokens = _cut(_texts(files, "json"), _JSON).select(
+    tokens = _cut(_texts(files, "json"), LITERAL).select(
         "file_id", F.lit("json").alias("file_type"), "position", "lead", "raw",
-        F.when(~is_key, json_text(F.col("raw"))).alias("text"))
+        F.when(~is_key, literal_text(F.col("raw"))).alias("text"))
     dumps = _cut(_texts(files, "sql"), _SQL).select(
         "file_id", F.lit("sql").alias("file_type"), "position", "lead", "raw", F.col("raw").alias("text"))
     return records.unionByName(tokens).unionByName(dumps)
@@ -154,10 +146,8 @@ def masked(piece: Column, kind: Column, text: Column, mapping: Column) -> Column
     """The piece with the values of its mapping (value, token) replaced, in its own format. JSON
     numbers that hold a value become strings. SQL is replaced as it is written."""
     plain = replace_all(text, mapping)
-    literal = F.to_json(F.array(plain))
-    literal = F.substring(literal, F.lit(2), F.length(literal) - 2)
     changed = (
         F.when(kind == "csv", _masked_cells(piece, mapping))
-        .when(kind == "json", F.when(plain == text, piece).otherwise(literal))
+        .when(kind == "json", F.when(plain == text, piece).otherwise(text_literal(plain)))
         .otherwise(replace_all(piece, mapping)))
     return F.when(mapping.isNull() | text.isNull(), piece).otherwise(changed)
