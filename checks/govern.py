@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilspark.operators import govern, risk
+from veilspark.config import scratch_dir
+from veilspark.operators import auditlog, govern, risk
+from veilspark.operators.skew import written
+from veilspark.sinks.writers import append_run
 
 from .data import AUDIT, FILES, PEOPLE, USERS, ctes, derive
 from .registry import check
@@ -140,3 +143,21 @@ SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'admin' ELSE 'user' END AS ro
 SELECT c_custkey, role, token, CASE WHEN role = 'admin' THEN value ELSE token END AS visible FROM r""")
 def o113(spark, sf_dir):
     return govern.role_view(derive(spark, sf_dir, _READERS))
+
+
+@check("o108_tampering_named", ctes(a=AUDIT, n="""
+SELECT CAST(id % 3 AS STRING) AS run_id, CAST(row_number() OVER (PARTITION BY id % 3 ORDER BY created_at, id) AS BIGINT) AS seq FROM a""") + """
+SELECT run_id, seq, CASE WHEN seq % 500 = 0 THEN 'removed' ELSE 'changed' END AS change FROM n WHERE seq % 500 = 0 OR seq % 77 = 5""")
+def o108_tampering(spark, sf_dir):
+    """Three runs leave their entries; some are deleted and some edited afterwards, digest and all."""
+    out = scratch_dir(spark, "audit")
+    events = derive(spark, sf_dir, AUDIT)
+    for k in range(3):
+        run_id = str(k)
+        rows = govern.audit_rows(events.where(F.col("id") % 3 == k), ["details"])
+        entries = auditlog.append(rows, out, run_id)
+        edited = entries.where("seq % 500 != 0").withColumn(
+            "user_id", F.when(F.col("seq") % 77 == 5, F.col("user_id") + 1).otherwise(F.col("user_id")))
+        edited = govern.with_digest(edited.drop("row_digest")).select(*entries.columns)
+        append_run(written(edited, "edited"), f"{out}/audit_logs", run_id)
+    return auditlog.verify(spark, out)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DetectConfig, secret_key
-from ..operators import risk, vault
+from ..operators import auditlog, govern, risk, vault
 from ..operators.detect import add_detections, explode_detections
 from ..operators.mask import MAPPING, mask_by_file, mask_texts, unit_tokens
 from ..operators.skew import written as stage
@@ -79,6 +79,7 @@ def run(
     label: str | None = None,
     scope: str = "file",
     partitions: int | None = None,
+    user_id: int | None = None,
 ) -> BatchResult:
     """Detect, score, tokenise and mask a table of units (file_id, unit_id, text).
 
@@ -92,6 +93,8 @@ def run(
 
     scope "file" replaces every occurrence of every value of the file, also where the context did
     not support it; "spans" replaces the detected positions only, and so leaves values in clear.
+
+    With a `user_id` the run leaves two audit entries per file, mask and report (see `auditlog`).
     """
     found = protect(units, out, run_id, cfg, label, partitions)
     # units that share an id but not their text must not get each other's spans
@@ -104,9 +107,25 @@ def run(
     masked = masked.drop("detections", "text", "text_hash")
     append_run(masked, f"{out}/masked", run_id)
     back = one_run(f"{out}/masked", run_id, masked)
+    if user_id is not None:
+        auditlog.append(audit_of(found.report, user_id), out, run_id)
     return BatchResult(found.detections, found.report, found.vault, found.tokens, back)
 
 
+def audit_of(report: DataFrame, user_id: int) -> DataFrame:
+    """Audit rows of a run over units: for each file that it was masked, and what was reported."""
+    events = report.select("*", F.explode(F.array(F.lit("mask"), F.lit("report"))).alias("action"))
+    is_report = F.col("action") == "report"
+    return govern.audit_rows(events.select(
+        F.xxhash64(F.col("file_id").cast("string"), "action", "created_at").alias("id"),
+        F.lit(user_id).cast("bigint").alias("user_id"), "action", F.lit("file").alias("resource_type"),
+        F.xxhash64(F.col("file_id").cast("string")).alias("resource_id"), F.lit(None).cast("string").alias("ip_address"),
+        "created_at", F.col("file_id").cast("string").alias("file_id"),
+        F.when(is_report, F.col("total_pii_found")).alias("total_pii_found"),
+        F.when(is_report, F.col("risk_score")).alias("risk_score"),
+    ), ["file_id", "total_pii_found", "risk_score"])
+
+
 def row_mapping(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Mapping (value, token) per unit from `unit_tokens`, for masking the cells of a row."""
     pairs = F.array_distinct(F.transform(
