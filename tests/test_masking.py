@@ -70,6 +70,34 @@ def test_few_places_of_a_text_are_sent(spark):
     assert winnow.minimisers(value)[0][1] in {r.gram for r in sent}
 
 
+def test_few_places_are_tried_among_many_numbers(spark, monkeypatch):
+    """With a value behind a fifth of all five digits, a text is still cut where values begin only."""
+    rng = random.Random(4)
+    numbers = ["".join(rng.choices("0123456789", k=10 + k % 8)) for k in range(20_000)]
+    text = "".join(rng.choices("0123456789", k=3000)) + numbers[7]
+    cut, tried = winnow._cut, []
+    monkeypatch.setattr(winnow, "_cut", lambda *a: tried.append(cut(*a)) or tried[-1])
+    values = spark.createDataFrame([("f", v) for v in numbers], "file_id string, value string")
+    texts = spark.createDataFrame([("f", 1, text)], "file_id string, unit_id int, text string")
+    found = [r.value for r in winnow.find_values(texts, values, ["file_id", "unit_id"]).collect()]
+    assert numbers[7] in found and set(found) == {v for v in numbers if v in text}
+    assert tried[0].count() <= 2 * len(found) + 5
+
+
+@pytest.mark.parametrize("many", [0, 200])
+def test_stretches_by_either_walk(spark, corpus, monkeypatch, many):
+    monkeypatch.setattr(winnow, "MANY_HEADS", many)
+    tried = [{"head": "abcabcabca", "lengths": [10, 12]}, {"head": "bcabcabcab", "lengths": [11]}]
+    text = "abc" * 5
+    want = [text[p : p + n] for p in (0, 3) for n in (10, 12)] + [text[p : p + 11] for p in (1, 4)]
+    assert sorted(set(winnow._stretches(text, tried))) == sorted({w for w in want})
+    monkeypatch.setattr(winnow, "HELD", 3)
+    texts, values = frames(spark, corpus)
+    got = {tuple(r) for r in winnow.find_values(texts, values, ["file_id", "unit_id"]).collect()}
+    assert got == {(f, u, v) for f, u, t in corpus[0] for g, v, _ in corpus[1]
+                   if f is not None and f == g and u is not None and t and v in t}
+
+
 def test_replacement_leaves_no_value(spark, corpus, tmp_path):
     texts, values = frames(spark, corpus)
     masked = skew.written(mask.mask_by_file(texts, values, ["file_id", "unit_id"]), "masked")
