@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veilspark.config import scratch_dir
 from veilspark.operators.govern import by_id
+from veilspark.plans.batch import spread
 from veilspark.sinks import files as sink
 from veilspark.sinks import writers
 from veilspark.sources import catalog, docx, nested, sqldump, tables
@@ -287,7 +288,7 @@ def _docx_files(spark, sf_dir, bad=False):
                 out.append((f"f{r.c_custkey}.docx", content))
             yield pd.DataFrame(out, columns=["file_id", "content"])
 
-    people = derive(spark, sf_dir, PEOPLE).select("c_custkey", "full_name", "mobile", "pan")
+    people = spread(derive(spark, sf_dir, PEOPLE).select("c_custkey", "full_name", "mobile", "pan"))
     return people.mapInPandas(build, schema)
 
 
