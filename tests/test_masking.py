@@ -143,3 +143,17 @@ def test_runs_are_kept_apart_and_leave_nothing(spark, tmp_path):
         assert mask.leaks(result.masked, result.tokens, ["file_id", "unit_id"]).count() == 0
     runs = control_table(spark, f"{out}/masked").groupBy("run_id").count().collect()
     assert {r.run_id: r["count"] for r in runs} == {"1": 3, "01": 3, "2026-01-05": 3}
+
+
+def test_a_mapping_is_prepared_once_for_all_texts_of_a_row(spark, monkeypatch):
+    """Not for every column and leaf."""
+    prepare, calls = mask.prepared, []
+    monkeypatch.setattr(mask, "prepared", lambda m: calls.append(1) or prepare(m))
+    row = ("Asha Rao", "call Asha Rao on 98765", 98765, None, [("Asha", "P_1"), ("Asha Rao", "P_2"), ("98765", "T_1"), ("", "no")])
+    df = spark.createDataFrame([row, (*row[:4], None)], f"a string, b string, n bigint, z string, m {mask.MAPPING}")
+    got = [tuple(r) for r in mask.mask_columns(df, ["a", "b", "z"], "m").select("a", "b", "z").collect()]
+    assert got == [("P_2", "call P_2 on T_1", None), (row[0], row[1], None)]
+    nested = df.select("m", F.struct("a", F.array("b", "z").alias("l"), F.struct("n").alias("s")).alias("d"))
+    out = nested.select(mask.mask_nested(F.col("d"), nested.schema["d"].dataType, F.col("m")).alias("d")).collect()
+    assert [(r.d.a, r.d.l, r.d.s.n) for r in out] == [("P_2", ["call P_2 on T_1", None], "T_1"), (row[0], [row[1], None], "98765")]
+    assert len(calls) == 2
