@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilspark.operators import tagger
+from veilspark.plans.batch import spread
 
 from .data import derive
 from .registry import check
@@ -33,7 +34,8 @@ def _array(words):
 def labelled(spark, sf_dir):
     """(unit_id, text, spans, held_out). A quarter of the last names, and the rows with them, are held
     out; so are no forms, which are few."""
-    rows = derive(spark, sf_dir, "SELECT c_custkey AS k FROM customer").select("k", *[
+    # keys fit into one split of the input, what is done with them does not
+    rows = spread(derive(spark, sf_dir, "SELECT c_custkey AS k FROM customer")).select("k", *[
         F.expr(f"{_array(words)}[cast(pmod(xxhash64(k, '{salt}'), {len(words)}) AS int)]").alias(name)
         for name, salt, words in (("f1", "a", FIRST), ("l1", "b", LAST), ("f2", "c", FIRST), ("l2", "d", LAST), ("p", "e", PLACES))],
         F.expr(f"array({', '.join(repr(f) for f in FORMS)})[cast(pmod(xxhash64(k, 'f'), {len(FORMS)}) AS int)]").alias("form"))

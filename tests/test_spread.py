@@ -12,3 +12,7 @@ def test_two_runs_deal_out_their_texts(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(batch, "run", lambda units, out, run_id, **options: given.append(options))
     masking._two_runs(spark, sf_dir)
     assert [g["partitions"] for g in given] == [spark.sparkContext.defaultParallelism] * 2
+
+
+def test_labelled_texts_are_built_by_all_cores(spark, sf_dir):
+    assert names.labelled(spark, sf_dir).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
