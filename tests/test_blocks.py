@@ -75,3 +75,24 @@ def test_a_file_larger_than_one_value(spark, tmp_path):
     files = blocks.roots(before).select(F.col("file_id").alias("original_path"), F.col("fingerprint").alias("file_hash"))
     now = blocks.roots(after).select(F.col("file_id").alias("path"), F.col("fingerprint").alias("hash"))
     assert [r.verdict for r in govern.integrity(files, now).collect()] == ["tampered"]
+
+
+def test_short_ranges_of_a_large_folder(spark, tmp_path, monkeypatch):
+    """Ranges of two blocks would make 10,975 tasks; far fewer read every block once."""
+    contents = {"a.bin": os.urandom(40_003), "sub/empty.bin": b""}
+    contents |= {f"sub/{k}.bin": b"x" * k for k in range(1, 600)}
+    (tmp_path / "sub").mkdir()
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    want = sorted((name, at // 10, len(data[at:at + 10]), hashlib.sha256(b"\0" + data[at:at + 10]).digest())
+                  for name, data in contents.items() for at in range(0, max(len(data), 1), 10))
+    reader = blocks._Reader({"path": str(tmp_path), "blocksize": "10", "rangesize": "20"})
+    dealt = reader.partitions()
+    assert len(dealt) <= 512
+    assert sorted(row for p in dealt for row in reader.read(p)) == want
+    assert blocks.read_blocks(spark, str(tmp_path), 10, 20).rdd.getNumPartitions() == len(dealt)
+    # a range that grows stays one that a task can read again
+    monkeypatch.setattr(blocks, "RANGE", 50)
+    dealt = reader.partitions()
+    assert max(n for p in dealt for *_, n in p.ranges) == 5
+    assert sorted(row for p in dealt for row in reader.read(p)) == want
