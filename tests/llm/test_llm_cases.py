@@ -403,3 +403,24 @@ def test_clean_documents_of_all_scripts_are_kept(lang):
     assert quality_rules.judge(text)[0]["kept"] and quality_rules.judge(text)[1] == text
     plain = "one two three four five six seven eight nine"
     assert quality_rules.line_fails(plain, quality_rules.words_of(plain))
+
+
+def test_nothing_that_grows_with_the_corpus_is_broadcast(spark, monkeypatch):
+    """Spark judges a table by its compressed files, also after an explode; small tables here stand for
+    those that it takes for small."""
+    from veilspark.llm import dedup, mixture, secret_scan
+
+    plans = []
+    for module in (dedup, mixture, secret_scan):
+        monkeypatch.setattr(module, "stage", lambda df, name, real=module.stage: (
+            plans.append((name, df._jdf.queryExecution().executedPlan().toString())), real(df, name))[1])
+    words = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame(
+        [(k, f"{words} {'x' * (k % 3)} password = hunter2hunter{k % 5}", "en", f"s{k % 2}", 9) for k in range(12)],
+        "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for name, df in (("kept", dedup.keep_one_of_each(docs)), ("redacted", secret_scan.redact(docs)),
+                     ("scanned", secret_scan.scan(docs)), ("mixed", mixture.mixed_documents(docs))):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+    # the table of the sources has a row for each
+    assert not [name for name, plan in plans if "Broadcast" in plan and name != "plan"]
+    assert sum("SortMergeJoin" in plan for _, plan in plans) > 5

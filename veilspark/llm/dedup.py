@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, column, map_arrow, map_batches, stage, take_columns, texts
+from .common import WORD, by_shuffle, column, map_arrow, map_batches, stage, take_columns, texts
 
 SHINGLE = 5
 PERCENT = 75  # of the union that two sets must share
@@ -143,12 +143,12 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _with_texts(wanted: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
     """`wanted` (by `rep`) with the text of a row that has the set."""
     places = reps.select("rep", "doc_id", "text_key")
-    wanted = wanted.join(places, "rep")
-    found = rows.join(wanted, ["doc_id", "text_key"])
+    wanted = wanted.join(by_shuffle(places), "rep")
+    found = rows.join(by_shuffle(wanted), ["doc_id", "text_key"])
     if not places.where("doc_id IS NULL").isEmpty():
         # any number of rows without an id may have one text
         once = rows.where("doc_id IS NULL").dropDuplicates(["text_key"]).drop("doc_id")
-        found = found.unionByName(once.join(wanted.where("doc_id IS NULL"), "text_key"))
+        found = found.unionByName(once.join(by_shuffle(wanted.where("doc_id IS NULL")), "text_key"))
     return found.drop("doc_id", "text_key")
 
 
@@ -156,7 +156,7 @@ def _stars(members: DataFrame) -> DataFrame:
     """(hub, rep): in each bucket every set with the bucket's smallest number."""
     hubs = members.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("_last"))
     hubs = hubs.where("hub < _last").select("band", "hub")
-    pairs = members.join(hubs, "band").where("hub < rep")
+    pairs = members.join(by_shuffle(hubs), "band").where("hub < rep")
     return pairs.select("hub", "rep").distinct()
 
 
@@ -258,12 +258,12 @@ def _rest(reps: DataFrame, components: DataFrame, rows: DataFrame) -> DataFrame:
     pass finds the members with candidates; only they get their text, once per cell, and a
     second pass confirms on full sets. No pair leaves a task before it is confirmed.
     """
-    placed = reps.join(components, "rep", "left").select(
+    placed = reps.join(by_shuffle(components), "rep", "left").select(
         "rep", F.coalesce("component", "rep").alias("component"), F.explode("bands").alias("band"))
     mixed = placed.groupBy("band").agg(
         F.min("component").alias("_a"), F.max("component").alias("_b"), F.count("*").alias("n"))
     mixed = mixed.where("_a < _b").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = placed.join(mixed, "band").withColumn(
+    placed = placed.join(by_shuffle(mixed), "band").withColumn(
         "block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # each member meets its own block (cell b,b) and every other one (cell i,j with i < j)
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -271,7 +271,7 @@ def _rest(reps: DataFrame, components: DataFrame, rows: DataFrame) -> DataFrame:
     cells = cells.select(
         "band", (low.cast("bigint") * F.col("blocks") + high).alias("cell"), "rep", "component",
         F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
-    cells = cells.join(reps.select("rep", "digest", "sketch", "bands"), "rep")
+    cells = cells.join(by_shuffle(reps.select("rep", "digest", "sketch", "bands")), "rep")
     cells = cells.repartition("band", "cell").sortWithinPartitions("band", "cell")
     wanted = stage(map_arrow(cells, _wanted, cells.schema), "wanted")
     full = _with_texts(wanted, reps, rows)
@@ -318,11 +318,11 @@ def _confirm(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
     A hub's text is sent once per `SALT` of its members, each member's text once per pair.
     """
     salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SALT).alias("_salts"))
-    member = pairs.join(salts, "hub").select(
+    member = pairs.join(by_shuffle(salts), "hub").select(
         "rep", "hub", F.pmod(F.xxhash64("rep"), F.col("_salts")).alias("salt"))
     hub = salts.select(
         F.col("hub").alias("rep"), "hub", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("salt"))
-    wanted = member.union(hub).join(reps.select("rep", "digest"), "rep")
+    wanted = member.union(hub).join(by_shuffle(reps.select("rep", "digest")), "rep")
     found = _with_texts(wanted, reps, rows).select("hub", "salt", "rep", "digest", "text")
     found = found.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "rep")
     return map_arrow(found, _confirm_run, "hub bigint, rep bigint")
@@ -345,7 +345,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     members = reps.select("rep", F.explode("bands").alias("band"))
 
     stars = _stars(members)
-    stars = stars.join(sketches.toDF("hub", "hub_sketch"), "hub").join(sketches.toDF("rep", "rep_sketch"), "rep")
+    stars = stars.join(by_shuffle(sketches.toDF("hub", "hub_sketch")), "hub")
+    stars = stars.join(by_shuffle(sketches.toDF("rep", "rep_sketch")), "rep")
     stars = stage(map_batches(stars, _agreeing, "hub bigint, rep bigint"), "stars")
     links = stage(_confirm(stars, reps, rows), "links")
     components = components_of(links, "components")
@@ -357,14 +358,14 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # the smallest number of a component is not among its `rep`
     roots = components.select(F.col("component").alias("rep"), "component").distinct()
     components = components.select("rep", "component").union(roots)
-    linked = components.join(reps.select("rep", "doc_id", "digest"), "rep")
+    linked = components.join(by_shuffle(reps.select("rep", "doc_id", "digest")), "rep")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("_keeper")
     keepers = linked.groupBy("component").agg(least)
-    keepers = components.join(keepers, "component").select("rep", "_keeper")
+    keepers = components.join(by_shuffle(keepers), "component").select("rep", "_keeper")
     own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
-    placed = reps.select("rep", "doc_id", "digest").join(keepers, "rep", "left")
+    placed = reps.select("rep", "doc_id", "digest").join(by_shuffle(keepers), "rep", "left")
     placed = placed.select("digest", F.coalesce("_keeper", own).alias("_keeper"))
-    return sets.select("doc_id", "text_key", "n_shingles", "digest").join(placed, "digest", "left").select(
+    return sets.select("doc_id", "text_key", "n_shingles", "digest").join(by_shuffle(placed), "digest", "left").select(
         "doc_id", "text_key", "n_shingles", "digest",
         F.col("_keeper.doc_id").alias("keeper_id"), F.col("_keeper.digest").alias("keeper_digest"))
 
@@ -392,12 +393,12 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.col(f"`{text_col}`")
     keyed = docs.withColumns({"_near_id": F.col(f"`{id_col}`").cast("bigint"), "_near_key": text_key(text)})
     named = keyed.where("_near_id IS NOT NULL").join(
-        kept.select("_near_id", "_near_key"), ["_near_id", "_near_key"], "left_semi")
+        by_shuffle(kept.select("_near_id", "_near_key")), ["_near_id", "_near_key"], "left_semi")
     # equal rows of an id already are in one partition
     named = named.dropDuplicates(["_near_id", "_near_key"])
     unnamed, worded = keyed.where("_near_id IS NULL"), F.coalesce(text, F.lit("")).rlike(WORD)
     once = unnamed.where(worded).dropDuplicates(["_near_key"]).join(
-        kept.where("_near_id IS NULL AND digest IS NOT NULL").select("_near_key"), "_near_key", "left_semi")
+        by_shuffle(kept.where("_near_id IS NULL AND digest IS NOT NULL").select("_near_key")), "_near_key", "left_semi")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return named.select(columns).union(once.select(columns)).union(unnamed.where(~worded).select(columns))
 
@@ -413,10 +414,10 @@ def components_of(links: DataFrame, name: str) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(by_shuffle(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = large.join(by_shuffle(least), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select("u", F.col("m").alias("v")))
         edges = stage(small.where("u <> v").distinct(), name)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, stage
+from .common import WORD, by_shuffle, stage
 
 ENTROPY = 0.95  # target share of the entropy of equal weights
 MAX_REPEATS = 2.0  # rounds through the most repeated source
@@ -131,7 +131,7 @@ def _uses(docs: DataFrame, id_col: str, text_col: str, source_col: str, entropy:
 
 def _join(rows: DataFrame, planned: DataFrame) -> DataFrame:
     same = rows["source"].eqNullSafe(planned["source"]) & (rows["block"] == planned["block"])
-    return rows.join(planned, same).drop(planned["source"], planned["block"])
+    return rows.join(by_shuffle(planned), same).drop(planned["source"], planned["block"])
 
 
 def mix(

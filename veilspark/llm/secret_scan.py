@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import blocks, locate
 from ..functions.text import literal
-from .common import stage, take_columns
+from .common import by_shuffle, stage, take_columns
 
 # The base kinds, in the order in which they are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -109,7 +109,7 @@ def _reported(found: DataFrame, min_owners: int, min_repositories: int) -> DataF
     copied = (F.col("n_owners") >= min_owners) & (F.col("n_repositories") >= min_repositories)
     counts = ownership(found).select("hash", copied.alias("copied"))
     each = found.select("row", F.explode("spans").alias("s")).select("row", "s.*")
-    each = each.join(counts, "hash")
+    each = each.join(by_shuffle(counts), "hash")
     verdict = F.when(F.col("copied"), "example").when(F.col("live"), "live").otherwise("weak")
     names = F.array(*[F.lit(k) for k in KINDS])
     each = each.withColumn("verdict", verdict).where((F.col("kind") < len(BASE)) | (F.col("verdict") == "live"))
@@ -128,7 +128,7 @@ def scan(
     found = stage(_spans(rows, ["doc_id", "owner", "repository"]), "candidates")
     per_row = _reported(found, min_owners, min_repositories)
     empty = F.expr("cast(array() AS array<struct<start:int,kind:int,end:int,name:string,verdict:string>>)")
-    return found.select("row", "doc_id").join(per_row, "row", "left").select(
+    return found.select("row", "doc_id").join(by_shuffle(per_row), "row", "left").select(
         "doc_id", F.coalesce("reported", empty).alias("reported"))
 
 
@@ -170,7 +170,7 @@ def redact(
       (a, s) -> CASE WHEN s.start < a.pos THEN struct(greatest(a.pos, s.`end`) AS pos, a.done AS done)
         ELSE struct(s.`end` AS pos, concat(a.done, substring({text}, a.pos + 1, s.start - a.pos), {literal(mark)}) AS done) END,
       a -> concat(a.done, substring({text}, a.pos + 1)))""")
-    some = found.where("size(spans) > 0").join(reported, "row", "left")
+    some = found.where("size(spans) > 0").join(by_shuffle(reported), "row", "left")
     some = some.select("doc", F.when(F.col("reported").isNotNull(), masked).otherwise(F.col(text)).alias("_text"))
     none = found.where("size(spans) = 0").select("doc", F.col(text).alias("_text"))
     both = some.union(none)
