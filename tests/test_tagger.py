@@ -75,3 +75,15 @@ def test_places_of_a_table(spark):
     cfg = DetectConfig(ner_col="entities")
     found = detect_rows(tagger.known_places(units, table, ["id"]), ["id"], cfg)
     assert found.where("value = 'Nowhere'").count() == 300
+
+
+def test_all_rows_are_learnt_from(spark, monkeypatch):
+    """Also beyond 20,000; copies of one text are dealt over the shards."""
+    tables = {}
+    monkeypatch.setattr(tagger, "written", lambda df, name, real=tagger.written: tables.setdefault(name, real(df, name)))
+    rows = spark.range(20_500).selectExpr(
+        "if(id < 12000, 'Terms apply', concat('row ', id)) AS text", "cast(array() AS array<struct<start:int,end:int,label:string>>) AS spans")
+    model = tagger.fit(rows, epochs=0)
+    assert not model.weights.any() and list(tables)[-1] == "tagger-rows"
+    shards = [r["count"] for r in tables["tagger-rows"].groupBy("_shard").count().collect()]
+    assert sum(shards) == 20_500 and len(shards) == 9 and max(shards) < 2 * 20_500 / 9

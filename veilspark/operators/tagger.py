@@ -1,10 +1,10 @@
 """A trained recogniser of people and places: averaged perceptron over token features, decoded by
 Viterbi; and places known from a table, joined.
 
-Training mixes parameters: every shard of the sample runs one pass of the perceptron from the common
+Training mixes parameters: every shard of the rows runs one pass of the perceptron from the common
 weights, the shards' averaged weights are averaged, and the next pass begins there. Features are
 hashed into a table of fixed size, so a model has the same few megabytes whatever it has seen, and
-that is all that travels between driver and tasks. The sample is bounded by `max_rows`.
+that is all that travels between driver and tasks. All rows are learnt from; more rows make more shards.
 
 `Tagger` is a `DetectConfig.ner_fn`; `known_places` gives a column for `DetectConfig.ner_col`.
 """
@@ -27,8 +27,8 @@ from .skew import counted_join, written
 TAGS = ["O", "B-PERSON", "I-PERSON", "B-GPE", "I-GPE"]
 TAG = {t: k for k, t in enumerate(TAGS)}
 FEATURES = 1 << 18
-MAX_ROWS = 20_000
 SHARDS = 8
+SHARD_ROWS = 2500  # from 8 times as many on, there are more shards
 EPOCHS = 5
 _TOKEN = re.compile(r"\w+|[^\w\s]|\n")
 _SEGMENT = 200  # tokens decoded together
@@ -158,19 +158,25 @@ def _pass(weights: np.ndarray, moves: np.ndarray):
 
 
 def fit(
-    labelled: DataFrame, text: str = "text", spans: str = "spans", max_rows: int = MAX_ROWS,
+    labelled: DataFrame, text: str = "text", spans: str = "spans", max_rows: int | None = None,
     epochs: int = EPOCHS, shards: int = SHARDS,
 ) -> Tagger:
-    """Learn from texts with the spans (start, end, label PERSON or GPE) of their names, on at most
-    `max_rows` of them, chosen and ordered by a hash of the text: the same rows give the same model."""
+    """Learn from texts with the spans (start, end, label PERSON or GPE) of their names, on all of them,
+    dealt and ordered by a hash of the text: the same rows give the same model. Only a caller that
+    sets `max_rows` learns from so many at most. `shards` is the least number of them."""
     given = labelled.select(F.col(text).alias("text"), F.col(spans).alias("spans")).where(F.col("text").isNotNull())
-    sample = given.orderBy(F.xxhash64("text")).limit(max_rows).withColumn(
-        "_shard", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(shards)).cast("int"))
-    sample = written(sample, "tagger-sample")
+    if max_rows is not None:
+        given = given.orderBy(F.xxhash64("text")).limit(max_rows)
+    # copies of a row are counted and dealt over the shards, as one text may be a large share of all rows
+    counted = written(given.groupBy("text", "spans").agg(F.count("*").alias("n")), "tagger-texts")
+    shards = max(shards, -(-(counted.agg(F.sum("n")).first()[0] or 0) // SHARD_ROWS))
+    copies = counted.select("text", "spans", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("_copy"))
+    rows = written(copies.select("text", "spans", F.pmod(
+        F.xxhash64("text", F.lit(1)) + F.col("_copy"), F.lit(shards)).cast("int").alias("_shard")), "tagger-rows")
     weights = np.zeros((FEATURES, len(TAGS)))
     moves = np.zeros((len(TAGS) + 1, len(TAGS)))
     for epoch in range(epochs):
-        dealt = sample.repartitionById(shards, F.col("_shard")).sortWithinPartitions(
+        dealt = rows.repartitionById(shards, F.col("_shard")).sortWithinPartitions(
             F.xxhash64("text", F.lit(epoch))).select("text", "spans")
         changed = dealt.mapInArrow(_pass(weights, moves), "feature int, change array<double>")
         # at most FEATURES + 1 rows
