@@ -95,3 +95,13 @@ def test_large_packages_are_cut(spark, tmp_path):
     with zipfile.ZipFile(io.BytesIO(made["large.docx"])) as z:
         assert values[phone] in z.read("word/header1.xml").decode() and b'mc:Ignorable="w"' in z.read("word/document.xml")
     assert made["plain.docx"] == whole["plain.docx"]  # no value, so to the byte
+
+
+def test_a_folder_has_the_same_names_however_it_is_spelled(spark, tmp_path):
+    (tmp_path / "a b" / "100%").mkdir(parents=True)
+    (tmp_path / "a b" / "100%" / "c#.csv").write_bytes(b"x\n1\n")
+    (tmp_path / "a b" / "empty.csv").write_bytes(b"")
+    for path in (f"{tmp_path}/a b", f"{tmp_path}/a b/", f"file:{tmp_path}/a b", f"file://{tmp_path}/a b/"):
+        files = pieces.read_folder(spark, path)
+        assert {r.file_id: r.length for r in files.collect()} == {"100%/c#.csv": 4, "empty.csv": 0}, path
+        assert {r.file_id for r in opened.fingerprints(files).collect()} == {"100%/c#.csv", "empty.csv"}, path
