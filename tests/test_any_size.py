@@ -105,3 +105,20 @@ def test_a_folder_has_the_same_names_however_it_is_spelled(spark, tmp_path):
         files = pieces.read_folder(spark, path)
         assert {r.file_id: r.length for r in files.collect()} == {"100%/c#.csv": 4, "empty.csv": 0}, path
         assert {r.file_id for r in opened.fingerprints(files).collect()} == {"100%/c#.csv", "empty.csv"}, path
+
+
+def test_large_rows_are_written_in_small_groups(spark):
+    """What a task reads at once is a row group, however large its rows are."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from veilspark.operators.skew import written
+
+    rows = spark.range(0, 300, 1, 1).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h")).select("id", F.expr(
+        "array_join(transform(sequence(1, 5000), k -> sha2(concat(h, k), 256)), '')").alias("text"))
+    table = written(rows, "large-rows")
+    (file,) = glob.glob(table.inputFiles()[0].removeprefix("file://"))
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_rows == 300 and max(meta.row_group(k).total_byte_size for k in range(meta.num_row_groups)) < 32 << 20
+    assert table.where("length(text) = 320000").count() == 300
