@@ -113,7 +113,7 @@ def test_large_rows_are_written_in_small_groups(spark):
 
     import pyarrow.parquet as pq
 
-    from veilspark.operators.skew import written
+    from veilspark.operators.skew import LARGE_ROWS, written
 
     rows = spark.range(0, 300, 1, 1).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h")).select("id", F.expr(
         "array_join(transform(sequence(1, 5000), k -> sha2(concat(h, k), 256)), '')").alias("text"))
@@ -122,3 +122,8 @@ def test_large_rows_are_written_in_small_groups(spark):
     meta = pq.ParquetFile(file).metadata
     assert meta.num_rows == 300 and max(meta.row_group(k).total_byte_size for k in range(meta.num_row_groups)) < 32 << 20
     assert table.where("length(text) = 320000").count() == 300
+    # what compresses well is as large again when it is read
+    same = spark.range(0, 300, 1, 1).selectExpr("repeat(concat('<w:t>', id % 7, '</w:t>'), 20000) AS text")
+    (file,) = glob.glob(written(same, "large-rows", LARGE_ROWS).inputFiles()[0].removeprefix("file://"))
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_rows == 300 and max(meta.row_group(k).num_rows for k in range(meta.num_row_groups)) <= LARGE_ROWS
